@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup
+from quarry.llm import exact_dedup, sharding
 
 _ENTRIES = {
+    "op1_sharding": (sharding.op1_sharding, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
 }
 
