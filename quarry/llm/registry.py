@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, sharding
+from quarry.llm import exact_dedup, packing, sharding
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
+    "op3_packing": (packing.op3_packing, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
 }
 
