@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, packing, sharding
+from quarry.llm import exact_dedup, language_id, packing, secrets, sharding
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
     "op3_packing": (packing.op3_packing, None),
+    "op6_secrets": (secrets.op6_secrets, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
+    "op8_language_id": (language_id.op8_language_id, None),
 }
 
 
