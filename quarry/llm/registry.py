@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, language_id, packing, secrets, sharding
+from quarry.llm import exact_dedup, language_id, lm_scoring, packing, secrets, sharding
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
@@ -10,6 +10,7 @@ _ENTRIES = {
     "op6_secrets": (secrets.op6_secrets, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     "op8_language_id": (language_id.op8_language_id, None),
+    "op10_lm_scoring": (lm_scoring.op10_lm_scoring, None),
 }
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import blocks, documents, materialise
 
 #: Bins of all nodes of a level together: the driver never gets more sums than this in a round.
-BINS = 1 << 17
+BINS = 1 << 13
 _COORD_BITS, _TIE_BITS = 30, 31
 
 
@@ -77,7 +77,7 @@ def _cuts(at: DataFrame, active: dict[int, Node], totals: dict, tolerance: float
     before = dict.fromkeys(active, 0)
     span = {i: (0, 1 << (_COORD_BITS + _TIE_BITS + 1)) for i in active}
     size = max(active) + 1
-    per_node = max(256, BINS // len(active))
+    per_node = max(128, BINS // len(active))
     listed = lambda of, default: [of(i) if i in span else default for i in range(size)]
     while span:
         key = F.when(F.col("node") < size, F.col("node")).otherwise(0)
