@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, language_id, lm_scoring, packing, secrets, sharding
+from quarry.llm import exact_dedup, language_id, lm_scoring, near_dedup, packing, secrets, sharding
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
     "op3_packing": (packing.op3_packing, None),
+    "op4_near_dedup": (near_dedup.op4_near_dedup, None),
     "op6_secrets": (secrets.op6_secrets, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     "op8_language_id": (language_id.op8_language_id, None),
