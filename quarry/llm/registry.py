@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, language_id, lm_scoring, near_dedup, packing, secrets, sharding
+from quarry.llm import decontamination, exact_dedup, language_id, lm_scoring, near_dedup, packing, secrets, sharding
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
@@ -11,6 +11,7 @@ _ENTRIES = {
     "op6_secrets": (secrets.op6_secrets, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     "op8_language_id": (language_id.op8_language_id, None),
+    "op9_decontamination": (decontamination.op9_decontamination, None),
     "op10_lm_scoring": (lm_scoring.op10_lm_scoring, None),
 }
 
