@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, exact_dedup, language_id, lm_scoring, near_dedup, packing, pii, secrets, sharding
+from quarry.llm import decontamination, exact_dedup, language_id, lm_scoring, near_dedup, packing, pii, secrets, sharding, substring_dedup
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
     "op2_pii": (pii.op2_pii, None),
     "op3_packing": (packing.op3_packing, None),
     "op4_near_dedup": (near_dedup.op4_near_dedup, None),
+    "op5_substring_dedup": (substring_dedup.op5_substring_dedup, None),
     "op6_secrets": (secrets.op6_secrets, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     "op8_language_id": (language_id.op8_language_id, None),
