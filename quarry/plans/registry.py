@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple = ()
+from quarry.plans import ranking
+
+_MODULES: tuple = (ranking,)
 
 
 def queries() -> dict[str, Query]:
