@@ -117,13 +117,13 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, teleport: DataFram
     when the L1 change per query is below ``tolerance`` times the number of nodes.
     """
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    moves = cut(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+    moves = cut(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     linked = out_weight.select(F.col("src").alias("id"), F.lit(1).alias("linked"))
     teleport = cut(teleport.select("qid", "id", "p"))
     scores, n, turn = teleport.select("qid", "id", F.col("p").alias("score")), None, 0
     while True:
         turn += 1
-        flow = scores.join(moves, scores["id"] == moves["src"]).groupBy("qid", F.col("dst").alias("id")).agg(F.sum(F.col("score") * moves["p"]).alias("flow"))
+        flow = scores.withColumnRenamed("id", "src").join(moves, "src").groupBy("qid", F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         loose = scores.join(linked, "id", "left").groupBy("qid").agg(F.sum(F.when(F.col("linked").isNull(), F.col("score")).otherwise(0.0)).alias("loose"))
         base = teleport.join(loose, "qid").select("qid", "id", ((1 - alpha + alpha * F.col("loose")) * F.col("p")).alias("base"))
         fresh = flow.join(base, ["qid", "id"], "full_outer").select("qid", "id", (alpha * F.coalesce("flow", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("score"))

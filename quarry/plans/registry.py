@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from quarry.plans import ranking
+from quarry.plans import graphs, ranking
 
-_MODULES: tuple = (ranking,)
+_MODULES: tuple = (ranking, graphs)
 
 
 def queries() -> dict[str, Query]:
