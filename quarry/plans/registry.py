@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from quarry.plans import graphs, ranking
+from quarry.plans import content, graphs, ranking
 
-_MODULES: tuple = (ranking, graphs)
+_MODULES: tuple = (ranking, graphs, content)
 
 
 def queries() -> dict[str, Query]:
