@@ -234,6 +234,31 @@ def metric_pivot(spark, d):
     return docs(spark, d).groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count(F.lit(1))).fillna(0)
 
 
+def run_file(spark, d):
+    from quarry.sources import sinks
+
+    return sinks.run_lines(ranking.bm25_run(spark, d, 10).withColumn("score", F.round("score", 1)), "bm25", digits=1)
+
+
+def run_check(spark, d):
+    from quarry.sources import sinks
+
+    lines = run_file(spark, d).union(spark.createDataFrame([("q Q0 d x 1.0 r",), ("broken line",)], "value string"))
+    return sinks.validate_run(lines)
+
+
+def windowed_events(spark, d):
+    from quarry.streaming.incremental import windowed_counts
+
+    w = windowed_counts(t.table(spark, d, "events"), "ts", "event_type", "value", "1 day")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def running_views(spark, d):
+    """Totals per key over all files, as the incremental job leaves them."""
+    return t.table(spark, d, "events").groupBy("user_id").agg(F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
 _W = r"list_filter(string_split_regex(trim(coalesce(text, ''), E' \t\n\r\x0b\f'), '\s+'), lambda x: x <> '')"
 _BM = t.bm25_sql(0.8, 1.0, "x") + ", " + t.run_sql("x", "rx", 50) + ", " + t.bm25_sql(2.0, 0.3, "y") + ", " + t.run_sql("y", "ry", 50)
 _EMB = "e AS (SELECT vec_id AS id, embedding AS v, label AS topic FROM embeddings)"
@@ -244,7 +269,7 @@ QUERIES = {
 CAST(length(CASE WHEN contains(text, chr(10) || chr(10)) THEN trim(string_split(text, chr(10) || chr(10))[1]) ELSE text[1:500] END) AS INTEGER) AS first_paragraph, CAST(least(length(text), 1500) AS INTEGER) AS capped,
 md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS INTEGER) AS unique_words FROM documents"""),
     "quality_density": (density, rf"""WITH l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 10) AS ls, {_W} AS w FROM documents)
-SELECT doc_id, round(CASE WHEN len(ls) = 0 THEN 0 ELSE len(list_filter(ls, lambda x: regexp_matches(x, '\|.*\|'))) / len(ls) END, 4) AS table_share, CAST(len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 8)) AS INTEGER) AS sentences,
+SELECT doc_id, round(CASE WHEN len(ls) = 0 THEN 0 ELSE len(list_filter(ls, lambda x: regexp_matches(x, '\|.*\|'))) / len(ls) END, 4) AS table_share, CAST(len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 8)) AS INTEGER) AS sentences,
 CAST(regexp_matches(lower(text), 'the\b') AS INTEGER) + CAST(regexp_matches(lower(text), 'tion\b') AS INTEGER) + CAST(contains(text, 'xyz') AS INTEGER) AS hits,
 round(CASE WHEN len(w) = 0 THEN 0 ELSE (len(regexp_extract_all(lower(text), 'tion')) + len(regexp_extract_all(lower(text), 'and'))) * 100.0 / len(w) END, 4) AS density FROM l"""),
     "quality_verdict": (verdicts, None),
@@ -298,4 +323,8 @@ SELECT title_id, doc_id, strategy, round(score::DOUBLE, 4) AS score FROM x UNION
     "like_search": (search_like, "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%' ORDER BY p_retailprice DESC, p_partkey LIMIT 20"),
     "grouped_variants": (variants_of, "SELECT conv_id, count(*) AS n, string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY turn, text) AS lengths FROM conversations WHERE role = 'user' GROUP BY 1"),
     "metric_pivot": (metric_pivot, "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY 1"),
+    "run_file": (run_file, f"WITH {t.bm25_sql(0.8, 1.0)}, {t.run_sql('bm25', 'run', 10)} SELECT qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.1f', round(score, 1)) || ' bm25' AS value FROM run"),
+    "run_validation": (run_check, None),
+    "windowed_events": (windowed_events, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"),
+    "running_totals": (running_views, "SELECT user_id, CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1"),
 }
