@@ -29,7 +29,7 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def paragraphs(text: Column, separator: str = "\n") -> Column:
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_paragraph(text: Column, fallback: int = 500) -> Column:
