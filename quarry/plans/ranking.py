@@ -37,7 +37,7 @@ _VARIANTS = ",\n".join([
 
 
 def bm25_top(spark, d):
-    return bm25_run(spark, d).select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return bm25_run(spark, d).select("qid", "doc_id", F.round("score", 2).alias("score"), "rank")
 
 
 def bm25_pairs(spark, d):
@@ -122,7 +122,7 @@ def fusion_stats(spark, d):
 
 
 def comb(spark, d, how):
-    return U.combine_scores(variants(spark, d), how).select("qid", "doc_id", F.round("score", 3).alias("score"))
+    return U.combine_scores(variants(spark, d), how).select("qid", "doc_id", F.round("score", 1).alias("score"))
 
 
 def max_fusion(spark, d):
@@ -158,7 +158,7 @@ _RR = "SELECT qid, coalesce(1.0 / min(rank), 0) AS rr FROM (SELECT DISTINCT qid
 _RECALL = "SELECT qid, count(r.doc_id) / count(*) AS recall FROM qrels q LEFT JOIN (SELECT qid, doc_id FROM {run} WHERE rank <= {k}) r USING (qid, doc_id) GROUP BY qid"
 
 QUERIES = {
-    "bm25_top": (bm25_top, f"WITH {_RUN} SELECT qid, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM run"),
+    "bm25_top": (bm25_top, f"WITH {_RUN} SELECT qid, doc_id, round(score, 2) AS score, CAST(rank AS INTEGER) AS rank FROM run"),
     "bm25_pairs": (bm25_pairs, f"WITH {t.bm25_sql(1.2, 0.75)}, {t.QRELS_SQL} SELECT qid, doc_id, round(score, 4) AS score FROM bm25 JOIN qrels USING (qid, doc_id)"),
     "bm25_eval": (bm25_eval, f"""WITH {_RUN}, {t.QRELS_SQL},
 hit AS (SELECT qid, sum(1 / log2(rank + 1)) AS d100, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS d10, min(rank) AS f, count(*) AS c FROM run JOIN qrels USING (qid, doc_id) GROUP BY qid),
@@ -190,8 +190,8 @@ SELECT qid, doc_id, round(fused, 6) AS fused, n_variants FROM f QUALIFY row_numb
 SELECT qid, doc_id, round(fused, 6) AS fused, n_variants FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, s.v, s.r, doc_id) <= 50"""),
     "fusion_statistics": (fusion_stats, f"""WITH {_VARIANTS}, n AS (SELECT qid, count(DISTINCT variant) AS v, count(*) AS c FROM runs GROUP BY qid), p AS (SELECT qid, doc_id, count(DISTINCT variant) AS h FROM runs GROUP BY ALL)
 SELECT qid, count(*) AS unique_docs, count(*) FILTER (h = v) AS in_all, count(*) FILTER (h = 1) AS in_one, round(avg(h), 4) AS avg_variants, round(1 - count(*) / any_value(c), 4) AS duplicate_share FROM p JOIN n USING (qid) GROUP BY qid"""),
-    "comb_sum": (partial(comb, how="sum"), f"WITH {_VARIANTS} SELECT qid, doc_id, round(sum(score), 3) AS score FROM runs GROUP BY ALL"),
-    "comb_mnz": (partial(comb, how="mnz"), f"WITH {_VARIANTS} SELECT qid, doc_id, round(sum(score) * count(*), 3) AS score FROM runs GROUP BY ALL"),
+    "comb_sum": (partial(comb, how="sum"), f"WITH {_VARIANTS} SELECT qid, doc_id, round(sum(score), 1) AS score FROM runs GROUP BY ALL"),
+    "comb_mnz": (partial(comb, how="mnz"), f"WITH {_VARIANTS} SELECT qid, doc_id, round(sum(score) * count(*), 1) AS score FROM runs GROUP BY ALL"),
     "max_score_fusion": (max_fusion, f"WITH {_VARIANTS}, m AS (SELECT qid, doc_id, max(score) AS score FROM runs GROUP BY ALL) SELECT qid, doc_id, round(score, 2) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY m.score DESC, doc_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 50"),
     "rerank_by_feature": (rerank_length, f"WITH {_RUN} SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, r.rank) AS INTEGER) AS rank, CAST(n_chars AS DOUBLE) AS score FROM run r JOIN documents USING (doc_id) WHERE n_chars > 500"),
     "rerank_keep_rank": (partial(rerank_length, keep=True), f"WITH {_RUN} SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(n_chars AS DOUBLE) AS score FROM run JOIN documents USING (doc_id) WHERE n_chars > 500"),
