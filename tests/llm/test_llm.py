@@ -205,7 +205,7 @@ def test_secrets(spark):
     assert got[1].spans == f"assign:0:19,access:24:{24 + len(key)}" and got[1].n_live == 2
     assert got[2].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[4].spans == "assign:14:27" and got[4].n_assign == 1
-    assert got[10].spans == "" and got[10].n_example == 0 and got[20].spans == "generic:2:26"
+    assert got[10].spans == "" and got[10].n_example == 0 and got[20].spans == "generic:2:25"
 
 
 def test_language(spark):
