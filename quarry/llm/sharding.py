@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import blocks, documents, materialise
 
 #: Bins of all nodes of a level together: the driver never gets more sums than this in a round.
-BINS = 1 << 13
+BINS = 1 << 14
 _COORD_BITS, _TIE_BITS = 30, 31
 
 
@@ -32,8 +32,12 @@ class Node:
 
     first: int
     leaves: int
+    weight: int = 0
+    #: Lowest and highest coordinate of the cell along each dimension.
+    cell: tuple[tuple[int, int], ...] = ()
     dim: int = -1
     cut: int = 0
+    left_weight: int = 0
 
 
 def _table(values: list, key: Column) -> Column:
@@ -61,7 +65,7 @@ def place(rows: DataFrame, tree: dict[int, Node], dims: int, depth: int) -> Data
     Every call walks ``depth`` steps, so all rounds share one piece of generated code.
     """
     size = max(tree) + 1
-    dim = [tree[i].dim if i in tree else -1 for i in range(size)]
+    dim = [tree[i].dim if 2 * i + 1 in tree else -1 for i in range(size)]
     cut = [tree[i].cut if i in tree else 0 for i in range(size)]
     rows = rows.withColumn("node", F.lit(0).cast("int"))
     for _ in range(depth):
@@ -71,11 +75,11 @@ def place(rows: DataFrame, tree: dict[int, Node], dims: int, depth: int) -> Data
     return rows.drop("dim")
 
 
-def _cuts(at: DataFrame, active: dict[int, Node], totals: dict, tolerance: float, dims: int) -> None:
+def _cuts(at: DataFrame, active: dict[int, Node], tolerance: float, dims: int) -> None:
     """Set ``cut`` of each active node to its weighted quantile along ``dim``."""
-    wanted = {i: totals[i] * (n.leaves // 2) / n.leaves for i, n in active.items()}
+    wanted = {i: n.weight * (n.leaves // 2) / n.leaves for i, n in active.items()}
     before = dict.fromkeys(active, 0)
-    span = {i: (0, 1 << (_COORD_BITS + _TIE_BITS + 1)) for i in active}
+    span = {i: (n.cell[n.dim][0] << _TIE_BITS, (n.cell[n.dim][1] + 1) << _TIE_BITS) for i, n in active.items()}
     size = max(active) + 1
     per_node = max(128, BINS // len(active))
     listed = lambda of, default: [of(i) if i in span else default for i in range(size)]
@@ -91,11 +95,10 @@ def _cuts(at: DataFrame, active: dict[int, Node], totals: dict, tolerance: float
         inside = (F.col("node") < size) & (F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high"))
         binned = rows.withColumn("bin", F.when(inside, F.floor((F.col("pos") - F.col("low")) / F.col("step"))))
         found: dict[int, list] = {}
-        for r in binned.groupBy("node", "bin").agg(
-            F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
-        ).collect():
-            if r["bin"] is not None:
-                found.setdefault(r["node"], []).append((r["lo"], r["hi"], r["w"], r["n"]))
+        sums = binned.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        for node, b, *r in zip(*(c.to_pylist() for c in sums.select("node", "bin", "lo", "hi", "w", "n").toArrow().columns), strict=True):
+            if b is not None:
+                found.setdefault(node, []).append(tuple(r))
         for i in list(span):
             bins = sorted(found.get(i, []))
             for k, (lo, hi, w, n) in enumerate(bins):
@@ -103,13 +106,14 @@ def _cuts(at: DataFrame, active: dict[int, Node], totals: dict, tolerance: float
                     before[i] += w
                     continue
                 if lo == hi or n == 1 or w <= tolerance:
-                    active[i].cut = lo if wanted[i] - before[i] < before[i] + w - wanted[i] else hi + 1
+                    below = wanted[i] - before[i] < before[i] + w - wanted[i]
+                    active[i].cut, active[i].left_weight = (lo, before[i]) if below else (hi + 1, before[i] + w)
                     del span[i]
                 else:
                     span[i] = (lo, hi + 1)
                 break
             else:
-                active[i].cut = span[i][1]
+                active[i].cut, active[i].left_weight = span[i][1], before[i]
                 del span[i]
 
 
@@ -117,25 +121,19 @@ def tree_depth(shards: int) -> int:
     return max(1, (shards - 1).bit_length())
 
 
-def kd_tree(meta: DataFrame, dims: int, shards: int) -> dict[int, Node]:
-    """Grow the tree over (size, p0..p{dims-1}) level by level."""
-    tree, depth = {0: Node(0, shards)}, tree_depth(shards)
-    span = None
+def kd_tree(meta: DataFrame, total: int, dims: int, shards: int) -> dict[int, Node]:
+    """Grow the tree over (size, p0..p{dims-1}) level by level; coordinates are scaled to one range at the root."""
+    tree, depth = {0: Node(0, shards, total, ((0, (1 << _COORD_BITS) - 1),) * dims)}, tree_depth(shards)
     while active := {i: n for i, n in tree.items() if n.dim < 0 and n.leaves > 1}:
-        at = place(meta, tree, dims, depth)
-        ranges = [f(F.shiftright(f"p{d}", _TIE_BITS)).alias(f"{k}{d}") for d in range(dims) for k, f in (("lo", F.min), ("hi", F.max))]
-        stats = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("w"), *ranges).collect()}
-        span = span or [max(1, stats[0][f"hi{d}"] - stats[0][f"lo{d}"]) for d in range(dims)]
-        leaf = sum(r["w"] for r in stats.values()) / shards
+        for n in active.values():
+            n.dim = max(range(dims), key=lambda d: n.cell[d][1] - n.cell[d][0])
+        _cuts(place(meta, tree, dims, depth), active, 0.004 * total / shards, dims)
         for i, n in active.items():
-            r = stats.get(i)
-            n.dim = max(range(dims), key=lambda d: (r[f"hi{d}"] - r[f"lo{d}"]) / span[d]) if r else 0
-        known = {i: n for i, n in active.items() if i in stats}
-        if known:
-            _cuts(at, known, {i: stats[i]["w"] for i in known}, 0.0005 * leaf, dims)
-        for i, n in active.items():
-            half = n.leaves // 2
-            tree[2 * i + 1], tree[2 * i + 2] = Node(n.first, half), Node(n.first + half, n.leaves - half)
+            half, at = n.leaves // 2, n.cut >> _TIE_BITS
+            low, high = n.cell[n.dim]
+            cells = [tuple(span if d == n.dim else c for d, c in enumerate(n.cell)) for span in ((low, min(at, high)), (min(max(at, low), high), high))]
+            tree[2 * i + 1] = Node(n.first, half, n.left_weight, cells[0])
+            tree[2 * i + 2] = Node(n.first + half, n.leaves - half, n.weight - n.left_weight, cells[1])
     return tree
 
 
@@ -157,7 +155,7 @@ def shard_metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slot_block: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; shards hold nearly equal bytes."""
     raw, dims = shard_metadata(docs, id_col, text_col)
-    ends = raw.agg(F.count(F.lit(1)).alias("n"), *[f(f"x{d}").alias(f"{k}{d}") for d in range(dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = raw.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[f(f"x{d}").alias(f"{k}{d}") for d in range(dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     tie = F.xxhash64("doc_id", "row_tag").bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
     top = float((1 << _COORD_BITS) - 1)
     placed = raw
@@ -165,7 +163,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
         lo, hi = ends[f"lo{d}"] or 0.0, ends[f"hi{d}"] or 0.0
         coord = F.floor((F.col(f"x{d}") - lo) * (top / (hi - lo) if hi > lo else 0.0))
         placed = placed.withColumn(f"p{d}", F.shiftleft(coord.cast("long"), _TIE_BITS) + tie)
-    tree = kd_tree(placed, dims, shards) if ends["n"] else {0: Node(0, 1)}
+    tree = kd_tree(placed, ends["bytes"], dims, shards) if ends["n"] else {0: Node(0, 1)}
     n_blocks = max(4, blocks(ends["n"] // shards, slot_block))
     first = [tree[i].first if i in tree else 0 for i in range(max(tree) + 1)]
     out = place(placed, tree, dims, tree_depth(shards)).select(
