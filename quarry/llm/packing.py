@@ -85,7 +85,7 @@ def cut_pieces(docs: DataFrame, window: int, path: str, id_col: str = "doc_id",
     """Tokenize every document and cut it: full windows first, then the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = WordIds.shared(path)
         for batch in batches:
             rows: list[tuple] = []
             for at in range(0, batch.num_rows, BATCH):

@@ -11,8 +11,11 @@ import os
 
 import numpy as np
 
-#: Cached words per worker; the cache starts anew beyond that.
-CACHE_WORDS = 300_000
+#: Cached words per worker process; the cache starts anew beyond that.
+CACHE_WORDS = 700_000
+#: Words of letters that are encoded as one text.
+TOGETHER = 500
+_caches: dict[str, WordIds] = {}
 #: Letters whose lower case depends on the context or has two characters.
 _ODD = frozenset("İΣẞ")
 
@@ -33,6 +36,30 @@ class WordIds(dict):
 
         self._tokenizer = Tokenizer.from_file(path)
         self[""] = b""
+        vocabulary = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def shared(cls, path: str) -> WordIds:
+        """The cache of this worker process; Spark keeps workers from task to task."""
+        if path not in _caches:
+            _caches[path] = cls(path)
+        return _caches[path]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: each ends with the only token of it that closes a word."""
+        out: list[bytes] = []
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self._tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self._last[ids]) + 1)
+            if len(ends) == len(part):
+                data, ends = ids.tobytes(), ends.tolist()
+                out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            else:
+                out += self._encode(part)
+        return out
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -51,9 +78,12 @@ class WordIds(dict):
             self[""] = b""
             fresh = [w for w in words if w]
         parts = {w: self._split(w) for w in fresh}
-        need = {x for w, p in parts.items() for x in (p or (w,)) if x not in self}
-        listed = list(need)
-        self.update(zip(listed, self._encode(listed), strict=True))
+        need = {p[0] for p in parts.values() if p and p[0] not in self}
+        letters = list(need)
+        self.update(zip(letters, self._encode_letters(letters), strict=True))
+        need = {x for w, p in parts.items() for x in (p[1:] if p else (w,)) if x not in self}
+        others = list(need)
+        self.update(zip(others, self._encode(others), strict=True))
         for w, p in parts.items():
             if p and w not in self:
                 self[w] = self[p[0]] + self[p[1]]
