@@ -32,7 +32,7 @@ from quarry.llm.suffix_array import equal_runs, suffix_array
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPANS = "array<struct<a: int, b: int>>"
 

@@ -45,7 +45,7 @@ class Queues:
                 self.held -= len(p)
                 out.append(p)
         self.parts[char] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def close(self) -> None:
         if self.file:
@@ -79,14 +79,14 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, in_memory: int)
     n = len(text)
     seeds, up = Queues(in_memory), Queues(in_memory)
     _spread(seeds, text, lms)
-    lower: list[np.ndarray] = [np.zeros(0, np.int64)] * 256
+    lower: list[np.ndarray] = [np.zeros(0, np.int32)] * 256
 
     def before(positions: np.ndarray, wanted_s: bool) -> np.ndarray:
         p = positions[positions > 0] - 1
         return p[is_s[p] == wanted_s]
 
     if not is_s[n - 1]:  # the last suffix is induced by the end of the text
-        up.push(int(text[n - 1]), np.array([n - 1]))
+        up.push(int(text[n - 1]), np.array([n - 1], np.int32))
     for c in range(256):
         batch, done = up.take(c), []
         while len(batch):
@@ -95,9 +95,9 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, in_memory: int)
             same = text[p] == c
             _spread(up, text, p[~same])
             batch = p[same]
-        lower[c] = np.concatenate(done) if done else np.zeros(0, np.int64)
+        lower[c] = np.concatenate(done) if done else np.zeros(0, np.int32)
         _spread(up, text, before(seeds.take(c), False))
-    down, upper = Queues(in_memory), [np.zeros(0, np.int64)] * 256
+    down, upper = Queues(in_memory), [np.zeros(0, np.int32)] * 256
     for c in range(255, -1, -1):
         batch, done = down.take(c), []
         while len(batch):
@@ -106,7 +106,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, in_memory: int)
             same = text[p] == c
             _spread(down, text, p[~same])
             batch = p[same]
-        upper[c] = np.concatenate(done)[::-1] if done else np.zeros(0, np.int64)
+        upper[c] = np.concatenate(done)[::-1] if done else np.zeros(0, np.int32)
         _spread(down, text, before(lower[c][::-1], True))
     for q in (seeds, up, down):
         q.close()
@@ -132,12 +132,13 @@ def _order_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, depth: int,
     # Equal substrings get equal names: bytes from one LMS position to the next, compared by two hashes.
     ends = np.r_[lms[1:] + 1, len(text)]
     sums = np.zeros(len(text) + 1, np.uint64)
-    place = np.zeros(len(text), np.uint64)
-    index = np.searchsorted(lms, np.arange(len(text)), "right") - 1
-    rel = (np.arange(len(text)) - lms[np.maximum(index, 0)]).astype(np.uint64)
-    place = (text.astype(np.uint64) + np.uint64(1)) * ((rel + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1))
+    begin = np.maximum.accumulate(np.where(starts, np.arange(len(text), dtype=np.int32), 0))
+    rel = (np.arange(len(text), dtype=np.int32) - begin).astype(np.uint64)
+    place = (text.astype(np.uint64) + np.uint64(1) + (rel << np.uint64(9))) * np.uint64(0x9E3779B97F4A7C15)
     place ^= place >> np.uint64(29)
     place *= np.uint64(0x94D049BB133111EB)
+    place ^= place >> np.uint64(32)
+    place *= np.uint64(0xD6E8FEB86659FD93)
     np.cumsum(place, out=sums[1:])
     digest = sums[ends - 1] - sums[lms]
     last = text[np.minimum(ends - 1, len(text) - 1)].astype(np.int64)
@@ -157,9 +158,9 @@ def _order_lms(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, depth: int,
 def suffix_array(text: np.ndarray, depth: int = 1 << 30, in_memory: int = IN_MEMORY) -> np.ndarray:
     """Positions in suffix order; suffixes that agree in ``depth`` bytes may stand in any order."""
     if len(text) == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     is_s = suffix_types(text)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     return _induce(text, is_s, _order_lms(text, is_s, lms, depth, in_memory), in_memory)
 
 
