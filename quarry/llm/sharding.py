@@ -52,30 +52,24 @@ def metadata_dimensions(docs: DataFrame, id_col: str, size: Column) -> list[Colu
     return dims + [F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(ordinal(F.col(c))) for c in ("lang", "source") if c in docs.columns]
 
 
-def _along(dim: Column, dims: int) -> Column:
-    out = F.when(dim == 0, F.col("p0"))
-    for d in range(1, dims):
-        out = out.when(dim == d, F.col(f"p{d}"))
-    return out
+def place(rows: DataFrame, tree: dict[int, Node], depth: int) -> DataFrame:
+    """Adds ``node``: the leaf of the tree so far that holds the row, whose positions are the array ``p``.
 
-
-def place(rows: DataFrame, tree: dict[int, Node], dims: int, depth: int) -> DataFrame:
-    """Adds ``node``: the leaf of the tree so far that holds the row.
-
-    Every call walks ``depth`` steps, so all rounds share one piece of generated code.
+    The walk is one fold over ``depth`` steps, so the plan of every round is small and the same.
     """
     size = max(tree) + 1
-    dim = [tree[i].dim if 2 * i + 1 in tree else -1 for i in range(size)]
-    cut = [tree[i].cut if i in tree else 0 for i in range(size)]
-    rows = rows.withColumn("node", F.lit(0).cast("int"))
-    for _ in range(depth):
-        rows = rows.withColumn("dim", _table(dim, F.col("node")))
-        right = (_along(F.col("dim"), dims) >= _table(cut, F.col("node"))).cast("int")
-        rows = rows.withColumn("node", F.when(F.col("dim") < 0, F.col("node")).otherwise(F.col("node") * 2 + 1 + right))
-    return rows.drop("dim")
+    dims = [tree[i].dim if 2 * i + 1 in tree else -1 for i in range(size)]
+    cuts = [tree[i].cut if i in tree else 0 for i in range(size)]
+
+    def step(node: Column, _: Column) -> Column:
+        dim = _table(dims, node)
+        right = (F.element_at("p", (F.greatest(dim, F.lit(0)) + 1).cast("int")) >= _table(cuts, node)).cast("int")
+        return F.when(dim < 0, node).otherwise(node * 2 + 1 + right)
+
+    return rows.withColumn("node", F.aggregate(F.array_repeat(F.lit(0), depth), F.lit(0), step))
 
 
-def _cuts(at: DataFrame, active: dict[int, Node], tolerance: float, dims: int) -> None:
+def _cuts(at: DataFrame, active: dict[int, Node], tolerance: float) -> None:
     """Set ``cut`` of each active node to its weighted quantile along ``dim``."""
     wanted = {i: n.weight * (n.leaves // 2) / n.leaves for i, n in active.items()}
     before = dict.fromkeys(active, 0)
@@ -89,7 +83,7 @@ def _cuts(at: DataFrame, active: dict[int, Node], tolerance: float, dims: int) -
             at.withColumn("low", _table(listed(lambda i: span[i][0], 1), key))
             .withColumn("high", _table(listed(lambda i: span[i][1], 0), key))
             .withColumn("step", _table(listed(lambda i: -(-(span[i][1] - span[i][0]) // per_node), 1), key))
-            .withColumn("pos", _along(_table(listed(lambda i: active[i].dim, 0), key), dims))
+            .withColumn("pos", F.element_at("p", (_table(listed(lambda i: active[i].dim, 0), key) + 1).cast("int")))
         )
         # Rows outside the open spans fall in a null bin: a filter here would be pushed below, copying the tree walk.
         inside = (F.col("node") < size) & (F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high"))
@@ -122,12 +116,12 @@ def tree_depth(shards: int) -> int:
 
 
 def kd_tree(meta: DataFrame, total: int, dims: int, shards: int) -> dict[int, Node]:
-    """Grow the tree over (size, p0..p{dims-1}) level by level; coordinates are scaled to one range at the root."""
+    """Grow the tree over (size, p: positions along the dimensions) level by level; coordinates are scaled to one range at the root."""
     tree, depth = {0: Node(0, shards, total, ((0, (1 << _COORD_BITS) - 1),) * dims)}, tree_depth(shards)
     while active := {i: n for i, n in tree.items() if n.dim < 0 and n.leaves > 1}:
         for n in active.values():
             n.dim = max(range(dims), key=lambda d: n.cell[d][1] - n.cell[d][0])
-        _cuts(place(meta, tree, dims, depth), active, 0.004 * total / shards, dims)
+        _cuts(place(meta, tree, depth), active, 0.004 * total / shards)
         for i, n in active.items():
             half, at = n.leaves // 2, n.cut >> _TIE_BITS
             low, high = n.cell[n.dim]
@@ -158,15 +152,16 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
     ends = raw.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[f(f"x{d}").alias(f"{k}{d}") for d in range(dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     tie = F.xxhash64("doc_id", "row_tag").bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
     top = float((1 << _COORD_BITS) - 1)
-    placed = raw
+    positions = []
     for d in range(dims):
         lo, hi = ends[f"lo{d}"] or 0.0, ends[f"hi{d}"] or 0.0
         coord = F.floor((F.col(f"x{d}") - lo) * (top / (hi - lo) if hi > lo else 0.0))
-        placed = placed.withColumn(f"p{d}", F.shiftleft(coord.cast("long"), _TIE_BITS) + tie)
+        positions.append(F.shiftleft(coord.cast("long"), _TIE_BITS) + tie)
+    placed = raw.select("doc_id", "size", "text_crc32", "row_tag", F.array(*positions).alias("p"))
     tree = kd_tree(placed, ends["bytes"], dims, shards) if ends["n"] else {0: Node(0, 1)}
     n_blocks = max(4, blocks(ends["n"] // shards, slot_block))
     first = [tree[i].first if i in tree else 0 for i in range(max(tree) + 1)]
-    out = place(placed, tree, dims, tree_depth(shards)).select(
+    out = place(placed, tree, tree_depth(shards)).select(
         "doc_id", "size", "text_crc32", "row_tag",
         _table(first, F.col("node")).cast("int").alias("shard"),
         F.pmod(F.xxhash64("row_tag"), F.lit(n_blocks)).alias("block"),
