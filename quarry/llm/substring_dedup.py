@@ -6,8 +6,9 @@ that length. So two equal strings have an anchor of the same hash at the same di
 
 1. Each text gives its anchors, each with a hash of its context (all strings that hold the anchor).
 2. An anchor hash that occurs once rules its strings out. Contexts that occur more than once repeat whole.
-3. Different contexts around one hash are the open cases: their bytes go to shards by anchor hash, each
-   shard is sorted by external induced sorting, and neighbours with a common prefix of LENGTH repeat.
+3. Different contexts around one hash are the open cases: their bytes go to shards by anchor hash. Those
+   that share none of a few windows with another one cannot repeat; the others are sorted, shard by shard,
+   by external induced sorting, and neighbours with a common prefix of LENGTH repeat.
 
 Shards are cut at ``SHARD_BYTES`` between anchor hashes; a single hash with more is sorted as one shard
 whose queues go to disk. Matches never cross documents and are judged on the input alone.
@@ -33,6 +34,10 @@ from quarry.llm.suffix_array import equal_runs, suffix_array
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 1 << 20
+#: Bytes of texts or contexts that a task turns into one batch.
+SLICE_BYTES = 1 << 22
+#: Contexts are compared by windows that start at every multiple of so many bytes before the anchor.
+STEP = 24
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPANS = "array<struct<a: int, b: int>>"
 
@@ -77,38 +82,77 @@ def context(data: bytes, at: int) -> tuple[int, bytes]:
     return low, data[low : at + LENGTH]
 
 
+def _list_of(sizes: list[int], fields: dict[str, tuple[list, pa.DataType]]) -> pa.Array:
+    """A list array whose rows hold so many structs of the given flat fields."""
+    offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v, t) for v, t in fields.values()], names=list(fields)))
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    item = pa.struct([("h", pa.int64()), ("c", pa.int64()), ("p", pa.int32())])
+    names = ["row_tag", "doc_id", "key", "n_bytes", "sha", "anchors"]
     for batch in batches:
-        keys, sizes, shas, found = [], [], [], []
-        for text in batch.column(2).to_pylist():
-            data = (text or "").encode("utf-8", "replace")
+        first = size = 0
+        keys, sizes, shas, own, h, c, p = [], [], [], [], [], [], []
+        for k, text in enumerate(batch.column(2)):
+            data = (text.as_py() or "").encode("utf-8", "replace")
             keys.append(xxhash.xxh3_128_digest(data))
             sizes.append(len(data))
             shas.append(hashlib.sha256(data).hexdigest())
-            own = []
-            for h, p in zip(*(x.tolist() for x in anchors(data)), strict=True):
-                low, near = context(data, p)
-                own.append({"h": h, "c": xxhash.xxh3_64_intdigest(near, seed=p - low) - (1 << 63), "p": p})
-            found.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(found, pa.list_(item))],
-            names=["row_tag", "doc_id", "key", "n_bytes", "sha", "anchors"],
-        )
+            hashes, places = anchors(data)
+            own.append(len(places))
+            h.extend(hashes.tolist())
+            p.extend(places.tolist())
+            for at in places.tolist():
+                low, near = context(data, at)
+                c.append(xxhash.xxh3_64_intdigest(near, seed=at - low) - (1 << 63))
+            size += len(data)
+            if size >= SLICE_BYTES or k + 1 == batch.num_rows:
+                found = _list_of(own, {"h": (h, pa.int64()), "c": (c, pa.int64()), "p": (p, pa.int32())})
+                rows = batch.slice(first, k + 1 - first)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas), found], names=names)
+                first, size = k + 1, 0
+                keys, sizes, shas, own, h, c, p = [], [], [], [], [], [], []
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(h: list, c: list, off: list, data: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary())], names=["h", "c", "off", "data"])
+
     for batch in batches:
-        h, c, off, data = [], [], [], []
-        for text, wanted in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            raw = (text or "").encode("utf-8", "replace")
-            for w in wanted:
+        h, c, off, data, size = [], [], [], [], 0
+        for text, wanted in zip(*batch.columns, strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "replace")
+            for w in wanted.as_py():
                 low, near = context(raw, w["p"])
                 h.append(w["h"])
                 c.append(w["c"])
                 off.append(w["p"] - low)
                 data.append(near)
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary())], names=["h", "c", "off", "data"])
+                size += len(near)
+                if size >= SLICE_BYTES:
+                    yield made(h, c, off, data)
+                    h, c, off, data, size = [], [], [], [], 0
+        yield made(h, c, off, data)
+
+
+def may_repeat(groups: list[int], offsets: list[int], contexts: list[bytes]) -> np.ndarray:
+    """False for contexts that surely share no LENGTH-byte string with another one of their anchor hash.
+
+    A string with l bytes before the anchor holds the LENGTH - STEP bytes from floor(l / STEP) * STEP before
+    it; so two contexts that share the string share one of these few windows at the same distance.
+    """
+    size = LENGTH - STEP
+    seen: dict[tuple[int, int, int], int] = {}
+    out = np.zeros(len(contexts), bool)
+    for k, (g, off, data) in enumerate(zip(groups, offsets, contexts, strict=True)):
+        for back in range(0, min(off, LENGTH - GRAM) + 1, STEP):
+            if off - back + size > len(data):
+                continue
+            window = (g, back, xxhash.xxh3_64_intdigest(data[off - back : off - back + size]))
+            before = seen.setdefault(window, k)
+            if before != k:
+                out[before] = out[k] = True
+    return out
 
 
 def repeated_spans(groups: list[int], offsets: list[int], contexts: list[bytes]) -> list[list[dict]]:
@@ -157,14 +201,28 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, kind)], names=["h", "c", "spans"])
 
     held: list[tuple] = []
+    group: list[tuple] = []
     size = 0
+
+    def settle() -> int:
+        """Moves the rows of one hash that may repeat to the shard; their bytes."""
+        keep = may_repeat([0] * len(group), [r[2] for r in group], [r[3] for r in group])
+        stay = [r for r, k in zip(group, keep.tolist(), strict=True) if k]
+        held.extend(stay)
+        group.clear()
+        return sum(len(r[3]) for r in stay)
+
     for batch in batches:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if size >= SHARD_BYTES and row[0] != held[-1][0]:
-                yield sort(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
+            if group and row[0] != group[-1][0]:
+                size += settle()
+                if size >= SHARD_BYTES:
+                    yield sort(held)
+                    held.clear()
+                    size = 0
+            group.append(row)
+    if group:
+        settle()
     if held:
         yield sort(held)
 
