@@ -7,8 +7,8 @@ that length. So two equal strings have an anchor of the same hash at the same di
 1. Each text gives its anchors, each with a hash of its context (all strings that hold the anchor).
 2. An anchor hash that occurs once rules its strings out. Contexts that occur more than once repeat whole.
 3. Different contexts around one hash are the open cases: their bytes go to shards by anchor hash. Those
-   that share none of a few windows with another one cannot repeat; the others are sorted, shard by shard,
-   by external induced sorting, and neighbours with a common prefix of LENGTH repeat.
+   that share none of a few windows with another one cannot repeat; the parts of the others that may are
+   sorted, shard by shard, by external induced sorting, and neighbours with a common prefix of LENGTH repeat.
 
 Shards are cut at ``SHARD_BYTES`` between anchor hashes; a single hash with more is sorted as one shard
 whose queues go to disk. Matches never cross documents and are judged on the input alone.
@@ -135,24 +135,26 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield made(h, c, off, data)
 
 
-def may_repeat(groups: list[int], offsets: list[int], contexts: list[bytes]) -> np.ndarray:
-    """False for contexts that surely share no LENGTH-byte string with another one of their anchor hash.
+def may_repeat(offsets: list[int], contexts: list[bytes]) -> list[tuple[int, int] | None]:
+    """For contexts of one anchor hash: the part that may hold a LENGTH-byte string of another one, or None.
 
     A string with l bytes before the anchor holds the LENGTH - STEP bytes from floor(l / STEP) * STEP before
-    it; so two contexts that share the string share one of these few windows at the same distance.
+    it; so two contexts that share the string share one of these few windows at the same distance. The part
+    runs from the first byte of any such string to the last one.
     """
     size = LENGTH - STEP
-    seen: dict[tuple[int, int, int], int] = {}
-    out = np.zeros(len(contexts), bool)
-    for k, (g, off, data) in enumerate(zip(groups, offsets, contexts, strict=True)):
+    seen: dict[tuple[int, int], int] = {}
+    shared: list[tuple[int, int] | None] = [None] * len(contexts)
+    for k, (off, data) in enumerate(zip(offsets, contexts, strict=True)):
         for back in range(0, min(off, LENGTH - GRAM) + 1, STEP):
             if off - back + size > len(data):
                 continue
-            window = (g, back, xxhash.xxh3_64_intdigest(data[off - back : off - back + size]))
-            before = seen.setdefault(window, k)
+            before = seen.setdefault((back, xxhash.xxh3_64_intdigest(data[off - back : off - back + size])), k)
             if before != k:
-                out[before] = out[k] = True
-    return out
+                for x in (before, k):
+                    least, most = shared[x] or (back, back)
+                    shared[x] = (min(least, back), max(most, back))
+    return [s and (max(0, off - s[1] - STEP + 1), min(len(data), off - s[0] + LENGTH)) for s, off, data in zip(shared, offsets, contexts, strict=True)]
 
 
 def repeated_spans(groups: list[int], offsets: list[int], contexts: list[bytes]) -> list[list[dict]]:
@@ -206,8 +208,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle() -> int:
         """Moves the rows of one hash that may repeat to the shard; their bytes."""
-        keep = may_repeat([0] * len(group), [r[2] for r in group], [r[3] for r in group])
-        stay = [r for r, k in zip(group, keep.tolist(), strict=True) if k]
+        parts = may_repeat([r[2] for r in group], [r[3] for r in group])
+        stay = [(h, c, off - p[0], data[p[0] : p[1]]) for (h, c, off, data), p in zip(group, parts, strict=True) if p]
         held.extend(stay)
         group.clear()
         return sum(len(r[3]) for r in stay)
