@@ -179,13 +179,13 @@ def repeated_spans(groups: list[int], offsets: list[int], contexts: list[bytes])
     same = (run[by][1:] == run[by][:-1]) & (group[by][1:] == group[by][:-1]) & (distance[by][1:] == distance[by][:-1])
     hit = by[np.r_[False, same] | np.r_[same, False]]
     starts = np.sort(order[hit])
-    for s in starts.tolist():
-        k = int(owner[s])
-        a = s - int(begins[k])
-        if out[k] and a <= out[k][-1]["b"]:
-            out[k][-1]["b"] = a + LENGTH
-        else:
-            out[k].append({"a": a, "b": a + LENGTH})
+    if not len(starts):
+        return out
+    at = owner[starts]
+    opens = np.r_[True, (at[1:] != at[:-1]) | (starts[1:] - starts[:-1] > LENGTH)]
+    closes = np.r_[opens[1:], True]
+    for k, first, last in zip(at[opens].tolist(), (starts - begins[at])[opens].tolist(), (starts - begins[at])[closes].tolist(), strict=True):
+        out[k].append({"a": first, "b": last + LENGTH})
     return out
 
 
