@@ -175,8 +175,9 @@ def repeated_spans(groups: list[int], offsets: list[int], contexts: list[bytes])
     distance = np.array(offsets)[mine] - (order - begins[mine])
     ok = (distance >= 0) & (distance <= LENGTH - GRAM)
     run, distance, group, order, mine = (x[ok] for x in (run, distance, np.array(groups)[mine], order, mine))
-    by = np.lexsort((distance, group, run))
-    same = (run[by][1:] == run[by][:-1]) & (group[by][1:] == group[by][:-1]) & (distance[by][1:] == distance[by][:-1])
+    place = (run * (max(groups) + 1) + group) * (LENGTH - GRAM + 1) + distance
+    by = np.argsort(place, kind="stable")
+    same = place[by][1:] == place[by][:-1]
     hit = by[np.r_[False, same] | np.r_[same, False]]
     starts = np.sort(order[hit])
     if not len(starts):
