@@ -296,3 +296,25 @@ def test_pipeline_on_a_small_table(spark, docs, tmp_path):
     assert 25 not in seen["decontamination"] and 26 in seen["decontamination"]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(seen["decontamination"])
+
+
+def test_parts_that_may_repeat_cover_every_repeated_string():
+    import random
+
+    draw, n, g = random.Random(5), substring_dedup.LENGTH, substring_dedup.GRAM
+    text = lambda size: bytes(draw.choice(b"abcd") for _ in range(size))
+    before, anchor, after = text(n - g), text(g), text(n - g)
+    rows = []
+    for _ in range(60):
+        left, right = draw.randrange(n - g + 1), draw.randrange(n - g + 1)
+        rows.append((n - g, text(n - g - left) + before[n - g - left :] + anchor + after[:right] + text(n - g - right)))
+    rows.append((10, before[-10:] + anchor + after))
+    seen: dict = {}
+    for k, (off, data) in enumerate(rows):
+        for a in range(len(data) - n + 1):
+            seen.setdefault((off - a, data[a : a + n]), []).append((k, a))
+    wanted = [x for found in seen.values() if len(found) > 1 for x in found]
+    parts = substring_dedup.may_repeat([r[0] for r in rows], [r[1] for r in rows])
+    assert wanted
+    assert all(parts[k] and parts[k][0] <= a and a + n <= parts[k][1] for k, a in wanted)
+    assert substring_dedup.may_repeat([], []) == []
