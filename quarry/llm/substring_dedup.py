@@ -10,8 +10,9 @@ that length. So two equal strings have an anchor of the same hash at the same di
    that share none of a few windows with another one cannot repeat; the parts of the others that may are
    sorted, shard by shard, by external induced sorting, and neighbours with a common prefix of LENGTH repeat.
 
-Shards are cut at ``SHARD_BYTES`` between anchor hashes; a single hash with more is sorted as one shard
-whose queues go to disk. Matches never cross documents and are judged on the input alone.
+Shards are cut at ``SHARD_BYTES`` between anchor hashes. A hash with more than ``MOST_CONTEXTS`` contexts is
+never held in one task: its contexts are split by the hashes of ever longer windows, down to the strings
+themselves (``hot_spans``). Matches never cross documents and are judged on the input alone.
 
 Defined cases: a null text is empty; texts under LENGTH bytes keep all bytes; copies of a longer text lose
 all bytes; repeated rows count as copies; an empty table gives an empty result; other columns are ignored.
@@ -20,10 +21,11 @@ all bytes; repeated rows count as copies; an empty table gives an empty result;
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,16 @@ from quarry.llm.suffix_array import equal_runs, suffix_array
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 1 << 20
+#: Different contexts of one anchor hash that a task may hold; those of a hash with more are counted by Spark.
+MOST_CONTEXTS = 2048
+#: Parts that the contexts of such a hash are dealt to.
+SALTS = 64
 #: Bytes of texts or contexts that a task turns into one batch.
 SLICE_BYTES = 1 << 22
 #: Contexts are compared by windows that start at every multiple of so many bytes before the anchor.
 STEP = 24
+#: The same for an anchor hash with many contexts, round by round; the windows of the last are the strings.
+STEPS = (24, 6, 1)
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPANS = "array<struct<a: int, b: int>>"
 
@@ -115,11 +123,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(h: list, c: list, off: list, data: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary())], names=["h", "c", "off", "data"])
+    def made(h: list, c: list, off: list, data: list, hot: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, pa.bool_())], names=["h", "c", "off", "data", "hot"])
 
     for batch in batches:
-        h, c, off, data, size = [], [], [], [], 0
+        h, c, off, data, hot, size = [], [], [], [], [], 0
         for text, wanted in zip(*batch.columns, strict=True):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             for w in wanted.as_py():
@@ -128,11 +136,12 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 c.append(w["c"])
                 off.append(w["p"] - low)
                 data.append(near)
+                hot.append(w["hot"])
                 size += len(near)
                 if size >= SLICE_BYTES:
-                    yield made(h, c, off, data)
-                    h, c, off, data, size = [], [], [], [], 0
-        yield made(h, c, off, data)
+                    yield made(h, c, off, data, hot)
+                    h, c, off, data, hot, size = [], [], [], [], [], 0
+        yield made(h, c, off, data, hot)
 
 
 def may_repeat(offsets: list[int], contexts: list[bytes]) -> list[tuple[int, int] | None]:
@@ -191,7 +200,7 @@ def repeated_spans(groups: list[int], offsets: list[int], contexts: list[bytes])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by h; a shard ends between two hashes once it has SHARD_BYTES."""
+    """Rows come sorted by hot and h; a shard ends between two hashes once it has SHARD_BYTES. Hot rows pass as they are."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
@@ -201,7 +210,10 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Spans count from the anchor, so that they fit every occurrence of the context.
         told = [(r[0], r[1], [{"a": s["a"] - r[2], "b": s["b"] - r[2]} for s in own]) for r, own in zip(rows, spans, strict=True) if own]
         h, c, s = zip(*told, strict=True) if told else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, kind)], names=["h", "c", "spans"])
+        return told_of(pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, kind), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()))
+
+    def told_of(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns), names=["h", "c", "spans", "off", "data"])
 
     held: list[tuple] = []
     group: list[tuple] = []
@@ -216,7 +228,11 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return sum(len(r[3]) for r in stay)
 
     for batch in batches:
-        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        hot = batch.filter(batch.column(4))
+        if hot.num_rows:
+            yield told_of(hot.column(0), hot.column(1), pa.nulls(hot.num_rows, kind), hot.column(2), hot.column(3))
+        cold = batch.filter(pc.invert(batch.column(4)))
+        for row in zip(*(x.to_pylist() for x in cold.columns[:4]), strict=True):
             if group and row[0] != group[-1][0]:
                 size += settle()
                 if size >= SHARD_BYTES:
@@ -230,6 +246,51 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sort(held)
 
 
+def _windows(width: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h, c, back, w) of the windows at every ``step`` bytes within ``width`` of the given distances: each
+    string with back <= l < back + step bytes before the anchor holds the LENGTH - step + 1 bytes from there."""
+    size = LENGTH - step + 1
+
+    def made(h: list, c: list, back: list, w: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(back, pa.int32()), pa.array(w, pa.binary())], names=["h", "c", "back", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c, back, w = [], [], [], []
+            for own_h, own_c, off, data, backs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for first in backs:
+                    for b in range(first, min(first + width, off + 1, LENGTH - GRAM + 1), step):
+                        if off - b + size <= len(data):
+                            h.append(own_h)
+                            c.append(own_c)
+                            back.append(b)
+                            w.append(xxhash.xxh3_128_digest(data[off - b : off - b + size]))
+                if len(h) >= SLICE_BYTES // 64:
+                    yield made(h, c, back, w)
+                    h, c, back, w = [], [], [], []
+            yield made(h, c, back, w)
+
+    return run
+
+
+def hot_spans(hot: DataFrame) -> DataFrame:
+    """(h, c, spans) of contexts (h, c, off, data) of anchor hashes with any number of contexts.
+
+    Each round keeps the windows that two contexts of the hash share and looks at longer ones within them.
+    Windows are counted by a pre-aggregated groupBy, so neither a hash nor a window is held in one task.
+    """
+    live, width, found = hot.select("h", "c", "off", "data", F.array(F.lit(0)).alias("backs")), LENGTH - GRAM + 1, None
+    for step in STEPS:
+        if found is not None:
+            live = hot.join(found.groupBy("h", "c").agg(F.collect_list("back").alias("backs")), ["h", "c"]).select("h", "c", "off", "data", "backs")
+        rows = materialise(live.mapInArrow(_windows(width, step), "h long, c long, back int, w binary"))
+        keys = materialise(rows.groupBy("h", "back", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+        found, width = rows.join(keys, ["h", "back", "w"], "left_semi"), step
+    # All strings of a context hold its anchor, so together they are one span.
+    least, most = F.min("back"), F.max("back")
+    return found.groupBy("h", "c").agg(F.array(F.struct((-most).alias("a"), (F.lit(LENGTH) - least).alias("b"))).alias("spans"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -263,7 +324,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["key", "text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_tag"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -276,9 +337,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialise(counted.join(per_h.where("all > 1"), "h").select("h", "c", "n", "forms", "first"))
     texts = docs.select(F.col(text_col).alias("text")).mapInArrow(_keyed, "key binary, text string")
     key_of = base.select("row_tag", "key")
-    wanted = shared.where("forms > 1").select("first.row_tag", F.struct("h", "c", "first.p").alias("w")).groupBy("row_tag").agg(F.collect_list("w").alias("wanted"))
-    cut = texts.join(wanted.join(key_of, "row_tag").select("key", "wanted"), "key").dropDuplicates(["key"]).select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, off int, data binary")
-    sorted_spans = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards, f"h long, c long, spans {_SPANS}")
+    wanted = shared.where("forms > 1").select("first.row_tag", F.struct("h", "c", "first.p", (F.col("forms") > most_contexts).alias("hot")).alias("w")).groupBy("row_tag").agg(F.collect_list("w").alias("wanted"))
+    cut = texts.join(wanted.join(key_of, "row_tag").select("key", "wanted"), "key").dropDuplicates(["key"]).select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, off int, data binary, hot boolean")
+    salt = F.when(F.col("hot"), F.pmod("c", F.lit(SALTS))).otherwise(0)
+    sorted_spans = cut.repartition(F.col("h"), salt).sortWithinPartitions("hot", "h").mapInArrow(_sort_shards, f"h long, c long, spans {_SPANS}, off int, data binary")
+    if not shared.where(F.col("forms") > most_contexts).isEmpty():
+        settled = materialise(sorted_spans)
+        hot = hot_spans(settled.where("data is not null").select("h", "c", "off", "data"))
+        sorted_spans = settled.where("data is null").select("h", "c", "spans").unionByName(hot)
+    sorted_spans = sorted_spans.select("h", "c", "spans")
     whole = F.array(F.struct(F.lit(-(LENGTH - GRAM)).alias("a"), F.lit(LENGTH).alias("b")))
     spans = sorted_spans.join(shared.where("n > 1").select("h", "c"), ["h", "c"], "left_anti").unionByName(shared.where("n > 1").select("h", "c", whole.alias("spans")))
     at = lambda s: F.struct((F.col("p") + s["a"]).alias("a"), (F.col("p") + s["b"]).alias("b"))

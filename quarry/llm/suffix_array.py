@@ -1,10 +1,10 @@
-"""Suffix order by external induced sorting, in vector steps.
+"""Suffix order by induced sorting with queues on disk, in vector steps.
 
 Suffixes are typed S or L; the left-most S suffixes (LMS) are ordered first, and all others are induced
 from them: one pass over the buckets of first bytes upwards for L, one downwards for S. Each bucket is a
 queue that receives suffixes in the order of the suffixes that induce them. A queue holds what fits in
-memory and appends the rest to a file of its own, so a shard may be larger than memory; the text may be a
-memory map. LMS suffixes are ordered by naming their substrings and, where names repeat, by doubling the
+memory and appends the rest to a file of its own. The text, the types and the order that comes out are held
+in memory, so callers bound their shards. LMS suffixes are ordered by naming their substrings and, where names repeat, by doubling the
 length of the compared prefix of the reduced string, up to the length that matters to the caller.
 """
 

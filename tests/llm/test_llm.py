@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,57 @@ def test_parts_that_may_repeat_cover_every_repeated_string():
     assert wanted
     assert all(parts[k] and parts[k][0] <= a and a + n <= parts[k][1] for k, a in wanted)
     assert substring_dedup.may_repeat([], []) == []
+
+
+def repeats_by_brute_force(texts):
+    n, starts = substring_dedup.LENGTH, Counter()
+    raw = [t.encode() for t in texts]
+    for t in raw:
+        starts.update(t[k : k + n] for k in range(len(t) - n + 1))
+    out = []
+    for t in raw:
+        gone = bytearray(len(t))
+        for k in range(len(t) - n + 1):
+            if starts[t[k : k + n]] > 1:
+                gone[k : k + n] = b"\1" * n
+        out.append(sum(gone))
+    return out
+
+
+def test_an_anchor_hash_with_many_contexts_is_split(spark):
+    """A line of 190 bytes in every text, with other neighbours, some of which repeat; also one of 120 and one of 260."""
+    draw = random.Random(9)
+    word = lambda k: "".join(draw.choice("abcdefghijklmnop ") for _ in range(k))
+    lines = [word(190), word(120), word(260)]
+    texts = []
+    for i in range(240):
+        line = lines[i % 3]
+        before, after = word(300), word(300)
+        if i % 10 < 3:
+            before = before[:-9] + "same left"
+        if i % 10 in (2, 3):
+            after = "same right end" + after[14:]
+        texts.append(before + line + after)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = dict(enumerate(repeats_by_brute_force(texts)))
+    assert 0 < sum(v > 0 for v in wanted.values()) < len(texts)
+    for most in (2, substring_dedup.MOST_CONTEXTS):
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs, most_contexts=most).collect()} == wanted
+
+
+def test_contexts_of_a_hot_hash_pass_the_sort_unheld():
+    taken = []
+
+    def batches():
+        for k in range(5):
+            taken.append(k)
+            yield pa.RecordBatch.from_pydict({"h": [7] * 3, "c": [k * 3 + i for i in range(3)], "off": [0] * 3, "data": [b"x" * 368] * 3, "hot": [True] * 3})
+
+    first = next(substring_dedup._sort_shards(batches()))
+    assert first.num_rows == 3 and taken == [0]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_repeats_do_not_depend_on_the_bound_of_contexts(docs, most):
+    one, other = (sorted(map(str, substring_dedup.remove_repeats(docs, **k).collect())) for k in ({}, {"most_contexts": most}))
+    assert one == other
