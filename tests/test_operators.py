@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from quarry.operators import graph as G
 from quarry.operators import ltr as L
 from quarry.operators import sampling as S
 from quarry.operators import stats as A
+from quarry.plans import content
 
 
 def rows(df):
@@ -107,3 +109,26 @@ def test_coordinate_ascent_and_pairwise_ranker_find_the_good_feature(spark):
     assert best == 1.0
     learned = L.pairwise_ranker(df, ["a", "b"])
     assert learned["a"] > abs(learned["b"])
+
+
+def tau_by_pairs(rows):
+    sign = lambda a, b: (a > b) - (a < b)
+    pairs = [(sign(a[0], b[0]), sign(a[1], b[1])) for k, a in enumerate(rows) for b in rows[:k]]
+    return sum(p * q for p, q in pairs) / math.sqrt(sum(p * p for p, _ in pairs) * sum(q * q for _, q in pairs))
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 256])
+def test_kendall_counts_equal_pairs(spark, ranges):
+    draw = random.Random(3)
+    few = [(draw.randint(0, 6), draw.randint(0, 40) / 4) for _ in range(150)]
+    for vector in (few, [(k, (k * 37 % 101) - k / 3) for k in range(101)], [(1, 2.0), (1, 3.0), (2, 2.5)]):
+        df = spark.createDataFrame(vector, "x int, y double")
+        assert A.kendall_tau_b(df, "x", "y", ranges).first()["tau"] == pytest.approx(tau_by_pairs(vector))
+    assert A.kendall_tau_b(spark.createDataFrame([(1, 1.0)], "x int, y double"), "x", "y").first()["tau"] is None
+    assert A.kendall_tau_b(spark.createDataFrame([], "x int, y double"), "x", "y").first()["tau"] is None
+
+
+def test_kendall_query_reads_all_suppliers(spark, tmp_path):
+    vector = [(k, draw % 25, float(draw * 7 % 1009)) for k, draw in ((k, k * k % 997) for k in range(1, 401))]
+    spark.createDataFrame(vector, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert content.tau(spark, str(tmp_path)).first()["tau"] == pytest.approx(tau_by_pairs([r[1:] for r in vector]), abs=1e-6)
