@@ -1,16 +1,42 @@
-"""Cutting the lineage of iterative plans in the shared folder that the session names."""
+"""Cutting the lineage of iterative plans, and scratch tables, in the shared folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only for a local master that names none, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_folder(spark)}/quarry/{uuid.uuid4().hex}/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``rows`` narrow rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

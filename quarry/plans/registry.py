@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from quarry.plans import content, graphs, ranking
+from quarry.plans import content, files, graphs, ranking
 
-_MODULES: tuple = (ranking, graphs, content)
+_MODULES: tuple = (ranking, graphs, content, files)
 
 
 def queries() -> dict[str, Query]:

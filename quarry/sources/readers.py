@@ -65,9 +65,19 @@ def pageviews(spark: SparkSession, path: str, domain: str = "en.wikipedia") -> D
     return rows.where(named(f[1]) & named(f[2])).select(f[2].alias("page_id"), f[1].alias("title"), f[4].try_cast("long").alias("views")).where("views is not null")
 
 
-def per_file(df: DataFrame, as_: str = "topic") -> DataFrame:
-    """The file's base name as a column: one file per topic."""
-    return df.withColumn(as_, F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1))
+def per_file(df: DataFrame, as_: str = "topic", pattern: str = r"([^/]+?)(?:\.[^./]+)?$") -> DataFrame:
+    """The file's base name, or the group of ``pattern`` in its path, as a column: one file per topic."""
+    return df.withColumn(as_, F.regexp_extract(F.input_file_name(), pattern, 1))
+
+
+def glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """All Parquet files that a path pattern with wildcards and character classes names."""
+    return spark.read.schema(schema).parquet(pattern)
+
+
+def no_nulls(df: DataFrame, key: str) -> DataFrame:
+    """Numbers without a value become 0; the key becomes text."""
+    return df.fillna(0).withColumn(key, F.col(key).cast("string"))
 
 
 def score_triples(spark: SparkSession, path: str) -> DataFrame:
