@@ -1,18 +1,21 @@
 """Removal of repeated byte strings: suffix order of the places where texts may repeat.
 
 Every byte covered by a ``LENGTH``-byte string that also starts elsewhere in the corpus is removed. Any
-such string holds an anchor: a ``GRAM``-byte gram whose hash is least among the grams of some window of
-that length. So two equal strings have an anchor of the same hash at the same distance from their starts.
+such string holds an anchor: its ``GRAM``-byte gram of the least hash. So two equal strings have an anchor
+of the same hash at the same distance from their starts.
 
-1. Each text gives its anchors, each with a hash of its context (all strings that hold the anchor).
-2. An anchor hash that occurs once rules its strings out. Contexts that occur more than once repeat whole.
-3. Different contexts around one hash are the open cases: their bytes go to shards by anchor hash. Those
+1. Each text gives its anchors, each with a hash of its context: the strings whose least gram it is. An
+   anchor hash that occurs once rules its strings out. Contexts that occur more than once repeat whole.
+2. Different contexts around one hash are the open cases: their bytes go to shards by anchor hash. Those
    that share none of a few windows with another one cannot repeat; the parts of the others that may are
-   sorted, shard by shard, by external induced sorting, and neighbours with a common prefix of LENGTH repeat.
+   sorted, shard by shard, by external induced sorting (``suffix_array``), which carries the common prefix of
+   neighbours; a common prefix of LENGTH is a repeat. A shard is a file; its queues spill to disk.
 
 Shards are cut at ``SHARD_BYTES`` between anchor hashes. A hash with more than ``MOST_CONTEXTS`` contexts is
 never held in one task: its contexts are split by the hashes of ever longer windows, down to the strings
-themselves (``hot_spans``). Matches never cross documents and are judged on the input alone.
+themselves (``hot_spans``). Matches never cross documents and are judged on the input alone. Copies of whole
+texts and of whole contexts are recognised by 128 bits of hashes (a context by its own 64 beside the 64 of
+its anchor), all other repeats by their bytes.
 
 Defined cases: a null text is empty; texts under LENGTH bytes keep all bytes; copies of a longer text lose
 all bytes; repeated rows count as copies; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +24,7 @@ all bytes; repeated rows count as copies; an empty table gives an empty result;
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, materialise
-from quarry.llm.suffix_array import equal_runs, suffix_array
+from quarry.llm.suffix_array import MEMORY, descending_suffixes
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 1 << 20
 #: Different contexts of one anchor hash that a task may hold; those of a hash with more are counted by Spark.
@@ -51,13 +55,14 @@ _SPANS = "array<struct<a: int, b: int>>"
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each position, by doubling."""
+    """Hash of the GRAM bytes at each position, by joining hashes of shorter grams."""
     h, size, factor = _VALUES[raw], 1, 0x9E3779B97F4A7C15
     while size < GRAM:
-        h = h[:-size] * np.uint64(factor) + h[size:]
+        step = min(size, GRAM - size)
+        h = h[:-step] * np.uint64(factor) + h[step:]
         h = h ^ (h >> np.uint64(29))
         factor = (factor * factor + 2) % (1 << 64)
-        size *= 2
+        size += step
     return h
 
 
@@ -73,21 +78,31 @@ def _sliding(h: np.ndarray, window: int, least: bool) -> np.ndarray:
     return op(after[:n], before[window - 1 : window - 1 + n])
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of every gram that is least in some window of a LENGTH-byte string."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, first and last start of the LENGTH-byte strings whose least gram it is); ties count each."""
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     h = gram_hashes(np.frombuffer(data, np.uint8))
     least = _sliding(h, WINDOW, True)
     opened = _sliding(np.r_[np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)], WINDOW, False)
     at = np.flatnonzero(opened == h)
-    return h[at].view(np.int64), at
+    begins = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    ends, value = np.r_[begins[1:], len(least)], least[begins]
+    # The strings of an anchor are a part of one run of equal least hashes.
+    run = np.searchsorted(begins, np.maximum(0, at - WINDOW + 1), "right") - 1
+    while (other := value[run] != h[at]).any():
+        run[other] += 1
+    return h[at].view(np.int64), at, np.maximum(begins[run], at - WINDOW + 1), np.minimum(ends[run] - 1, at)
 
 
-def context(data: bytes, at: int) -> tuple[int, bytes]:
-    """All LENGTH-byte strings that hold the gram at ``at``: where their bytes start, and the bytes."""
-    low = max(0, at - (LENGTH - GRAM))
-    return low, data[low : at + LENGTH]
+#: A place is one number: position of the anchor, bytes of the context before it, bytes beyond LENGTH.
+_OFF, _SIZE = 1 << 16, 1 << 8
+
+
+def context(data: bytes, place: int) -> tuple[int, bytes]:
+    """Bytes before the anchor, and all bytes, of the context at ``place``."""
+    at, off, more = place // _OFF, place // _SIZE % _SIZE, place % _SIZE
+    return off, data[at - off : at - off + LENGTH + more]
 
 
 def _list_of(sizes: list[int], fields: dict[str, tuple[list, pa.DataType]]) -> pa.Array:
@@ -96,30 +111,35 @@ def _list_of(sizes: list[int], fields: dict[str, tuple[list, pa.DataType]]) -> p
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v, t) for v, t in fields.values()], names=list(fields)))
 
 
+def _pick(key: bytes, doc_id: object) -> bytes:
+    """One key for a text and its row's id, so that the copies of a text are spread."""
+    return xxhash.xxh3_128_digest(key + repr(doc_id).encode("utf-8", "replace"))
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row_tag", "doc_id", "key", "n_bytes", "sha", "anchors"]
+    names = ["row_tag", "doc_id", "key", "pick", "n_bytes", "sha", "anchors"]
     for batch in batches:
         first = size = 0
-        keys, sizes, shas, own, h, c, p = [], [], [], [], [], [], []
+        keys, picks, sizes, shas, own, h, c, p = [], [], [], [], [], [], [], []
         for k, text in enumerate(batch.column(2)):
             data = (text.as_py() or "").encode("utf-8", "replace")
             keys.append(xxhash.xxh3_128_digest(data))
+            picks.append(_pick(keys[-1], batch.column(1)[k].as_py()))
             sizes.append(len(data))
             shas.append(hashlib.sha256(data).hexdigest())
-            hashes, places = anchors(data)
-            own.append(len(places))
+            hashes, at, low, high = anchors(data)
+            own.append(len(at))
             h.extend(hashes.tolist())
-            p.extend(places.tolist())
-            for at in places.tolist():
-                low, near = context(data, at)
-                c.append(xxhash.xxh3_64_intdigest(near, seed=at - low) - (1 << 63))
+            p.extend((at * _OFF + (at - low) * _SIZE + high - low).tolist())
+            for off, a, b in zip((at - low).tolist(), low.tolist(), (high + LENGTH).tolist(), strict=True):
+                c.append(xxhash.xxh3_64_intdigest(data[a:b], seed=off) - (1 << 63))
             size += len(data)
             if size >= SLICE_BYTES or k + 1 == batch.num_rows:
-                found = _list_of(own, {"h": (h, pa.int64()), "c": (c, pa.int64()), "p": (p, pa.int32())})
+                found = _list_of(own, {"h": (h, pa.int64()), "c": (c, pa.int64()), "p": (p, pa.int64())})
                 rows = batch.slice(first, k + 1 - first)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas), found], names=names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys, pa.binary()), pa.array(picks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas), found], names=names)
                 first, size = k + 1, 0
-                keys, sizes, shas, own, h, c, p = [], [], [], [], [], [], []
+                keys, picks, sizes, shas, own, h, c, p = [], [], [], [], [], [], [], []
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +151,10 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text, wanted in zip(*batch.columns, strict=True):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             for w in wanted.as_py():
-                low, near = context(raw, w["p"])
+                before, near = context(raw, w["p"])
                 h.append(w["h"])
                 c.append(w["c"])
-                off.append(w["p"] - low)
+                off.append(before)
                 data.append(near)
                 hot.append(w["hot"])
                 size += len(near)
@@ -166,66 +186,99 @@ def may_repeat(offsets: list[int], contexts: list[bytes]) -> list[tuple[int, int
     return [s and (max(0, off - s[1] - STEP + 1), min(len(data), off - s[0] + LENGTH)) for s, off, data in zip(shared, offsets, contexts, strict=True)]
 
 
-def repeated_spans(groups: list[int], offsets: list[int], contexts: list[bytes]) -> list[list[dict]]:
-    """For contexts of anchor hashes (as group numbers), the spans whose strings another context repeats."""
-    text = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    begins = np.cumsum(np.r_[0, sizes[:-1]])
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    order = suffix_array(text, depth=LENGTH)
-    order = order[order < len(owner)]
-    mine = owner[order]
-    order, mine = (x[order + LENGTH <= begins[mine] + sizes[mine]] for x in (order, mine))
-    out: list[list[dict]] = [[] for _ in contexts]
-    if not len(order):
-        return out
-    run = equal_runs(text, order, LENGTH)
-    # Equal strings at the same distance from the same anchor hash; other neighbours may be the same place.
-    distance = np.array(offsets)[mine] - (order - begins[mine])
-    ok = (distance >= 0) & (distance <= LENGTH - GRAM)
-    run, distance, group, order, mine = (x[ok] for x in (run, distance, np.array(groups)[mine], order, mine))
-    place = (run * (max(groups) + 1) + group) * (LENGTH - GRAM + 1) + distance
-    by = np.argsort(place, kind="stable")
-    same = place[by][1:] == place[by][:-1]
-    hit = by[np.r_[False, same] | np.r_[same, False]]
-    starts = np.sort(order[hit])
-    if not len(starts):
-        return out
-    at = owner[starts]
-    opens = np.r_[True, (at[1:] != at[:-1]) | (starts[1:] - starts[:-1] > LENGTH)]
-    closes = np.r_[opens[1:], True]
-    for k, first, last in zip(at[opens].tolist(), (starts - begins[at])[opens].tolist(), (starts - begins[at])[closes].tolist(), strict=True):
-        out[k].append({"a": first, "b": last + LENGTH})
+def _in_runs(text: np.ndarray, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(position, run number) of suffixes with a neighbour of the same LENGTH bytes; a run is whole within a block."""
+    held_at, held_run, run = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for at, lcp in descending_suffixes(text, LENGTH, memory):
+        number = run + np.cumsum(lcp < LENGTH)
+        run = int(number[-1])
+        at, number = np.append(held_at, at), np.append(held_run, number)
+        same = number[1:] == number[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        done = number < run
+        yield at[shared & done], number[shared & done]
+        held_at, held_run = at[~done], number[~done]
+    if len(held_at) > 1:
+        yield held_at, held_run
+
+
+def repeated_spans(text: np.ndarray, sizes: np.ndarray, groups: np.ndarray, offsets: np.ndarray, memory: int = MEMORY) -> list[list[dict]]:
+    """For contexts of anchor hashes (as group numbers), laid end to end in ``text``, the spans whose strings another one repeats."""
+    begins = np.cumsum(np.append(0, sizes[:-1]))
+    out: list[list[dict]] = [[] for _ in sizes]
+    with tempfile.TemporaryFile() as file:
+        hit = np.memmap(file, bool, "w+", shape=(len(text),))
+        for at, run in _in_runs(text, memory):
+            mine = np.searchsorted(begins, at, "right") - 1
+            # Equal strings at the same distance from the same anchor hash; other neighbours may be the same place.
+            distance = offsets[mine] - (at - begins[mine])
+            ok = (at + LENGTH <= begins[mine] + sizes[mine]) & (distance >= 0) & (distance <= LENGTH - GRAM)
+            at, run, distance, group = at[ok], run[ok], distance[ok], groups[mine[ok]]
+            if len(at):
+                place = ((run - run[0]) * (groups[-1] + 1) + group) * WINDOW + distance
+                by = np.argsort(place, kind="stable")
+                same = place[by][1:] == place[by][:-1]
+                hit[at[by[np.append(False, same) | np.append(same, False)]]] = True
+        for first in range(0, len(text), memory * 16):
+            starts = np.flatnonzero(hit[first : first + memory * 16]) + first
+            if not len(starts):
+                continue
+            mine = np.searchsorted(begins, starts, "right") - 1
+            opens = np.append(True, (mine[1:] != mine[:-1]) | (starts[1:] - starts[:-1] > LENGTH))
+            closes = np.append(opens[1:], True)
+            for k, a, b in zip(mine[opens].tolist(), (starts - begins[mine])[opens].tolist(), (starts - begins[mine])[closes].tolist(), strict=True):
+                out[k].append({"a": a, "b": b + LENGTH})
     return out
 
 
+class Shard:
+    """Contexts of whole anchor hashes; their bytes are in a file."""
+
+    def __init__(self):
+        self.file = tempfile.TemporaryFile()
+        self.size, self.h, self.c, self.off, self.sizes, self.groups = 0, [], [], [], [], []
+
+    def add(self, rows: list[tuple]) -> None:
+        """Rows (h, c, bytes before the anchor, data) of one hash."""
+        group = self.groups[-1] + 1 if self.groups else 0
+        for h, c, off, data in rows:
+            self.file.write(data)
+            self.size += len(data)
+            self.h.append(h)
+            self.c.append(c)
+            self.off.append(off)
+            self.sizes.append(len(data))
+            self.groups.append(group)
+
+    def spans(self) -> list[list[dict]]:
+        self.file.flush()
+        text = np.memmap(self.file, np.uint8, "r", shape=(self.size,))
+        return repeated_spans(text, *(np.array(x, np.int64) for x in (self.sizes, self.groups, self.off)))
+
+
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by hot and h; a shard ends between two hashes once it has SHARD_BYTES. Hot rows pass as they are."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def sort(rows: list[tuple]) -> pa.RecordBatch:
-        numbers: dict[int, int] = {}
-        groups = [numbers.setdefault(r[0], len(numbers)) for r in rows]
-        spans = repeated_spans(groups, [r[2] for r in rows], [r[3] for r in rows])
+    def sort(shard: Shard) -> pa.RecordBatch:
         # Spans count from the anchor, so that they fit every occurrence of the context.
-        told = [(r[0], r[1], [{"a": s["a"] - r[2], "b": s["b"] - r[2]} for s in own]) for r, own in zip(rows, spans, strict=True) if own]
+        told = [(h, c, [{"a": s["a"] - off, "b": s["b"] - off} for s in own]) for h, c, off, own in zip(shard.h, shard.c, shard.off, shard.spans(), strict=True) if own]
+        shard.file.close()
         h, c, s = zip(*told, strict=True) if told else ((), (), ())
         return told_of(pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, kind), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()))
 
     def told_of(*columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(columns), names=["h", "c", "spans", "off", "data"])
 
-    held: list[tuple] = []
-    group: list[tuple] = []
-    size = 0
+    shard, group = Shard(), []
 
-    def settle() -> int:
-        """Moves the rows of one hash that may repeat to the shard; their bytes."""
+    def settle() -> None:
+        """Moves the parts of the rows of one hash that may repeat to the shard."""
         parts = may_repeat([r[2] for r in group], [r[3] for r in group])
         stay = [(h, c, off - p[0], data[p[0] : p[1]]) for (h, c, off, data), p in zip(group, parts, strict=True) if p]
-        held.extend(stay)
+        if stay:
+            shard.add(stay)
         group.clear()
-        return sum(len(r[3]) for r in stay)
 
     for batch in batches:
         hot = batch.filter(batch.column(4))
@@ -234,16 +287,15 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold = batch.filter(pc.invert(batch.column(4)))
         for row in zip(*(x.to_pylist() for x in cold.columns[:4]), strict=True):
             if group and row[0] != group[-1][0]:
-                size += settle()
-                if size >= SHARD_BYTES:
-                    yield sort(held)
-                    held.clear()
-                    size = 0
+                settle()
+                if shard.size >= SHARD_BYTES:
+                    yield sort(shard)
+                    shard = Shard()
             group.append(row)
     if group:
         settle()
-    if held:
-        yield sort(held)
+    if shard.size:
+        yield sort(shard)
 
 
 def _windows(width: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -320,25 +372,28 @@ def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["key", "text"])
+        picks = [_pick(xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")), i) for i, t in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(picks, pa.binary()), batch.column(1)], names=["pick", "text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_tag"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    base = materialise(rows.mapInArrow(_survey, f"row_tag long, doc_id {kind}, key binary, n_bytes long, sha string, anchors array<struct<h: long, c: long, p: int>>"))
-    copies = base.groupBy("key").agg(F.min("row_tag").alias("row_tag"), F.count(F.lit(1)).alias("copies"))
-    firsts = base.select("row_tag", "anchors").join(copies.select("row_tag", "copies"), "row_tag")
-    placed = firsts.select("row_tag", "copies", F.explode("anchors").alias("x")).select("row_tag", "copies", "x.*")
-    counted = placed.groupBy("h", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("row_tag", "p")).alias("first"))
+    base = materialise(rows.mapInArrow(_survey, f"row_tag long, doc_id {kind}, key binary, pick binary, n_bytes long, sha string, anchors array<struct<h: long, c: long, p: long>>"))
+    copies = base.groupBy("key").agg(F.min(F.struct("row_tag", "pick")).alias("first"), F.count(F.lit(1)).alias("copies")).select("key", "first.*", "copies")
+    placed = base.select("row_tag", F.explode("anchors").alias("x")).select("row_tag", "x.*")
+    counted = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
     per_h = counted.groupBy("h").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("all"))
-    shared = materialise(counted.join(per_h.where("all > 1"), "h").select("h", "c", "n", "forms", "first"))
-    texts = docs.select(F.col(text_col).alias("text")).mapInArrow(_keyed, "key binary, text string")
-    key_of = base.select("row_tag", "key")
+    shared = counted.join(per_h.where("all > 1"), "h").select("h", "c", "n", "forms")
+    # Every place of a hash that occurs more than once; the other places play no part from here on.
+    placed = materialise(placed.join(shared, ["h", "c"]))
+    shared = materialise(placed.groupBy("h", "c", "n", "forms").agg(F.min(F.struct("row_tag", "p")).alias("first")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_keyed, "pick binary, text string")
+    # The text of one copy only: a text with many copies is spread by their ids.
+    key_of = base.select("row_tag", "key", "pick")
     wanted = shared.where("forms > 1").select("first.row_tag", F.struct("h", "c", "first.p", (F.col("forms") > most_contexts).alias("hot")).alias("w")).groupBy("row_tag").agg(F.collect_list("w").alias("wanted"))
-    cut = texts.join(wanted.join(key_of, "row_tag").select("key", "wanted"), "key").dropDuplicates(["key"]).select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, off int, data binary, hot boolean")
+    cut = texts.join(wanted.join(key_of, "row_tag").select("pick", "wanted"), "pick").dropDuplicates(["pick"]).select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, off int, data binary, hot boolean")
     salt = F.when(F.col("hot"), F.pmod("c", F.lit(SALTS))).otherwise(0)
     sorted_spans = cut.repartition(F.col("h"), salt).sortWithinPartitions("hot", "h").mapInArrow(_sort_shards, f"h long, c long, spans {_SPANS}, off int, data binary")
     if not shared.where(F.col("forms") > most_contexts).isEmpty():
@@ -346,14 +401,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hot = hot_spans(settled.where("data is not null").select("h", "c", "off", "data"))
         sorted_spans = settled.where("data is null").select("h", "c", "spans").unionByName(hot)
     sorted_spans = sorted_spans.select("h", "c", "spans")
-    whole = F.array(F.struct(F.lit(-(LENGTH - GRAM)).alias("a"), F.lit(LENGTH).alias("b")))
+    before = F.pmod(F.floor(F.col("first.p") / _SIZE), F.lit(_SIZE)).cast("int")
+    whole = F.array(F.struct((-before).alias("a"), (F.pmod("first.p", F.lit(_SIZE)).cast("int") + LENGTH - before).alias("b")))
     spans = sorted_spans.join(shared.where("n > 1").select("h", "c"), ["h", "c"], "left_anti").unionByName(shared.where("n > 1").select("h", "c", whole.alias("spans")))
-    at = lambda s: F.struct((F.col("p") + s["a"]).alias("a"), (F.col("p") + s["b"]).alias("b"))
-    found = placed.join(materialise(spans), ["h", "c"]).select("row_tag", F.transform("spans", at).alias("s"))
-    by_text = found.groupBy("row_tag").agg(F.flatten(F.collect_list("s")).alias("spans")).join(key_of, "row_tag").select("key", "spans")
+    at = lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b"))
+    anchor = F.floor(F.col("p") / _OFF).cast("int").alias("at")
+    found = placed.select("row_tag", "h", "c", anchor).join(materialise(spans), ["h", "c"]).select("row_tag", F.transform("spans", at).alias("s"))
     # Copies lose all bytes; only other texts with spans are read again.
-    partly = by_text.join(copies.where("copies > 1").select("key"), "key", "left_anti")
-    trimmed = texts.join(partly, "key").dropDuplicates(["key"]).select("key", "text", "spans").mapInArrow(_trim, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    single = copies.where("copies = 1").select("row_tag", "key", "pick")
+    partly = found.groupBy("row_tag").agg(F.flatten(F.collect_list("s")).alias("spans")).join(single, "row_tag").drop("row_tag")
+    trimmed = texts.join(partly, "pick").dropDuplicates(["pick"]).select("key", "text", "spans").mapInArrow(_trim, "key binary, n_removed long, n_spans long, kept_sha256 string")
     gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH)
     all_gone = lambda out, value, plain: F.when(gone, value).otherwise(F.coalesce(out, plain))
     return (

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -174,11 +176,35 @@ def test_components(spark):
     assert all(got[i] == (0 if i < 10 else 10) for i in range(21))
 
 
-def test_suffix_order_spills_to_disk():
-    rng = random.Random(2)
-    for n in (1, 2, 30, 200):
-        data = bytes(rng.choice(b"ab\x00") for _ in range(n))
-        assert suffix_array.suffix_array(np.frombuffer(data, np.uint8), in_memory=7).tolist() == sorted(range(n), key=lambda i: data[i:])
+def test_suffix_order_and_common_prefixes():
+    """Queues of a few tuples spill to disk; with a base of no symbols the recursion goes to its end."""
+    draw = random.Random(2)
+    for n in (1, 2, 3, 30, 200, 400):
+        for alphabet in (b"a", b"ab", b"abc\x00\xff", bytes(range(256))):
+            data = bytes(draw.choice(alphabet) for _ in range(n))
+            data = data if draw.random() < 0.5 else (data[: max(1, n // 5)] * 5)[:n]
+            for depth, memory, base in ((1000, 3, 0), (8, 50, 5), (1000, 1000, 1000)):
+                got = list(suffix_array.descending_suffixes(np.frombuffer(data, np.uint8), depth, memory, base))
+                order, common = (np.concatenate(x).tolist() for x in zip(*got, strict=True))
+                texts = [data[i : i + depth] for i in order]
+                assert sorted(order) == list(range(len(data))) and texts == sorted(texts, reverse=True)
+                assert common[0] == 0 and common[1:] == [len(os.path.commonprefix([a, b])) for a, b in zip(texts, texts[1:])]
+
+
+def test_suffix_sort_of_a_file_keeps_to_its_memory(tmp_path):
+    """A text whose tuples have 4 MB: queues of 64 kB and recursion to strings of 4,096 names."""
+    part = np.random.default_rng(3).integers(0, 256, 1 << 12, dtype=np.uint8).tobytes()
+    (tmp_path / "text").write_bytes(part * 64)
+    text = np.memmap(tmp_path / "text", np.uint8, "r")
+    tracemalloc.start()
+    seen = repeated = 0
+    for at, common in suffix_array.descending_suffixes(text, 200, memory=1 << 12, base=1 << 12):
+        seen += len(at)
+        repeated += int((common == 200).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(text) and repeated == 63 * len(part) - 199
+    assert peak < 2 << 20
 
 
 def test_repeats_against_brute_force(docs):
