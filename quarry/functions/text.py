@@ -51,7 +51,7 @@ def code_block(text: Column) -> Column:
     """The first fenced or inline code block, else the whole text."""
     fenced = F.regexp_extract(text, r"(?s)```(?:\w*\n)?(.*?)```", 1)
     inline = F.regexp_extract(text, r"`([^`]+)`", 1)
-    return F.trim(F.when(fenced != "", fenced).when(inline != "", inline).otherwise(text))
+    return F.btrim(F.when(fenced != "", fenced).when(inline != "", inline).otherwise(text), F.lit(" \t\r\n"))
 
 
 def without_braces(title: Column) -> Column:
@@ -65,3 +65,21 @@ def letters_only(title: Column) -> Column:
 
 def file_name(topic: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(topic)), r"[^\w\s-]", ""), r"[\s-]+", "_")
+
+
+def passage(text: Column, title: Column, mode: str, most: int = 1500) -> Column:
+    """What a ranker gets to read: ``full`` (cut), ``first_sentence``, ``first_paragraph`` or ``title_only``."""
+    if mode == "title_only":
+        return title
+    if mode == "first_sentence":
+        return first_sentence(text)
+    if mode == "first_paragraph":
+        parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return F.when(F.size(parts) > 1, parts[0]).otherwise(F.substring(text, 1, 200))
+    return F.substring(text, 1, most)
+
+
+def random_words(key: Column, vocabulary: Column, n: int, seed: int = 42) -> Column:
+    """``n`` words of an array, drawn by a seeded hash of the key: a random-text baseline."""
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", key, i, F.lit(seed))), 1, 8), 16, 10).cast("long")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(vocabulary, (draw(i) % F.size(vocabulary)).cast("int") + 1)), " ")

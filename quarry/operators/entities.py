@@ -57,3 +57,29 @@ def answer_titles(answer: Column) -> Column:
     scores = F.from_json(inner, "map<string,double>", {"mode": "PERMISSIVE"})
     by_score = F.transform(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("t")))), lambda x: x["t"])
     return F.when(F.size(named) > 0, named).when(F.size(plain) > 0, plain).when(single.isNotNull(), F.array(single)).when(F.size(by_score) > 0, by_score).otherwise(F.array().cast("array<string>"))
+
+
+def titles_of(aliases: DataFrame) -> DataFrame:
+    """(alias, docs): every title with the sorted set of its documents."""
+    return aliases.groupBy("alias").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+
+
+def spread_titles(resolved: DataFrame, reference: DataFrame) -> DataFrame:
+    """``titles_to_run`` scores where the m documents of one title are set apart: score + i / (m + 1), i = 1 ... m by
+    ascending score in the reference run (absent: lowest)."""
+    scored = titles_to_run(resolved).join(reference.select("qid", "doc_id", F.col("score").alias("_ref")), ["qid", "doc_id"], "left")
+    title = Window.partitionBy("qid", "position")
+    turn = F.row_number().over(title.orderBy(F.col("_ref").asc_nulls_first(), "doc_id"))
+    m = F.count(F.lit(1)).over(title)
+    return scored.withColumn("score", F.when(m > 1, F.col("score") + turn / (m + 1)).otherwise(F.col("score"))).drop("_ref")
+
+
+def question_lines(text: Column, mark: str = "Q: ") -> Column:
+    """Lines that start with ``mark``, without it and cut at the first full stop."""
+    cut = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.transform(F.filter(cut, lambda x: x.startswith(mark)), lambda x: F.trim(F.substring_index(F.substring(x, len(mark) + 1, 1 << 20), ".", 1)))
+
+
+def names_target(text: Column, target: Column) -> Column:
+    """Whether a text leaks the name it must not hold."""
+    return F.contains(F.lower(text), F.lower(target))

@@ -87,3 +87,21 @@ def coverage(qrels: DataFrame, run: DataFrame) -> DataFrame:
     return asked.join(have, "qid", "left").agg(
         F.count(F.lit(1)).alias("queries"), F.count_if(F.col("there").isNull()).alias("missing"), (F.count("there") * 100.0 / F.count(F.lit(1))).alias("coverage_pct")
     )
+
+
+def precision_at(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """(qid, accuracy, precision): any relevant document, and the share of relevant ones, among the first k; over judged queries."""
+    hits = run.where(F.col("rank") <= k).join(qrels.where("rel > 0").select("qid", "doc_id").distinct(), ["qid", "doc_id"]).groupBy("qid").agg(F.count(F.lit(1)).alias("h"))
+    judged = qrels.where("rel > 0").select("qid").distinct().join(hits, "qid", "left").fillna(0, ["h"])
+    return judged.select("qid", (F.col("h") > 0).cast("double").alias("accuracy"), (F.col("h") / k).alias("precision"))
+
+
+def metric_table(values: DataFrame, row: str, column: str, names: list[str], value: str = "value") -> DataFrame:
+    """One row per ``row`` with the mean value of each named ``column`` (a metric by version report)."""
+    return values.groupBy(row).pivot(column, names).agg(F.avg(value))
+
+
+def relative_to_first(values: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Adds ``relative``: the value in percent of the first row's by ``order``."""
+    first = values.agg(F.min_by(value, order).alias("_first"))
+    return values.crossJoin(F.broadcast(first)).withColumn("relative", F.try_divide(F.col(value) * 100.0, F.col("_first"))).drop("_first")

@@ -85,3 +85,28 @@ def listwise_requests(run: DataFrame, queries: DataFrame, docs: DataFrame, size:
 def missing_batches(queries: DataFrame, done: DataFrame, size: int = 50) -> DataFrame:
     """First indexes of the batches of ``size`` that have a query which is not done."""
     return queries.join(done, "qid", "left_anti").select((F.floor(F.col("idx") / size) * size).alias("batch")).distinct()
+
+
+def pooled_terms(own: DataFrame, related: DataFrame, k: int = 20, by: float = 1.5) -> DataFrame:
+    """(key, term, score, rank): the k best terms of a target's own scores times ``by`` and those of related texts."""
+    both = own.select("key", "term", (F.col("score") * by).alias("score")).unionByName(related.select("key", "term", "score"))
+    best = both.groupBy("key", "term").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "term")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def scored_by_model(pairs: DataFrame, model, columns: list[str], as_: str = "score") -> DataFrame:
+    """``pairs`` with the number that ``model(frame of the columns)`` gives each row: a batched cross-encoder hook.
+
+    ``model`` is called once per worker batch with a pandas frame; what it needs travels with it as a closure.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    kept = pairs.drop(as_)
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(**{as_: pd.Series(model(frame[columns]), index=frame.index, dtype="float64")})
+
+    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField(as_, T.DoubleType())]))

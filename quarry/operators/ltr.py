@@ -96,3 +96,63 @@ def pairwise_ranker(df: DataFrame, features: list[str], iterations: int = 20):
     both = diffs.unionByName(diffs.select(*[(-F.col(f)).alias(f) for f in features], F.lit(0.0).alias("y")))
     model = LogisticRegression(featuresCol="x", labelCol="y", maxIter=iterations, fitIntercept=False).fit(VectorAssembler(inputCols=features, outputCol="x").transform(both))
     return dict(zip(features, model.coefficients.toArray().tolist(), strict=True))
+
+
+def pair_features_scaled(both: DataFrame, epsilon: float = 1e-8) -> DataFrame:
+    """Second feature set of (qid, doc_id, s, d, sr, dr): scores scaled per query, logarithms over the greatest one's,
+    reciprocal ranks, and how far the best rank is from 1,000."""
+    w = Window.partitionBy("qid")
+    scaled = lambda c: (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w) + epsilon)
+    logs = lambda c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) / F.log1p(F.greatest(F.max(c).over(w), F.lit(0.0)) + 1)
+    return both.select(
+        "qid", "doc_id", scaled("s").alias("f1"), scaled("d").alias("f2"), logs("s").alias("f3"), logs("d").alias("f4"),
+        (1.0 / (F.col("sr") + 1)).alias("f5"), (1.0 / (F.col("dr") + 1)).alias("f6"), F.greatest((1000 - F.least("sr", "dr")) / 1000.0, F.lit(0.0)).alias("f7"),
+    )
+
+
+def document_features(both: DataFrame, documents: DataFrame) -> DataFrame:
+    """Third feature set: scores, ranks, log views and rank score of (doc_id, views, pagerank); missing ones are 0."""
+    joined = both.join(documents, "doc_id", "left").fillna(0, ["views", "pagerank"])
+    return joined.select("qid", "doc_id", F.col("s").alias("f1"), F.col("d").alias("f2"), F.col("sr").alias("f3"), F.col("dr").alias("f4"), F.log1p("views").alias("f5"), F.col("pagerank").alias("f6"))
+
+
+def tree_features(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Five features: dense score as it is, sparse score over 100 and words within 10 to 1,000 scaled to 0 ... 1,
+    z-scores of views and rank score over all documents. A pair without its document is an error of the input."""
+    stats = documents.agg(*[f(c).alias(f"{n}_{c}") for c in ("views", "pagerank") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0))
+    return required(pairs, documents, "doc_id").crossJoin(F.broadcast(stats)).select(
+        "qid", "doc_id", F.col("dense").alias("f1"), clamp(F.col("sparse"), 0, 100).alias("f2"), clamp(F.col("words").cast("double"), 10, 1000).alias("f3"), z("views").alias("f4"), z("pagerank").alias("f5"))
+
+
+def required(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """An inner join that fails when a row has no partner, at the row and not by a count."""
+    found = df.join(lookup.withColumn("_found", F.lit(True)), key, "left")
+    checked = F.when(F.col("_found"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
+    return found.where(checked).drop("_found")
+
+
+def label_counts(df: DataFrame) -> DataFrame:
+    """(queries, positives, negatives, least, most, average rows of a query)."""
+    per = df.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("p"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("average"))
+
+
+def triplets(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(qid, positive, negative): every negative of a query with each of its positives."""
+    return positives.select("qid", F.col("doc_id").alias("positive")).join(negatives.select("qid", F.col("doc_id").alias("negative")), "qid")
+
+
+def search(df: DataFrame, grid: dict[str, list], fit, score, share: float = 0.8, tries: int | None = None, seed: int = 42) -> list[tuple[dict, float]]:
+    """(settings, value) of all settings of ``grid``, or ``tries`` seeded ones, best first. Queries, not rows, are
+    split: ``fit(train, **settings)`` learns on ``share`` of them and ``score(model, rest)`` judges on the rest."""
+    import itertools
+    import random
+
+    from quarry.operators.sampling import split
+
+    parts = split(df, "qid", {"train": share, "rest": 1 - share}, seed)
+    train, rest = (df.join(parts.where(F.col("split") == name).select("qid"), "qid", "left_semi") for name in ("train", "rest"))
+    every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    chosen = every if tries is None else random.Random(seed).sample(every, min(tries, len(every)))
+    return sorted(((s, score(fit(train, **s), rest)) for s in chosen), key=lambda x: -x[1])

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from quarry.plans import content, files, graphs, ranking
+from quarry.plans import content, files, graphs, ranking, relational
 
-_MODULES: tuple = (ranking, graphs, content, files)
+_MODULES: tuple = (ranking, graphs, content, files, relational)
 
 
 def queries() -> dict[str, Query]:
