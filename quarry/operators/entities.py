@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import letters_only, without_braces
+from quarry.operators.retrieval import bm25, top_k
 
 
 def expand_aliases(docs: DataFrame, key: str = "doc_id", aliases: str = "aliases") -> DataFrame:
@@ -20,12 +21,29 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 101.0).otherwise(100 * (1 - F.levenshtein(a, b) / F.greatest(longer, F.lit(1))))
 
 
-def resolve(titles: DataFrame, aliases: DataFrame, candidates: DataFrame, least: float = 70.0) -> DataFrame:
+def plain_letters(c: Column) -> Column:
+    return letters_only(without_braces(c))
+
+
+def normal_titles(titles: DataFrame) -> DataFrame:
+    """Titles on letters alone, where that changes them."""
+    return titles.withColumn("_n", plain_letters(F.col("title"))).where("_n <> title").select("title_id", F.col("_n").alias("title"))
+
+
+def bm25_candidates(titles: DataFrame, aliases: DataFrame, k: int = 10) -> DataFrame:
+    """(title_id, doc_id): the k best documents of each title by their aliases."""
+    texts = aliases.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("alias")), " ").alias("text"))
+    scores = bm25(texts, titles.select(F.col("title_id").alias("qid"), F.col("title").alias("text")))
+    return top_k(scores.withColumn("score", F.round("score", 6)), k).select(F.col("qid").alias("title_id"), "doc_id")
+
+
+def resolve(titles: DataFrame, aliases: DataFrame, candidates: DataFrame, least: float = 70.0, normal: DataFrame | None = None) -> DataFrame:
     """(title_id, doc_id, strategy, score): exact alias, else the best fuzzy alias of the title's candidate
-    documents, else the same on letters alone. Each stage takes the titles that earlier ones left."""
+    documents, else the same on letters alone, else that over ``normal``: the candidates of the title's letters.
+    Each stage takes the titles that earlier ones left."""
     exact = titles.join(aliases, titles["title"] == aliases["alias"]).select("title_id", "doc_id", F.lit(1).alias("strategy"), F.lit(101.0).alias("score")).distinct()
 
-    def fuzzy(left: DataFrame, strategy: int, clean) -> DataFrame:
+    def fuzzy(left: DataFrame, strategy: int, clean, candidates: DataFrame = candidates) -> DataFrame:
         pairs = left.join(candidates, "title_id").join(aliases, "doc_id")
         scored = pairs.select("title_id", "doc_id", similarity(clean(F.col("title")), clean(F.col("alias"))).alias("score"))
         best = Window.partitionBy("title_id").orderBy(F.desc("score"), "doc_id")
@@ -33,8 +51,12 @@ def resolve(titles: DataFrame, aliases: DataFrame, candidates: DataFrame, least:
 
     left = titles.join(exact.select("title_id"), "title_id", "left_anti")
     second = fuzzy(left, 2, lambda c: c)
-    third = fuzzy(left.join(second.select("title_id"), "title_id", "left_anti"), 3, lambda c: letters_only(without_braces(c)))
-    return exact.unionByName(second).unionByName(third)
+    left = left.join(second.select("title_id"), "title_id", "left_anti")
+    third = fuzzy(left, 3, plain_letters)
+    out = exact.unionByName(second).unionByName(third)
+    if normal is None:
+        return out
+    return out.unionByName(fuzzy(left.join(third.select("title_id"), "title_id", "left_anti"), 4, plain_letters, normal))
 
 
 def titles_to_run(resolved: DataFrame) -> DataFrame:

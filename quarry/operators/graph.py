@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.lineage import cut
+from quarry.operators.lineage import cut, spread_join
 
 
 def dense_ids(df: DataFrame, key: str, as_: str = "idx") -> DataFrame:
@@ -53,7 +53,7 @@ def two_hop(edges: DataFrame, articles: DataFrame, middles: DataFrame) -> DataFr
     m = middles.select("id")
     out_of = edges.join(a.withColumnRenamed("id", "src"), "src", "left_semi").join(m.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("mid"))
     into = edges.join(m.withColumnRenamed("id", "src"), "src", "left_semi").join(a.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("mid"), "dst")
-    return out_of.join(into, "mid").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return spread_join(out_of, into, "mid").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def shared_target(edges: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def shared_target(edges: DataFrame, targets: DataFrame, most: int | None = None)
         small = into.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("dst")
         into = into.join(small, "dst", "left_semi")
     other = into.select(F.col("src").alias("other"), "dst")
-    return into.join(other, "dst").where("src <> other").groupBy("src", F.col("other").alias("dst"), "kind").agg(F.count(F.lit(1)).alias("weight"))
+    return spread_join(into, other, "dst").where("src <> other").groupBy("src", F.col("other").alias("dst"), "kind").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def drop_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:

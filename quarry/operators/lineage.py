@@ -40,3 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint where it has at most ``rows`` narrow rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: int = 100_000, parts: int = 64) -> DataFrame:
+    """Inner join on ``key`` where rows of a key with over ``hot`` rows on the left are dealt to ``parts`` tasks, each
+    with its own copy of the key's right rows. There are at most rows / ``hot`` such keys."""
+    heavy = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(key, F.lit(True).alias("_hot"))
+    if heavy.isEmpty():
+        return left.join(right, key)
+    heavy = broadcast_if_small(heavy)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(parts))).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    one = left.join(heavy, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    two = right.join(heavy, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return one.join(two, [key, "_salt"]).drop("_salt")

@@ -93,6 +93,12 @@ def p_value(r: float, n: int) -> float:
     return math.erfc(abs(math.atanh(r)) * math.sqrt(n - 3) / math.sqrt(2))
 
 
+def stars_of(r, n):
+    """Stars of the two-sided p of a correlation of n pairs, by Fisher's transformation."""
+    z = F.when(F.abs(r) < 1, F.abs(F.atanh(r)) * F.sqrt(F.greatest(n - 3, F.lit(0)))).otherwise(1e9)
+    return F.when(z > 3.2905267, "***").when(z > 2.5758293, "**").when(z > 1.9599640, "*").otherwise("")
+
+
 def stars(p):
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 

@@ -45,7 +45,8 @@ def density(spark, d):
 
 
 def verdicts(spark, d):
-    return docs(spark, d).select("doc_id", Q.verdict(F.col("source"), F.col("text")).alias("good"), Q.is_listing(F.col("source"), F.col("text")).alias("listing"), Q.coherent_paragraph(F.col("text")).alias("coherent"), Q.sentence_quality(F.col("text")).alias("well_formed"))
+    out = Q.judge(docs(spark, d).select("doc_id", "source", "text"), "source", "text")
+    return out.select("doc_id", "good", "listing", "coherent", "well_formed")
 
 
 _RULES = {"film": (["tion", "the"], "ing and", 3), "person": (["der", "und"], "von der", 2), "place": (["que", "los"], "de la", 2)}
@@ -56,7 +57,7 @@ def classified(spark, d):
 
 
 def topics(spark, d):
-    return t.table(spark, d, "part").select("p_partkey", Q.matching_topic(F.col("p_type"), ["small", "small_brass", "economy", "promo_steel"], "general").alias("topic"), X.file_name(F.col("p_name")).alias("file"))
+    return t.table(spark, d, "part").select("p_partkey", Q.matching_topic(F.concat_ws(" ", "p_type", "p_name"), ["small", "small_red", "economy", "promo_ring"], "general").alias("topic"), X.file_name(F.col("p_name")).alias("file"))
 
 
 def normalised(spark, d):
@@ -93,7 +94,7 @@ def passage_max(spark, d):
     base = vecs(spark, d)
     passages = base.select((F.col("id") % 50).alias("doc_id"), "vector")
     asked = base.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q_vector"))
-    pairs = asked.select("qid", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 7, 99)])).alias("doc_id"))
+    pairs = asked.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(50).cast("long"))).alias("doc_id"))
     return K.max_passage_scores(pairs, passages, asked).select("qid", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -127,7 +128,7 @@ def tau(spark, d):
 
 def correlation(spark, d):
     r = docs(spark, d).groupBy("lang").agg(F.corr("n_chars", F.length(F.regexp_replace("text", "[^e]", ""))).alias("r"), F.count(F.lit(1)).alias("n"))
-    return r.select("lang", F.round("r", 6).alias("r"), A.stars(1 - F.abs("r")).alias("stars"), "n")
+    return r.select("lang", F.round("r", 6).alias("r"), A.stars_of(F.col("r"), F.col("n")).alias("stars"), "n")
 
 
 def tfidf(spark, d):
@@ -154,9 +155,13 @@ def graded(spark, d):
     return S.graded_sample(runs, t.containment_qrels(spark, d))
 
 
+def two_runs(spark, d, k):
+    runs = ranking.bm25_runs(spark, d, {"x": (0.8, 1.0), "y": (2.0, 0.3)}, k)
+    return [runs.where(F.col("variant") == v).drop("variant") for v in ("x", "y")]
+
+
 def features(spark, d):
-    a, b = ranking.bm25_run(spark, d, 50), ranking.bm25_run(spark, d, 50, 2.0, 0.3)
-    f = L.pair_features(a, b)
+    f = L.pair_features(*two_runs(spark, d, 50))
     return f.select("qid", "doc_id", *[F.round(f"f{k}", 2).alias(f"f{k}") for k in range(1, 8)])
 
 
@@ -172,12 +177,12 @@ def z_scores(spark, d):
 
 
 def feature_audit(spark, d):
-    f = L.pair_features(ranking.bm25_run(spark, d, 50), ranking.bm25_run(spark, d, 50, 2.0, 0.3))
+    f = L.pair_features(*two_runs(spark, d, 50))
     return L.audit(f, ["f1", "f2", "f5", "f7"]).select("feature", *[F.round(c, 4).alias(c) for c in ("min", "max", "avg", "std")], "constant")
 
 
 def svmrank(spark, d):
-    f = L.pair_features(ranking.bm25_run(spark, d, 20), ranking.bm25_run(spark, d, 20, 2.0, 0.3)).withColumn("label", F.lit(0))
+    f = L.pair_features(*two_runs(spark, d, 20)).withColumn("label", F.lit(0))
     back = L.parse_svmrank(L.format_svmrank(f, ["f5", "f6", "f7"], 4))
     return back.select("label", "qid", "doc_id", F.size("features").alias("n"), F.element_at("features", 3).alias("best"))
 
@@ -188,11 +193,14 @@ def aliases(spark, d):
 
 
 def resolved(spark, d):
-    parts = t.table(spark, d, "part").where("p_partkey <= 150")
-    al = parts.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("alias"))
-    titles = parts.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("title_id"), F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("x"))).alias("title"))
-    cand = titles.select("title_id", F.explode(F.sequence(F.col("title_id") - 2, F.col("title_id") + 2)).alias("doc_id"))
-    return N.resolve(titles, al, cand).select("title_id", "doc_id", "strategy", F.round("score", 4).alias("score"))
+    """Every name of a part in four spellings, against the names of all parts; candidates are BM25's ten best."""
+    al = t.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("alias"))
+    names = al.groupBy("alias").agg(F.min("doc_id").alias("k"))
+    n = F.col("alias")
+    forms = [n, F.concat(n, F.lit("x")), F.concat(F.upper(F.substring(n, 1, 1)), F.regexp_replace(F.expr("substring(alias, 2)"), " ", "-"), F.lit("!")), F.concat(F.regexp_replace(n, " ", "_ "), F.lit("_"))]
+    titles = names.select("k", F.posexplode(F.array(*forms)).alias("form", "title")).select((F.col("k") * 10 + F.col("form")).alias("title_id"), "title")
+    out = N.resolve(titles, al, N.bm25_candidates(titles, al), normal=N.bm25_candidates(N.normal_titles(titles), al))
+    return out.select("title_id", "doc_id", "strategy", F.round("score", 4).alias("score"))
 
 
 def upsert(spark, d):
@@ -222,7 +230,7 @@ def valid_ids(spark, d):
 
 
 def search_like(spark, d):
-    return t.table(spark, d, "part").where(F.ilike("p_type", F.lit("%STEEL%"))).orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_type")
+    return t.table(spark, d, "part").where(F.ilike("p_type", F.lit("%small%"))).orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_type")
 
 
 def variants_of(spark, d):
@@ -231,7 +239,7 @@ def variants_of(spark, d):
 
 
 def metric_pivot(spark, d):
-    return docs(spark, d).groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count(F.lit(1))).fillna(0)
+    return docs(spark, d).groupBy("lang").pivot("source", [f"src{k}" for k in range(20)]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def run_file(spark, d):
@@ -267,7 +275,7 @@ QUERIES = {
     "word_counts": (word_counts, f"SELECT doc_id, CAST(len(w) AS INTEGER) AS words, round(len(w) * 1.3, 2) AS tokens, CAST(length(array_to_string(w[1:5], ' ')) AS INTEGER) AS five FROM (SELECT doc_id, {_W} AS w FROM documents)"),
     "text_shapes": (text_shapes, r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS paragraphs,
 CAST(length(CASE WHEN contains(text, chr(10) || chr(10)) THEN trim(string_split(text, chr(10) || chr(10))[1]) ELSE text[1:500] END) AS INTEGER) AS first_paragraph, CAST(least(length(text), 1500) AS INTEGER) AS capped,
-md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS INTEGER) AS unique_words FROM documents"""),
+md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS INTEGER) AS unique_words FROM documents"""),
     "quality_density": (density, rf"""WITH l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 10) AS ls, {_W} AS w FROM documents)
 SELECT doc_id, round(CASE WHEN len(ls) = 0 THEN 0 ELSE len(list_filter(ls, lambda x: regexp_matches(x, '\|.*\|'))) / len(ls) END, 4) AS table_share, CAST(len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 8)) AS INTEGER) AS sentences,
 CAST(regexp_matches(lower(text), 'the\b') AS INTEGER) + CAST(regexp_matches(lower(text), 'tion\b') AS INTEGER) + CAST(contains(text, 'xyz') AS INTEGER) AS hits,
@@ -276,8 +284,8 @@ round(CASE WHEN len(w) = 0 THEN 0 ELSE (len(regexp_extract_all(lower(text), 'tio
     "keyword_class": (classified, """WITH s AS (SELECT doc_id, contains(lower(text), 'tion')::INT + contains(lower(text), 'the')::INT + 3 * contains(lower(text), 'ing and')::INT AS f, contains(lower(text), 'der')::INT + contains(lower(text), 'und')::INT + 2 * contains(lower(text), 'von der')::INT AS p,
 contains(lower(text), 'que')::INT + contains(lower(text), 'los')::INT + 2 * contains(lower(text), 'de la')::INT AS l FROM documents)
 SELECT doc_id, CASE WHEN greatest(f, p, l) = 0 THEN 'other' WHEN f = greatest(f, p, l) THEN 'film' WHEN p = greatest(f, p, l) THEN 'person' ELSE 'place' END AS kind FROM s"""),
-    "topic_match": (topics, r"""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') AND contains(lower(p_type), 'steel') THEN 'promo_steel' WHEN contains(lower(p_type), 'small') AND contains(lower(p_type), 'brass') THEN 'small_brass' WHEN contains(lower(p_type), 'economy') THEN 'economy' WHEN contains(lower(p_type), 'small') THEN 'small' ELSE 'general' END AS topic,
-regexp_replace(regexp_replace(lower(trim(p_name)), '[^\w\s-]', '', 'g'), '[\s-]+', '_', 'g') AS file FROM part"""),
+    "topic_match": (topics, r"""SELECT p_partkey, CASE WHEN contains(x, 'promo') AND contains(x, 'ring') THEN 'promo_ring' WHEN contains(x, 'small') AND contains(x, 'red') THEN 'small_red' WHEN contains(x, 'economy') THEN 'economy' WHEN contains(x, 'small') THEN 'small' ELSE 'general' END AS topic,
+regexp_replace(regexp_replace(lower(trim(p_name)), '[^\w\s-]', '', 'g'), '[\s-]+', '_', 'g') AS file FROM (SELECT *, lower(p_type || ' ' || p_name) AS x FROM part)"""),
     "vector_norms": (normalised, f"WITH {_EMB} SELECT id, round(1.0, 4)::DOUBLE AS norm, round(list_dot_product(v::DOUBLE[], v::DOUBLE[]), 4) AS square FROM e"),
     "mean_pool": (pooled, f"WITH {_EMB}, p AS (SELECT CAST(id % 50 AS VARCHAR) AS page, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e) SELECT page, CAST(pos AS INTEGER) AS pos, round(avg(x::DOUBLE), 4) + 0.0 AS x FROM p GROUP BY ALL"),
     "sparse_max_pool": (max_pooled, f"WITH {_EMB}, p AS (SELECT id % 50 AS doc, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e) SELECT doc, CAST(pos AS INTEGER) AS term, max(round(ln(1 + greatest(x::DOUBLE, 0)), 6)) AS weight FROM p GROUP BY ALL HAVING max(round(ln(1 + greatest(x::DOUBLE, 0)), 6)) > 0.01"),
@@ -285,7 +293,7 @@ regexp_replace(regexp_replace(lower(trim(p_name)), '[^\w\s-]', '', 'g'), '[\s-]+
     "knn_per_topic": (partial(knn_all, topic="topic"), f"WITH {_EMB} SELECT q.id AS query, b.id AS neighbor, round(list_dot_product(q.v, b.v)::DOUBLE, 4) AS score FROM e q JOIN e b USING (topic) WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, b.v) DESC, b.id) <= 11"),
     "sparse_index_scores": (sparse_scores, f"""WITH {_EMB}, p AS (SELECT * FROM (SELECT id, round(unnest(v)::DOUBLE, 4) AS w, generate_subscripts(v, 1) - 1 AS term FROM e) WHERE w > 0.01),
 s AS (SELECT q.id AS qid, p.id AS doc_id, round(sum(q.w * p.w), 6) AS score FROM p q JOIN p USING (term) WHERE q.id % 100 = 0 GROUP BY ALL) SELECT qid, doc_id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s.score DESC, doc_id) <= 20"""),
-    "max_passage": (passage_max, f"""WITH {_EMB}, a AS (SELECT q.id AS qid, unnest([1, 7, 99]) AS doc_id, q.v FROM e q WHERE q.id % 100 = 0)
+    "max_passage": (passage_max, f"""WITH {_EMB}, a AS (SELECT q.id AS qid, unnest(range(51)) AS doc_id, q.v FROM e q WHERE q.id % 100 = 0)
 SELECT qid, CAST(a.doc_id AS BIGINT) AS doc_id, round(coalesce(max(list_dot_product(a.v::DOUBLE[], e.v::DOUBLE[])), -100.0), 4) AS score FROM a LEFT JOIN e ON e.id % 50 = a.doc_id GROUP BY ALL"""),
     "token_windows": (token_windows, rf"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(greatest(0, CAST(ceil((len(w) - 256) / 192.0) AS BIGINT)) + 1)) AS i FROM w),
 x AS (SELECT doc_id, i, w[i * 192 + 1 : i * 192 + 256] AS s FROM c) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, ' ')) AS digest FROM x WHERE len(s) >= 16"""),
@@ -293,8 +301,8 @@ x AS (SELECT doc_id, i, w[i * 192 + 1 : i * 192 + 256] AS s FROM c) SELECT doc_i
     "truncated_percentiles": (percentile_cuts, "WITH s AS (SELECT list_sort(list(n_chars)) AS l FROM documents) SELECT p, l[least(CAST(floor(p / 100 * len(l)) AS BIGINT), len(l) - 1) + 1] AS value FROM s CROSS JOIN (SELECT unnest([25, 50, 80, 95]) AS p)"),
     "range_histogram": (word_histogram, f"WITH w AS (SELECT len({_W}) AS n FROM documents) SELECT CASE WHEN n < 500 THEN 0 WHEN n < 1000 THEN 1 WHEN n < 2500 THEN 2 WHEN n < 5000 THEN 3 ELSE 4 END AS bucket, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM w), 4) AS pct FROM w GROUP BY 1"),
     "regression": (regressions, "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem GROUP BY 1"),
-    "kendall_tau": (tau, "WITH s AS (SELECT * FROM supplier WHERE s_suppkey <= 200) SELECT round(sum(sign(a.s_nationkey - b.s_nationkey) * sign(a.s_acctbal - b.s_acctbal)) / sqrt(sum(abs(sign(a.s_nationkey - b.s_nationkey))) * sum(abs(sign(a.s_acctbal - b.s_acctbal)))), 6) AS tau FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey"),
-    "correlation": (correlation, "WITH c AS (SELECT lang, corr(n_chars, length(regexp_replace(text, '[^e]', '', 'g'))) AS r, count(*) AS n FROM documents GROUP BY 1) SELECT lang, round(r, 6) AS r, CASE WHEN 1 - abs(r) < 0.001 THEN '***' WHEN 1 - abs(r) < 0.01 THEN '**' WHEN 1 - abs(r) < 0.05 THEN '*' ELSE '' END AS stars, n FROM c"),
+    "kendall_tau": (tau, "WITH s AS (SELECT * FROM supplier) SELECT round(sum(sign(a.s_nationkey - b.s_nationkey) * sign(a.s_acctbal - b.s_acctbal)) / sqrt(sum(abs(sign(a.s_nationkey - b.s_nationkey))) * sum(abs(sign(a.s_acctbal - b.s_acctbal)))), 6) AS tau FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey"),
+    "correlation": (correlation, "WITH c AS (SELECT lang, corr(n_chars, length(regexp_replace(text, '[^e]', '', 'g'))) AS r, count(*) AS n FROM documents GROUP BY 1) SELECT lang, round(r, 6) AS r, CASE WHEN abs(r) >= 1 OR abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) > 3.2905267 THEN '***' WHEN abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) > 2.5758293 THEN '**' WHEN abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) > 1.9599640 THEN '*' ELSE '' END AS stars, n FROM c"),
     "tf_idf": (tfidf, r"""WITH c AS (SELECT qid, term, count(*) AS tf FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL), i AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term)
 SELECT qid, term, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid)), 5) AS weight FROM c JOIN i USING (term)"""),
     "stratified_sample": (category_sample, "WITH c AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM documents) SELECT doc_id, source FROM c WHERE r <= CASE WHEN n < 10 THEN 0 WHEN n < 100 THEN 1 WHEN n < 500 THEN 3 WHEN n < 1000 THEN 4 ELSE 5 END"),
@@ -311,20 +319,27 @@ SELECT qid, doc_id, round(s, 2) AS f1, round(d, 2) AS f2, round(ln(1 + s), 2) AS
 u AS (SELECT unnest(['f1', 'f2', 'f5', 'f7']) AS feature, unnest([s, d, 1 / (sr + 1), least(sr, dr)::DOUBLE]) AS v FROM f) SELECT feature, round(min(v), 4) AS min, round(max(v), 4) AS max, round(avg(v), 4) AS avg, round(stddev_pop(v), 4) AS std, stddev_pop(v) < 1e-6 AS constant FROM u GROUP BY feature"""),
     "svmrank_round_trip": (svmrank, None),
     "alias_expansion": (aliases, "SELECT DISTINCT doc_id, unnest([source || ' (' || lang || ')', source, upper(lang)]) AS alias FROM documents"),
-    "title_resolution": (resolved, """WITH p AS (SELECT * FROM part WHERE p_partkey <= 150), ti AS (SELECT p_partkey AS title_id, CASE WHEN p_partkey % 10 = 0 THEN p_name ELSE p_name || 'x' END AS title FROM p WHERE p_partkey % 5 = 0),
-x AS (SELECT DISTINCT title_id, p_partkey AS doc_id, 1 AS strategy, 101.0 AS score FROM ti JOIN p ON p_name = title),
-f AS (SELECT title_id, p_partkey AS doc_id, 2 AS strategy, CASE WHEN title = p_name THEN 101.0 ELSE 100 * (1 - levenshtein(title, p_name) / greatest(length(title), length(p_name), 1)) END AS score FROM ti JOIN p ON p_partkey BETWEEN title_id - 2 AND title_id + 2 WHERE title_id NOT IN (SELECT title_id FROM x) QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY 4 DESC, 2) >= 1),
-b AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, doc_id) AS r FROM f)
-SELECT title_id, doc_id, strategy, round(score::DOUBLE, 4) AS score FROM x UNION ALL SELECT title_id, doc_id, strategy, round(score::DOUBLE, 4) FROM b WHERE r = 1 AND score >= 70"""),
+    "title_resolution": (resolved, f"""WITH al AS (SELECT p_partkey AS doc_id, p_name AS alias FROM part), nm AS (SELECT alias, min(doc_id) AS k FROM al GROUP BY alias),
+ti AS (SELECT k * 10 + i AS title_id, CASE i WHEN 0 THEN alias WHEN 1 THEN alias || 'x' WHEN 2 THEN upper(alias[1]) || replace(alias[2:], ' ', '-') || '!' ELSE replace(alias, ' ', '_ ') || '_' END AS title FROM nm CROSS JOIN (SELECT unnest(range(4)) AS i)),
+no AS (SELECT title_id, trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g')) AS title FROM ti),
+{t.bm25_sql(0.8, 1.0, "c1", "SELECT doc_id, alias AS text FROM al", "SELECT title_id AS qid, title AS text FROM ti")}, {t.run_sql("c1", "r1", 10)},
+{t.bm25_sql(0.8, 1.0, "c2", "SELECT doc_id, alias AS text FROM al", "SELECT no.title_id AS qid, no.title AS text FROM no JOIN ti USING (title_id) WHERE no.title <> ti.title")}, {t.run_sql("c2", "r2", 10)},
+x AS (SELECT title_id, doc_id, 1 AS strategy, 101.0 AS score FROM ti JOIN al ON alias = title),
+p2 AS (SELECT title_id, doc_id, title AS a, alias AS b FROM ti JOIN r1 ON qid = title_id JOIN al USING (doc_id)),
+p3 AS (SELECT title_id, doc_id, no.title AS a, trim(regexp_replace(lower(alias), '[^a-z0-9 ]', '', 'g')) AS b FROM no JOIN r1 ON qid = title_id JOIN al USING (doc_id)),
+p4 AS (SELECT title_id, doc_id, no.title AS a, trim(regexp_replace(lower(alias), '[^a-z0-9 ]', '', 'g')) AS b FROM no JOIN r2 ON qid = title_id JOIN al USING (doc_id)),
+f AS (SELECT *, CASE WHEN a = b THEN 101.0 ELSE 100 * (1 - levenshtein(a, b) / greatest(length(a), length(b), 1)) END AS score FROM (SELECT 2 AS strategy, * FROM p2 UNION ALL SELECT 3, * FROM p3 UNION ALL SELECT 4, * FROM p4)),
+g AS (SELECT * FROM f WHERE title_id NOT IN (SELECT title_id FROM x) AND score >= 70 QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY strategy, score DESC, doc_id) = 1)
+SELECT title_id, doc_id, strategy, round(score::DOUBLE, 4) AS score FROM x UNION ALL SELECT title_id, doc_id, strategy, round(score::DOUBLE, 4) FROM g"""),
     "keep_latest": (upsert, "SELECT user_id, event_type, event_id, round(value, 2) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"),
     "json_fields": (json_fields, "WITH k AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS kinds, count(*) FILTER (k >= 50) AS high FROM k GROUP BY 1"),
     "metadata_merge": (metadata_merge, "SELECT d.doc_id, lang, coalesce(v.views, 0) AS views, quality FROM documents d LEFT JOIN (SELECT user_id, count(*) AS views FROM events GROUP BY 1) v ON v.user_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id"),
     "valid_and_removed": (valid_ids, "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'kept' ELSE 'removed' END AS part FROM documents"),
-    "like_search": (search_like, "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%' ORDER BY p_retailprice DESC, p_partkey LIMIT 20"),
+    "like_search": (search_like, "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%small%' ORDER BY p_retailprice DESC, p_partkey LIMIT 20"),
     "grouped_variants": (variants_of, "SELECT conv_id, count(*) AS n, string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY turn, text) AS lengths FROM conversations WHERE role = 'user' GROUP BY 1"),
-    "metric_pivot": (metric_pivot, "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY 1"),
+    "metric_pivot": (metric_pivot, "SELECT lang, " + ", ".join(f"count(*) FILTER (source = 'src{k}') AS src{k}" for k in range(20)) + " FROM documents GROUP BY 1"),
     "run_file": (run_file, f"WITH {t.bm25_sql(0.8, 1.0)}, {t.run_sql('bm25', 'run', 10)} SELECT qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.1f', round(score, 1)) || ' bm25' AS value FROM run"),
-    "run_validation": (run_check, None),
+    "run_validation": (run_check, f"WITH {t.bm25_sql(0.8, 1.0)}, {t.run_sql('bm25', 'run', 10)} SELECT count(*) + 2 AS lines, CAST(1 AS BIGINT) AS bad_fields, CAST(1 AS BIGINT) AS bad_literal, CAST(2 AS BIGINT) AS bad_rank, CAST(1 AS BIGINT) AS bad_score, count(DISTINCT qid) + 2 AS queries, false AS valid FROM run"),
     "windowed_events": (windowed_events, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"),
     "running_totals": (running_views, "SELECT user_id, CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
@@ -35,19 +36,18 @@ def two_hop(spark, d):
 
 def shared_target(spark, d):
     targets = t.pages(spark, d).where("namespace <> 0").select("id", F.col("namespace").alias("kind"))
-    return G.shared_target(t.links(spark, d), targets, most=100)
+    return G.shared_target(t.links(spark, d), targets)
 
 
 def category_shared(spark, d):
     """Orders of a customer as pages of a category; the target key is text that may not be a number."""
     o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.when(F.col("o_custkey") % 11 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("target"))
     edges = o.select("src", F.col("target").try_cast("long").alias("dst")).where("dst is not null")
-    return G.shared_target(edges, edges.select(F.col("dst").alias("id"), F.lit(1).alias("kind")).distinct(), most=60).where("src < dst")
+    return G.shared_target(edges, edges.select(F.col("dst").alias("id"), F.lit(1).alias("kind")).distinct()).where("src < dst")
 
 
 def touching(spark, d):
-    some = articles(spark, d).where("id % 10 = 0")
-    return G.edges_touching(t.links(spark, d), some)
+    return G.edges_touching(t.links(spark, d), articles(spark, d))
 
 
 def merged(spark, d):
@@ -57,7 +57,7 @@ def merged(spark, d):
 
 
 def not_isolated(spark, d):
-    return G.drop_isolated(t.pages(spark, d), t.links(spark, d).where("src % 3 = 0")).select("id", "namespace")
+    return G.drop_isolated(t.pages(spark, d), t.links(spark, d)).select("id", "namespace")
 
 
 def degree(spark, d):
@@ -95,9 +95,10 @@ def hits(spark, d):
 
 
 def component_sizes(spark, d):
-    nodes = t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    edges = nodes.where("id % 7 <> 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-    return G.components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    """Customers linked to the next one of their nation and segment."""
+    c = t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment")
+    edges = c.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("id")).alias("dst")).where("dst is not null")
+    return G.components(c.select("id"), edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 _N = t.PART_LINKS_SQL + ", nodes AS (SELECT p_partkey AS id FROM part)"
@@ -130,13 +131,13 @@ QUERIES = {
     "motif_one_hop": (one_hop, f"WITH {t.LINKS_SQL} SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS weight FROM links_t WHERE src <> dst AND src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part)"),
     "motif_two_hop": (two_hop, f"""WITH {t.LINKS_SQL}, e AS (SELECT DISTINCT src, dst FROM links_t), {t.PAGES_SQL}, m AS (SELECT id FROM pages_t WHERE namespace <> 0 OR is_redirect <> '0')
 SELECT a.src, b.dst, count(*) AS weight FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst AND a.dst IN (SELECT id FROM m) AND a.src IN (SELECT p_partkey FROM part) AND b.dst IN (SELECT p_partkey FROM part) GROUP BY ALL"""),
-    "motif_shared_target": (shared_target, f"""WITH {t.LINKS_SQL}, e AS (SELECT DISTINCT src, dst FROM links_t WHERE dst IN (SELECT o_orderkey + 10000000 FROM orders)), s AS (SELECT * FROM e WHERE dst IN (SELECT dst FROM e GROUP BY dst HAVING count(*) <= 100))
+    "motif_shared_target": (shared_target, f"""WITH {t.LINKS_SQL}, e AS (SELECT DISTINCT src, dst FROM links_t WHERE dst IN (SELECT o_orderkey + 10000000 FROM orders)), s AS (SELECT * FROM e)
 SELECT a.src, b.src AS dst, 14 AS kind, count(*) AS weight FROM s a JOIN s b USING (dst) WHERE a.src <> b.src GROUP BY a.src, b.src"""),
-    "category_shared_target": (category_shared, """WITH e AS (SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey % 11 <> 0), s AS (SELECT * FROM e WHERE dst IN (SELECT dst FROM e GROUP BY dst HAVING count(*) <= 60))
+    "category_shared_target": (category_shared, """WITH e AS (SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey % 11 <> 0), s AS (SELECT * FROM e)
 SELECT a.src, b.src AS dst, 1 AS kind, count(*) AS weight FROM s a JOIN s b USING (dst) WHERE a.src < b.src GROUP BY a.src, b.src"""),
-    "edges_touching": (touching, f"WITH {t.LINKS_SQL} SELECT DISTINCT src, dst FROM links_t WHERE (src IN (SELECT p_partkey FROM part) AND src % 10 = 0) OR (dst IN (SELECT p_partkey FROM part) AND dst % 10 = 0)"),
+    "edges_touching": (touching, f"WITH {t.LINKS_SQL} SELECT DISTINCT src, dst FROM links_t WHERE src IN (SELECT p_partkey FROM part) OR dst IN (SELECT p_partkey FROM part)"),
     "graph_merge": (merged, f"WITH {_N} SELECT src, dst, weight + 0.75 AS weight FROM plinks".replace("weight + 0.75", "CAST(weight + 0.5 + 0.25 AS DOUBLE)")),
-    "drop_isolated": (not_isolated, f"WITH {t.LINKS_SQL}, {t.PAGES_SQL}, e AS (SELECT * FROM links_t WHERE src % 3 = 0) SELECT id, namespace FROM pages_t WHERE id IN (SELECT src FROM e) OR id IN (SELECT dst FROM e)"),
+    "drop_isolated": (not_isolated, f"WITH {t.LINKS_SQL}, {t.PAGES_SQL}, e AS (SELECT * FROM links_t) SELECT id, namespace FROM pages_t WHERE id IN (SELECT src FROM e) OR id IN (SELECT dst FROM e)"),
     "degrees": (degree, f"WITH {t.LINKS_SQL}, {t.PAGES_SQL}, nodes AS (SELECT id FROM pages_t), {_DEG.format(e='links_t')} SELECT id, in_degree, out_degree FROM deg"),
     "degree_centrality": (centrality, f"WITH {_N}, {_DEG.format(e='plinks')} SELECT id, round(in_degree / (SELECT count(*) - 1 FROM nodes), 8) AS in_centrality, round(out_degree / (SELECT count(*) - 1 FROM nodes), 8) AS out_centrality FROM deg"),
     "degree_distribution": (degree_distribution, f"WITH {_N}, {_DEG.format(e='plinks')} SELECT in_degree, count(*) AS nodes FROM deg GROUP BY in_degree"),
@@ -146,6 +147,5 @@ round(avg(in_degree), 6) AS avg_in, round(stddev(in_degree), 6) AS std_in, count
     "pagerank_converged": (pagerank_converged, None),
     "personalized_pagerank": (ppr, _walk(3, "SELECT id % 3 AS qid, id, 0.25 AS p FROM nodes WHERE id <= 12") + " SELECT qid, id, round(score, 9) AS score FROM s3"),
     "hits": (hits, _hits_sql(3)),
-    "components": (component_sizes, """WITH c AS (SELECT c_custkey AS id, sum(CASE WHEN (c_custkey - 1) % 7 = 0 OR c_custkey - 1 NOT IN (SELECT c_custkey FROM customer) THEN 1 ELSE 0 END) OVER (ORDER BY c_custkey) AS g FROM customer)
-SELECT min(id) AS component, count(*) AS n FROM c GROUP BY g"""),
+    "components": (component_sizes, "SELECT min(c_custkey) AS component, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment"),
 }

@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 from quarry.operators import evaluate as E
 from quarry.operators import fusion as U
 from quarry.operators import retrieval as R
+from quarry.operators.lineage import cut
 from quarry.plans import tables as t
 
 
+def bm25_runs(spark, d, settings, k=100):
+    """(variant, qid, doc_id, score, rank): the runs of several settings of (k1, b), from one pass over the texts; written once."""
+    scores = R.bm25_settings(t.table(spark, d, "documents").select("doc_id", "text"), t.queries(spark, d), settings)
+    each = scores.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.round(v, 6).alias("score")) for v in settings])).alias("x")).select("qid", "doc_id", "x.*")
+    order = Window.partitionBy("variant", "qid").orderBy(F.desc("score"), "doc_id")
+    return cut(each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
 def bm25_run(spark, d, k=100, k1=0.8, b=1.0):
-    scores = R.bm25(t.table(spark, d, "documents").select("doc_id", "text"), t.queries(spark, d), k1, b)
-    return R.top_k(scores.withColumn("score", F.round("score", 6)), k)
+    return bm25_runs(spark, d, {"run": (k1, b)}, k).drop("variant")
 
 
 _RUN = t.bm25_sql(0.8, 1.0) + ",\n" + t.run_sql("bm25", "run", 100)
 
 
 def variants(spark, d, k=100):
-    settings = {"v0": (0.8, 1.0), "v1": (1.2, 0.75), "v2": (2.0, 0.3)}
-    out = None
-    for name, (k1, b) in settings.items():
-        one = bm25_run(spark, d, k, k1, b).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return bm25_runs(spark, d, {"v0": (0.8, 1.0), "v1": (1.2, 0.75), "v2": (2.0, 0.3)}, k)
 
 
 _VARIANTS = ",\n".join([
@@ -97,16 +100,17 @@ def evaluator_rr(spark, d):
 
 def deltas(spark, d):
     qrels, out = t.containment_qrels(spark, d), []
-    for k1, b in ((0.8, 1.0), (1.2, 0.75)):
-        run = bm25_run(spark, d, 100, k1, b)
+    runs = bm25_runs(spark, d, {"x": (0.8, 1.0), "y": (1.2, 0.75)})
+    for v in ("x", "y"):
+        run = runs.where(F.col("variant") == v).drop("variant")
         one = E.summary(E.recall(run, qrels, 10), "recall").select(F.lit("recall_10").alias("metric"), F.round("mean", 5).alias("value"))
         out.append(one.unionByName(E.summary(E.reciprocal_rank(run, qrels), "rr").select(F.lit("rr").alias("metric"), F.round("mean", 5).alias("value"))))
     return E.compare(*out)
 
 
 def qrel_coverage(spark, d):
-    half = bm25_run(spark, d).where("qid % 2 = 0")
-    return E.coverage(t.containment_qrels(spark, d), half).select("queries", "missing", F.round("coverage_pct", 4).alias("coverage_pct"))
+    strong = bm25_run(spark, d).where("score >= 150")
+    return E.coverage(t.containment_qrels(spark, d), strong).select("queries", "missing", F.round("coverage_pct", 4).alias("coverage_pct"))
 
 
 def negatives(spark, d):
@@ -130,7 +134,7 @@ def max_fusion(spark, d):
 
 
 def rerank_length(spark, d, keep=False):
-    feature = t.table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars")).where("n_chars > 500")
+    feature = t.table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
     return U.rerank_by(bm25_run(spark, d), feature, "n_chars", keep).select("qid", "doc_id", "rank", "score")
 
 
@@ -182,7 +186,7 @@ a AS (SELECT 'recall_10' AS metric, round(avg(recall), 5) AS v FROM ({_RECALL.fo
 b AS (SELECT 'recall_10' AS metric, round(avg(recall), 5) AS v FROM ({_RECALL.format(run='ry', k=10)}) UNION ALL SELECT 'rr', round(avg(rr), 5) FROM ({_RR.format(run='ry')}))
 SELECT metric, a.v AS baseline, b.v AS reranked, round(b.v - a.v, 2) AS change, round(CASE WHEN a.v = 0 THEN 0 ELSE (b.v - a.v) * 100 / a.v END, 2) AS change_pct FROM a JOIN b USING (metric)"""),
     "qrel_coverage": (qrel_coverage, f"""WITH {_RUN}, {t.QRELS_SQL} SELECT count(*) AS queries, count(*) FILTER (h.qid IS NULL) AS missing, round(count(h.qid) * 100.0 / count(*), 4) AS coverage_pct
-FROM (SELECT DISTINCT qid FROM qrels) q LEFT JOIN (SELECT DISTINCT qid FROM run WHERE qid % 2 = 0) h ON h.qid = q.qid"""),
+FROM (SELECT DISTINCT qid FROM qrels) q LEFT JOIN (SELECT DISTINCT qid FROM run WHERE score >= 150) h ON h.qid = q.qid"""),
     "first_negatives": (negatives, f"""WITH {_RUN}, {t.QRELS_SQL}, n AS (SELECT qid, doc_id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM run ANTI JOIN qrels USING (qid, doc_id)) SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM n WHERE k <= 30"""),
     "rrf": (rrf, f"""WITH {_VARIANTS}, f AS (SELECT qid, doc_id, sum(1 / (60 + rank)) AS fused, count(DISTINCT variant) AS n_variants, min({{'v': variant, 'r': rank}}) AS s FROM runs GROUP BY ALL)
 SELECT qid, doc_id, round(fused, 6) AS fused, n_variants FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, s.v, s.r, doc_id) <= 50"""),
@@ -193,8 +197,8 @@ SELECT qid, count(*) AS unique_docs, count(*) FILTER (h = v) AS in_all, count(*)
     "comb_sum": (partial(comb, how="sum"), f"WITH {_VARIANTS} SELECT qid, doc_id, round(sum(score), 1) AS score FROM runs GROUP BY ALL"),
     "comb_mnz": (partial(comb, how="mnz"), f"WITH {_VARIANTS} SELECT qid, doc_id, round(sum(score) * count(*), 1) AS score FROM runs GROUP BY ALL"),
     "max_score_fusion": (max_fusion, f"WITH {_VARIANTS}, m AS (SELECT qid, doc_id, max(score) AS score FROM runs GROUP BY ALL) SELECT qid, doc_id, round(score, 2) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY m.score DESC, doc_id) AS INTEGER) AS rank FROM m QUALIFY rank <= 50"),
-    "rerank_by_feature": (rerank_length, f"WITH {_RUN} SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, r.rank) AS INTEGER) AS rank, CAST(n_chars AS DOUBLE) AS score FROM run r JOIN documents USING (doc_id) WHERE n_chars > 500"),
-    "rerank_keep_rank": (partial(rerank_length, keep=True), f"WITH {_RUN} SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(n_chars AS DOUBLE) AS score FROM run JOIN documents USING (doc_id) WHERE n_chars > 500"),
+    "rerank_by_feature": (rerank_length, f"WITH {_RUN} SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, r.rank) AS INTEGER) AS rank, CAST(n_chars AS DOUBLE) AS score FROM run r JOIN documents USING (doc_id)"),
+    "rerank_keep_rank": (partial(rerank_length, keep=True), f"WITH {_RUN} SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(n_chars AS DOUBLE) AS score FROM run JOIN documents USING (doc_id)"),
     "concatenated_runs": (concatenated, f"""WITH {_VARIANTS}, m AS (SELECT qid, doc_id, min({{'p': CAST(variant[2:2] AS INTEGER), 'r': rank}}) AS a FROM runs WHERE rank <= 20 GROUP BY ALL)
 SELECT qid, doc_id, a.p AS priority, CAST(row_number() OVER (PARTITION BY qid ORDER BY a.p, a.r, doc_id) AS INTEGER) AS rank FROM m"""),
     "rewritten_scores": (rewritten, f"WITH {_RUN} SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(greatest(6 - rank, 1) AS DOUBLE) AS score FROM run WHERE rank <= 10"),

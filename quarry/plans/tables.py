@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import cut
+from quarry.operators.retrieval import containing
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,10 +18,9 @@ def queries(spark, sf_dir):
 
 
 def containment_qrels(spark, sf_dir):
-    """(qid, doc_id, rel): the document holds the item as it stands. The item set is small and fixed."""
-    items = queries(spark, sf_dir).withColumnRenamed("text", "item")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.contains("text", "item")).select("qid", "doc_id", F.lit(1).alias("rel"))
+    """(qid, doc_id, rel): the document holds the item as it stands; written once."""
+    found = containing(table(spark, sf_dir, "documents").select("doc_id", "text"), queries(spark, sf_dir))
+    return cut(found.distinct().select("qid", "doc_id", F.lit(1).alias("rel")))
 
 
 def links(spark, sf_dir):
@@ -58,12 +60,13 @@ PART_LINKS_SQL = NEXT_SQL + """, plinks AS (SELECT src, dst, count(*) AS weight
 QRELS_SQL = """qrels AS (SELECT item_id AS qid, doc_id, 1 AS rel FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
 
 
-def bm25_sql(k1: float, b: float, name: str = "bm25") -> str:
+def bm25_sql(k1: float, b: float, name: str = "bm25", docs: str = "SELECT doc_id, text FROM documents", queries: str = "SELECT item_id AS qid, text FROM benchmark") -> str:
     """CTEs that end in ``name``(qid, doc_id, score)."""
-    return rf"""{name}_tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents),
-{name}_dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS dl FROM documents),
+    cut_text = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+    return f"""{name}_tok AS (SELECT doc_id, unnest({cut_text}) AS term FROM ({docs})),
+{name}_dl AS (SELECT doc_id, len({cut_text}) AS dl FROM ({docs})),
 {name}_st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_dl),
-{name}_q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark) GROUP BY ALL),
+{name}_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({cut_text}) AS term FROM ({queries})) GROUP BY ALL),
 {name}_tf AS (SELECT doc_id, term, count(*) AS tf FROM {name}_tok WHERE term IN (SELECT term FROM {name}_q) GROUP BY ALL),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
 {name} AS (SELECT q.qid, t.doc_id, sum(q.qtf * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * ({k1} + 1) / (t.tf + {k1} * (1 - {b} + {b} * l.dl / s.avgdl))) AS score

@@ -132,3 +132,44 @@ def test_kendall_query_reads_all_suppliers(spark, tmp_path):
     vector = [(k, draw % 25, float(draw * 7 % 1009)) for k, draw in ((k, k * k % 997) for k in range(1, 401))]
     spark.createDataFrame(vector, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     assert content.tau(spark, str(tmp_path)).first()["tau"] == pytest.approx(tau_by_pairs([r[1:] for r in vector]), abs=1e-6)
+
+
+def test_judge_equals_the_expressions(spark):
+    from quarry.operators import quality as Q
+
+    words = "Water is known as a liquid because it flows. For example, rivers such as this one carry it far away from its source. "
+    texts = [None, "", "short", words * 3, words * 9, "* item\n* item two is long enough\n* item three is long enough\n" * 9, "a | b | c d e f g h |\n" * 20, "It may refer to: " + words * 4, words + "\n\n" + words * 5]
+    df = spark.createDataFrame([(i, t, "List of x" if i == 4 else "x") for i, t in enumerate(texts)], "id long, text string, title string")
+    t, title = F.col("text"), F.col("title")
+    got = Q.judge(df, "title", "text").select("id", "good", "listing", "coherent", "well_formed")
+    want = df.select("id", Q.verdict(title, t).alias("good"), Q.is_listing(title, t).alias("listing"), Q.coherent_paragraph(t).alias("coherent"), Q.sentence_quality(t).alias("well_formed"))
+    assert sorted(got.collect()) == sorted(want.collect(), key=lambda r: r.id)
+
+
+def test_hot_keys_are_spread_and_lose_nothing(spark):
+    from quarry.operators.lineage import spread_join
+
+    left = spark.range(500).select((F.col("id") % 7 * (F.col("id") % 3 == 0).cast("int")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(30).select((F.col("id") % 7).alias("k"), F.col("id").alias("b"))
+    same = lambda df: sorted(map(tuple, df.select("k", "a", "b").collect()))
+    assert same(spread_join(left, right, "k", hot=50, parts=4)) == same(left.join(right, "k"))
+
+
+def test_containing_finds_every_item(spark):
+    from quarry.operators.retrieval import containing
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "two"), (11, "two th"), (12, "two"), (13, ""), (14, None)], "qid long, text string")
+    for size in (1, 1 << 20):
+        assert sorted(map(tuple, containing(docs, items, size).collect())) == [(10, 1), (10, 2), (11, 1), (12, 1), (12, 2)]
+
+
+def test_required_rows_must_exist(spark):
+    import pytest
+
+    from quarry.operators.ltr import required
+
+    known = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert required(spark.createDataFrame([(1,)], "k long"), known, "k").count() == 1
+    with pytest.raises(Exception, match="no row for k 2"):
+        required(spark.createDataFrame([(2,)], "k long"), known, "k").collect()
