@@ -1,7 +1,8 @@
 """Sharding by a k-d tree over document metadata, in DataFrame functions only.
 
-A node that must hold k shards is cut in floor(k/2) and ceil(k/2) along its widest dimension, at the
-weighted quantile of the bytes. Quantiles are found by refining histograms: every round counts bytes per
+A node that must hold k shards is cut in floor(k/2) and ceil(k/2) along the dimension in which its rows
+reach widest, at the weighted quantile of the bytes; coordinates are scaled to one range at the root. The
+reach of all nodes of a level is measured in one aggregate. Quantiles are found by refining histograms: every round counts bytes per
 (node, bin) over all rows and brings at most ``BINS`` sums to the driver. The text is read once;
 later rounds read the narrow metadata table.
 
@@ -33,8 +34,8 @@ class Node:
     first: int
     leaves: int
     weight: int = 0
-    #: Lowest and highest coordinate of the cell along each dimension.
-    cell: tuple[tuple[int, int], ...] = ()
+    #: Lowest and highest coordinate of the node's rows along each dimension.
+    reach: tuple[tuple[int, int], ...] = ()
     dim: int = -1
     cut: int = 0
     left_weight: int = 0
@@ -73,7 +74,7 @@ def _cuts(at: DataFrame, active: dict[int, Node], tolerance: float) -> None:
     """Set ``cut`` of each active node to its weighted quantile along ``dim``."""
     wanted = {i: n.weight * (n.leaves // 2) / n.leaves for i, n in active.items()}
     before = dict.fromkeys(active, 0)
-    span = {i: (n.cell[n.dim][0] << _TIE_BITS, (n.cell[n.dim][1] + 1) << _TIE_BITS) for i, n in active.items()}
+    span = {i: (n.reach[n.dim][0] << _TIE_BITS, (n.reach[n.dim][1] + 1) << _TIE_BITS) for i, n in active.items()}
     size = max(active) + 1
     per_node = max(128, BINS // len(active))
     listed = lambda of, default: [of(i) if i in span else default for i in range(size)]
@@ -117,17 +118,21 @@ def tree_depth(shards: int) -> int:
 
 def kd_tree(meta: DataFrame, total: int, dims: int, shards: int) -> dict[int, Node]:
     """Grow the tree over (size, p: positions along the dimensions) level by level; coordinates are scaled to one range at the root."""
-    tree, depth = {0: Node(0, shards, total, ((0, (1 << _COORD_BITS) - 1),) * dims)}, tree_depth(shards)
+    tree, depth = {0: Node(0, shards, total)}, tree_depth(shards)
+    ends = [f(F.element_at("p", d + 1)).alias(f"{k}{d}") for d in range(dims) for k, f in (("lo", F.min), ("hi", F.max))]
     while active := {i: n for i, n in tree.items() if n.dim < 0 and n.leaves > 1}:
+        placed = place(meta, tree, depth)
+        for node, *found in zip(*(c.to_pylist() for c in placed.groupBy("node").agg(*ends).toArrow().columns), strict=True):
+            if node in active:
+                active[node].reach = tuple((lo >> _TIE_BITS, hi >> _TIE_BITS) for lo, hi in zip(found[::2], found[1::2], strict=True))
         for n in active.values():
-            n.dim = max(range(dims), key=lambda d: n.cell[d][1] - n.cell[d][0])
-        _cuts(place(meta, tree, depth), active, 0.004 * total / shards)
+            n.reach = n.reach or ((0, 0),) * dims
+            n.dim = max(range(dims), key=lambda d: n.reach[d][1] - n.reach[d][0])
+        _cuts(placed, active, 0.0005 * total / shards)
         for i, n in active.items():
-            half, at = n.leaves // 2, n.cut >> _TIE_BITS
-            low, high = n.cell[n.dim]
-            cells = [tuple(span if d == n.dim else c for d, c in enumerate(n.cell)) for span in ((low, min(at, high)), (min(max(at, low), high), high))]
-            tree[2 * i + 1] = Node(n.first, half, n.left_weight, cells[0])
-            tree[2 * i + 2] = Node(n.first + half, n.leaves - half, n.weight - n.left_weight, cells[1])
+            half = n.leaves // 2
+            tree[2 * i + 1] = Node(n.first, half, n.left_weight)
+            tree[2 * i + 2] = Node(n.first + half, n.leaves - half, n.weight - n.left_weight)
     return tree
 
 
