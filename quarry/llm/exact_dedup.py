@@ -43,13 +43,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     recipes = materialise(chunk_recipes(docs, id_col, text_col))
     parts = recipes.select("row_tag", F.explode("recipe").alias("r")).select("row_tag", "r.h", "r.d")
-    collided = parts.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h")
-    flagged = parts.join(collided, "h", "left_semi").select("row_tag").distinct().withColumn("long_ids", F.lit(True))
-    short = F.transform("recipe", lambda r: F.hex(r["h"]))
-    long = F.transform("recipe", lambda r: F.concat_ws(":", F.hex(r["h"]), F.hex(r["d"])))
-    listed = recipes.join(flagged, "row_tag", "left").select(
-        "doc_id", "row_tag", "text_sha256", F.when(F.col("long_ids"), long).otherwise(short).alias("ids")
-    )
+    collided = materialise(parts.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h"))
+    list_of = lambda one: F.sha2(F.array_join(F.transform("recipe", one), ","), 256)
+    ids = list_of(lambda r: F.hex(r["h"]))
+    if not collided.isEmpty():
+        long = list_of(lambda r: F.concat_ws(":", F.hex(r["h"]), F.hex(r["d"])))
+        flagged = parts.join(collided, "h", "left_semi").select("row_tag").distinct().withColumn("long_ids", F.lit(True))
+        recipes, ids = recipes.join(flagged, "row_tag", "left"), F.when(F.col("long_ids"), long).otherwise(ids)
+    # A list of identifiers is compared as its digest, so copies of a long text move as little as others.
+    listed = recipes.select("doc_id", "row_tag", "text_sha256", ids.alias("ids"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_tag"))
     groups = listed.groupBy("ids").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
     return listed.join(groups, "ids").select(
@@ -62,7 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat both id and text stay once, rows that repeat the id alone all stay."""
     groups = exact_groups(docs, id_col, text_col)
     sha, key = F.sha2(normalised(F.col(text_col)), 256), F.col(id_col)
     stay = groups.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
@@ -70,7 +72,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1")
     again = repeated.select(F.col("doc_id").alias("_again_id"), F.col("text_sha256").alias("_again_sha"))
     same = key.eqNullSafe(F.col("_again_id")) & (sha == F.col("_again_sha"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    twice = kept.join(again, same, "left_semi").withColumn("_stay_sha", sha).dropDuplicates([id_col, "_stay_sha"]).drop("_stay_sha")
+    return kept.join(again, same, "left_anti").unionByName(twice)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,15 +264,15 @@ def test_leaks(spark):
 def test_edit_distance_of_the_best_place():
     rng = random.Random(6)
     for _ in range(50):
-        item, text = ("".join(rng.choice("abc") for _ in range(n)) for n in (rng.randint(1, 9), rng.randint(0, 15)))
-        masks = {c: sum(1 << k for k, x in enumerate(item) if x == c) for c in item}
+        item, text = ("".join(rng.choice("abcé你") for _ in range(n)) for n in (rng.choice((1, 5, 9, 63, 64, 65, 130)), rng.randint(0, 150)))
         row = [0] * (len(text) + 1)
         for i, c in enumerate(item):
             fresh = [i + 1]
             for j, x in enumerate(text):
                 fresh.append(min(row[j] + (c != x), row[j + 1] + 1, fresh[j] + 1))
             row = fresh
-        assert decontamination.best_distance(item, masks, text)[0] == min(row)
+        (distance,), _ = decontamination.best_distances([decontamination.letters_table(item)], np.zeros(1, int), [text])
+        assert distance == min(row)
 
 
 @pytest.mark.parametrize("head", [1 << 17, 3])
@@ -399,3 +399,83 @@ def test_contexts_of_a_hot_hash_pass_the_sort_unheld():
 def test_repeats_do_not_depend_on_the_bound_of_contexts(docs, most):
     one, other = (sorted(map(str, substring_dedup.remove_repeats(docs, **k).collect())) for k in ({}, {"most_contexts": most}))
     assert one == other
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rows = [(5, "A text"), (5, "A text"), (5, "B other"), (5, "B other"), (6, "C"), (None, "C"), (None, "D"), (None, "D")]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id) for r in kept if r.text != "D") == [("A text", 5), ("B other", 5), ("C", 6)] and [r.doc_id for r in kept if r.text == "D"] == [None]
+
+
+def test_letters_of_all_planes_and_clashing_names(spark):
+    rows = [(1, chr(0x20000) + chr(0x20001), "zh", 0.5, "x"), (2, "abc", "en", 0.5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    got = {r.doc_id: r for r in language_id.predict(df, language_id.train(df)).collect()}
+    assert got[1].lang_pred == "zh" and got[2].lang_pred == "en" and got[1].score > 0.5
+    both = spark.createDataFrame([(1, "10.0.0.1", "old", 7, "mine", "too")], "doc_id long, text string, masked string, n_ip int, _found string, _kinds string")
+    one = pii.pseudonymise(both, "k").first()
+    assert one.n_ip == 1 and one.masked != "old" and (one._found, one._kinds) == ("mine", "too")
+
+
+def test_personal_data_of_many_forms_is_found_and_restored(spark):
+    forms = ["+49 30 1234567", "030-1234567", "(974)555-3436", "+14155552671", "06 12 34 56 78", "12/31/1999", "02.03.1948", "1850-07-01", "123-45-6789", "192.168.1.77"]
+    rows = [(i, f"call {x} now") for i, x in enumerate(forms)] + [(90, "000-12-3456 666-12-3456 123-00-4567"), (91, "31.02.2001 2001-02-30")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = pii.pseudonymise(df, "key", text_as="m")
+    got = {r.doc_id: r.m for r in masked.collect()}
+    assert all(got[i] != rows[i][1] and re.sub(r"\d", "0", got[i]) .count("0") >= 8 for i in range(len(forms) - 1)) and got[90] == rows[-2][1] and got[91] == rows[-1][1]
+    back = pii.pseudonymise(masked.select("doc_id", "m"), "key", text_col="m", text_as="text", back=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
+
+
+@pytest.mark.parametrize("bits", [6, 22])
+def test_frequencies_are_exact_however_few_buckets(docs, bits):
+    words, counts, n = shingles.WordHashes(), Counter(), 0
+    for r in corpus():
+        h, _ = shingles.shingles(r[1], words)
+        counts.update(h.tolist())
+        n += len(h) > 0
+    idf = shingles.inverse_frequencies(docs.select("text"), bits)
+    h = np.array(sorted(counts), np.uint64)
+    assert len(h) > 64 and np.allclose(idf(h), np.log1p(n / np.array([counts[x] for x in h.tolist()])), rtol=1e-5)
+
+
+def damaged(rng, text, rate=0.0, every=0):
+    letters = list(text)
+    if every:
+        for k in range(rng.randrange(every), len(letters), every):
+            letters[k] = rng.choice("qxzj")
+    for _ in range(int(rate * len(text))):
+        k, what = rng.randrange(len(letters)), rng.random()
+        if what < 0.6:
+            letters[k] = rng.choice("abcdefgh ")
+        elif what < 0.8:
+            del letters[k]
+        else:
+            letters.insert(k, rng.choice("abcdefgh "))
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("rate, every", [(0.1, 0), (0.18, 0), (0.0, 8), (0.0, 7)])
+def test_leaks_found_against_exhaustive_search(rate, every):
+    """Recall, against the exact distance to the best place, of damaged items in documents of other text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [decontamination.plain(text(rng.randint(15, 60))) for _ in range(60)]
+    docs = [decontamination.plain(f"{text(40)} {damaged(rng, t, rate, every)} {text(40)}") for t in items] + [decontamination.plain(text(200)) for _ in range(20)]
+    search = decontamination.Items("test", list(range(60)), items, 0.8)._build()
+    exact, _ = decontamination.best_distances(search.tables, np.arange(60), docs[:60])
+    wanted = {i for i in range(60) if exact[i] <= search.slack(i)}
+    found = search.matches(docs)
+    hits = {i for i in wanted if i in found[i]}
+    assert len(wanted) > 30 and len(hits) >= 0.9 * len(wanted)
+    assert all(found[i][i][0] >= exact[i] for i in hits) and not any(found[60:])
+
+
+def test_leaks_without_spaces_and_short_items(spark):
+    chinese = "".join(chr(0x4E00 + k * 37 % 9000) for k in range(120))
+    items = spark.createDataFrame([(1, chinese), (2, "abcd"), (3, "seven77"), (4, "seven77"), (5, "a longer item of some twenty")], "item_id long, text string")
+    rows = [(1, "前文" * 30 + chinese + "后文" * 30), (2, "xx abcd yy"), (3, "xx abce yy"), (4, "it is sevn77 here"), (5, "then a longer itxm of some twenty."), (6, "nothing"), (6, "nothing")]
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect())
+    assert got == [(1, 1, 0), (2, 2, 0), (4, 3, 1), (4, 4, 1), (5, 5, 1)]
