@@ -6,11 +6,12 @@ Training counts n-grams per language over a bounded sample of labelled documents
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text when
 nothing could be learned; rows without a language are not learned from; ties go to the first language by
-name; other columns pass through.
+name; other columns pass through, but columns named like the two that are added give way to them.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +34,9 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
-    """Code point -> its lower-case letter, or a space for what is no letter; below 0x20000."""
+    """Code point -> its lower-case letter, or a space for what is no letter."""
     if "letters" not in _tables:
-        table = np.full(0x20000, _SPACE, np.uint32)
+        table = np.full(sys.maxunicode + 1, _SPACE, np.uint32)
         for c in range(len(table)):
             if chr(c).isalpha():
                 low = chr(c).lower()
@@ -49,8 +50,7 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join(f"{t}  " for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum([0] + [len(t) + 2 for t in texts[:-1]])
-    table = _letters()
-    return table[np.minimum(codes, len(table) - 1)], starts
+    return _letters()[codes], starts
 
 
 def _buckets(codes: np.ndarray, size: int) -> np.ndarray:
@@ -153,6 +153,7 @@ def train(labelled: DataFrame, per_language: int = 5_000, alpha: float = 0.5, id
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its probability; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*({lang_as, score_as} - {text_col}))
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
     at, names = docs.columns.index(text_col), [*docs.columns, lang_as, score_as]
 
