@@ -5,16 +5,20 @@ format by a keyed Feistel network, so equal values get equal pseudonyms in every
 can be restored with the key. Texts without a candidate take no other path than the pattern test.
 
 Kinds: card numbers (13 to 19 digits with a valid check digit, which the pseudonym has too), phone numbers
-(the last ten digits at most), social-security-like numbers, IPv4 addresses (a permutation of all
-addresses), ISO dates (within the century of 1950 to 2049), e-mail addresses (a keyed hash of the local
-part; this alone cannot be restored). Numbers that fail validation stay as they are.
+with separators or an international prefix (ten digits at most are permuted, never the first), social-security-like
+numbers, IPv4 addresses (a permutation of all addresses), dates of 1800 to 2199 as year-month-day,
+day.month.year or month/day/year, e-mail addresses (a keyed hash of the local part; this alone cannot be
+restored). Numbers that fail validation stay as they are. IPv6 addresses and day/month/year are not found.
 
 Defined cases: a null text stays null with no counts; empty and very long texts, copies and repeated rows
-are handled like any others; an empty table gives an empty result; other columns pass through.
+are handled like any others; an empty table gives an empty result; other columns pass through, but columns
+named like the ones that are added give way to them.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +31,11 @@ PATTERNS = {
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",
-    "date": r"(?<![\w-])(?:19[5-9]|20[0-4])\d-\d{2}-\d{2}(?![\w-])",
-    "phone": r"(?<![\w(.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])",
+    "date": r"(?<![\w./-])(?:(?:1[89]|2[01])\d\d-\d{2}-\d{2}|\d{2}([./])\d{2}\1(?:1[89]|2[01])\d\d)(?![\w-])",
+    "phone": r"(?<![\w(.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{8,15}|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}|0\d{1,4}[/-]\d{5,8}|0\d(?:[ .]\d{2}){4})(?![\w-])",
 }
-_EPOCH, _DAYS = "1950-01-01", 36525
+#: 400 years, in which the calendar repeats: 146,097 days are a grid of 773 x 189.
+_EPOCH, _DAYS, _GRID = "1800-01-01", 146097, (773, 189)
 
 
 def _hash60(key: str, i: Column, x: Column) -> Column:
@@ -84,7 +89,13 @@ def _card(key: str, v: Column, back: bool) -> Column:
 
 
 def _ssn(key: str, v: Column, back: bool) -> Column:
-    return _in_form_of(v, permute_digits(key, _digits(v), back))
+    """Area, group and serial are permuted each among its valid values: areas 001 to 899 but 666, no zero group or serial."""
+    area, group, serial = (v.substr(*at).cast("long") for at in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    # 898 areas and 989,901 pairs of group and serial; the area skips 666.
+    l, r = feistel(key, area - 1 - (area > 666).cast("long"), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), back)
+    made = F.concat_ws("-", F.lpad((l + 1 + (l >= 665).cast("long")).cast("string"), 3, "0"), F.lpad((F.floor(r / 9999) + 1).cast("string"), 2, "0"), F.lpad((r % 9999 + 1).cast("string"), 4, "0"))
+    return F.when(valid, made).otherwise(v)
 
 
 def _ip(key: str, v: Column, back: bool) -> Column:
@@ -96,16 +107,21 @@ def _ip(key: str, v: Column, back: bool) -> Column:
 
 
 def _date(key: str, v: Column, back: bool) -> Column:
-    day = F.try_to_date(v, "yyyy-MM-dd")
+    # Parts by the form: year-month-day, day.month.year, month/day/year.
+    iso, dotted = v.substr(5, 1) == "-", v.substr(3, 1) == "."
+    part = lambda *at: F.when(iso, v.substr(*at[0])).when(dotted, v.substr(*at[1])).otherwise(v.substr(*at[2]))
+    day = F.try_to_date(F.concat_ws("-", part((1, 4), (7, 4), (7, 4)), part((6, 2), (4, 2), (1, 2)), part((9, 2), (1, 2), (4, 2))), "yyyy-MM-dd")
     n = F.datediff(day, F.lit(_EPOCH).cast("date"))
-    # 36,525 days are a grid of 487 x 75.
-    l, r = feistel(key, F.floor(n / 75), n % 75, F.lit(487), F.lit(75), back)
-    return F.when(day.isNotNull() & (n >= 0) & (n < _DAYS), F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), (l * 75 + r).cast("int")), "yyyy-MM-dd")).otherwise(v)
+    l, r = feistel(key, F.floor(n / _GRID[1]), n % _GRID[1], F.lit(_GRID[0]), F.lit(_GRID[1]), back)
+    made = F.date_add(F.lit(_EPOCH).cast("date"), (l * _GRID[1] + r).cast("int")).cast("string")
+    y, m, d = made.substr(1, 4), made.substr(6, 2), made.substr(9, 2)
+    shown = F.when(iso, made).when(dotted, F.concat_ws(".", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
+    return F.when(day.isNotNull() & (n >= 0) & (n < _DAYS), shown).otherwise(v)
 
 
 def _phone(key: str, v: Column, back: bool) -> Column:
     d = _digits(v)
-    n = F.least(F.length(d), F.lit(10))
+    n = F.least(F.length(d) - 1, F.lit(10))
     head = F.substring(d, F.lit(1), F.length(d) - n)
     made = F.concat(head, permute_digits(key, F.substring(d, F.length(d) - n + 1, n), back))
     return F.when(F.length(d).between(7, 15), _in_form_of(v, made)).otherwise(v)
@@ -136,18 +152,24 @@ def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = KINDS, text
             out = F.when(is_kind[k](v), made) if out is None else out.when(is_kind[k](v), made)
         return out.otherwise(v)
 
+    found_as, kinds_as = (next(n for k in range(len(docs.columns) + 1) if (n := f"{name}{k or ''}") not in docs.columns) for name in ("_found", "_kinds"))
     has = text.rlike(whole)
-    found = docs.withColumn("_found", F.when(has, F.regexp_extract_all(text, F.lit(whole), F.lit(0))))
-    pieces = F.zip_with(F.split(text, whole, -1), F.transform("_found", permuted), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    found = docs.withColumn(found_as, F.when(has, F.regexp_extract_all(text, F.lit(whole), F.lit(0))))
+    pieces = F.zip_with(F.split(text, whole, -1), F.transform(found_as, permuted), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
     first = F.when(text.isNotNull(), F.lit(0))
     # A candidate that fits several kinds counts for the first of them.
-    kind_of = F.transform("_found", lambda v: F.coalesce(*[F.when(is_kind[k](v), F.lit(k)) for k in kinds]))
-    counted = found.withColumns({text_as: F.when(F.col("_found").isNull(), text).otherwise(F.array_join(pieces, "")), "_kinds": kind_of})
-    of = lambda k: F.size(F.filter("_kinds", lambda x: x == k))
-    counts = {f"n_{k}": F.when(F.col("_kinds").isNotNull(), of(k)).otherwise(first) for k in kinds}
-    return counted.withColumns(counts).drop("_found", "_kinds")
+    kind_of = F.transform(found_as, lambda v: F.coalesce(*[F.when(is_kind[k](v), F.lit(k)) for k in kinds]))
+    counted = found.withColumns({text_as: F.when(F.col(found_as).isNull(), text).otherwise(F.array_join(pieces, "")), kinds_as: kind_of})
+    of = lambda k: F.size(F.filter(kinds_as, lambda x: x == k))
+    counts = {f"n_{k}": F.when(F.col(kinds_as).isNotNull(), of(k)).otherwise(first) for k in kinds}
+    return counted.withColumns(counts).drop(found_as, kinds_as)
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's ``spark.quarry.pseudonym.key``; where none is set, a fresh key that links values within this run alone."""
+    return spark.conf.get("spark.quarry.pseudonym.key", None) or secrets.token_hex(16)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pseudonymise(docs, key="corpus-2024").drop("text")
+    return pseudonymise(docs, pseudonym_key(spark)).drop("text")
