@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +59,10 @@ def wider_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
         v = m[0]
         if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and _entropy(v) >= _ENTROPY:
             found.append((m.start(), 4, m.end(), v))
-    return [s for s in found if not any(s[0] < e and b < s[2] for b, _, e, _ in base)]
+    starts = [b for b, _, _, _ in base]
+    reach = list(accumulate((e for _, _, e, _ in base), max))
+    # A span touches a base span if one of those that begin before its end reaches beyond its start.
+    return [s for s in found if not (k := bisect_left(starts, s[2])) or reach[k - 1] <= s[0]]
 
 
 def joined(spans: list[tuple[int, int, int, str]]) -> str:
