@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, materialise
 from quarry.llm.components import connected_components
-from quarry.llm.shingles import WordHashes, bucket, inverse_frequencies, shingles
+from quarry.llm.shingles import Frequencies, WordHashes, inverse_frequencies, shingles
 
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
@@ -46,8 +46,8 @@ def _draws() -> tuple[np.ndarray, ...]:
     return factors, r.astype(np.float32), (1 / r).astype(np.float32), beta.astype(np.float32), (np.log(c) - r).astype(np.float32)
 
 
-def weights(h: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[bucket(h)]
+def weights(h: np.ndarray, counts: np.ndarray, idf: Frequencies) -> np.ndarray:
+    return counts * idf(h)
 
 
 def signature(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -259,5 +259,23 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
     )
 
 
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    classes = materialise(near_duplicate_classes(docs, similarity, id_col, text_col))
+    key = text_key(F.col(text_col))
+
+    def same(other: DataFrame):
+        return docs[id_col].eqNullSafe(other["_id"]) & (key == other["_key"])
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+
+    kept = docs.join(stay := keys(classes.where("kept")), same(stay), "left_semi")
+    # Rows that repeat id and text are one row of their class.
+    again = keys(classes.groupBy("doc_id", "text_key").count().where("count > 1"))
+    twice = kept.join(again, same(again), "left_semi").withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
+    return kept.join(again, same(again), "left_anti").unionByName(twice)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_size", "kept")

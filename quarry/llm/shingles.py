@@ -1,19 +1,24 @@
-"""Five-word shingles of whole texts as 64-bit hashes, with their counts and hashed document frequencies."""
+"""Five-word shingles of whole texts as 64-bit hashes, with their counts and document frequencies."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORDS = 5
-#: Document frequencies are kept in so many buckets: a fixed size, whatever the corpus. A shingle alone in
-#: the corpus still meets the few that share its bucket, which bounds its weight alike at every size.
-BUCKETS, PARTS = 1 << 20, 64
+#: Buckets (as bits of a hash) of the first count of document frequencies, and parts they are summed in.
+BITS, PARTS = 22, 64
+#: Frequencies are exact from this share of the documents on, and from the total of shingles over ``MOST`` on:
+#: so there are at most ``MOST`` such shingles, in a corpus of any size.
+SHARE, MOST = 1 / 1024, 1 << 20
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -45,48 +50,119 @@ def shingles(text: str | None, words: WordHashes) -> tuple[np.ndarray, np.ndarra
     return mixed[first], np.diff(np.r_[first, n])
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+@dataclass
+class Frequencies:
+    """ln(1 + documents / documents with the shingle): exact for frequent shingles, one value for all others."""
 
+    bits: int
+    hot: np.ndarray  # buckets that hold a frequent shingle, perhaps
+    hashes: np.ndarray  # frequent shingles, sorted
+    values: np.ndarray
+    rest: float
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.rest, np.float32)
+        if len(self.hashes):
+            at = np.flatnonzero(self.hot[bucket(h, self.bits)])
+            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            same = self.hashes[k] == h[at]
+            out[at[same]] = self.values[k[same]]
+        return out
+
+
+def bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """The counts that are not 0, with their places: small for a small partition."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.concatenate(([len(counts)], at, counts[at])).astype("<i8").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    found = np.frombuffer(zlib.decompress(data), "<i8")
+    half = len(found) // 2
+    return found[1 : half + 1], found[half + 1 :], int(found[0])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, total, docs = WordHashes(), np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            h, _ = shingles(text, words)
-            if len(h):
-                # A document counts once in a bucket; its few collisions there do not matter twice.
-                at = bucket(h)
-                total[at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])]] += 1
-                docs += 1
-    if docs:
-        parts = total.reshape(PARTS, -1)
-        data = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary()), pa.array([docs] + [0] * (PARTS - 1), pa.int64())], names=["part", "counts", "docs"])
+
+def _count(bits: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total, docs, size = WordHashes(), np.zeros(1 << bits, np.int64), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                h, _ = shingles(text, words)
+                if len(h):
+                    # A document counts once in a bucket: the sum is at least the frequency of each of its shingles.
+                    at = bucket(h, bits)
+                    total[at[np.flatnonzero(np.append(True, at[1:] != at[:-1]))]] += 1
+                    docs += 1
+                    size += len(h)
+        if docs:
+            data = [_packed(p) for p in total.reshape(PARTS, -1)]
+            once = lambda n: pa.array([n] + [0] * (PARTS - 1), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary()), once(docs), once(size)], names=["part", "counts", "docs", "size"])
+
+    return apply
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, list] = {}
     for batch in batches:
-        for part, data, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held = sums.setdefault(part, [np.zeros(BUCKETS // PARTS, np.int64), 0])
-            held[0] += np.frombuffer(zlib.decompress(data), "<i8")
+        for part, data, docs, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, counts, width = _unpacked(data)
+            held = sums.setdefault(part, [np.zeros(width, np.int64), 0, 0])
+            held[0][at] += counts
             held[1] += docs
-    rows = [(p, zlib.compress(c.tobytes(), 1), d) for p, (c, d) in sums.items()]
+            held[2] += size
+    rows = [(p, _packed(c), d, s) for p, (c, d, s) in sums.items()]
     if rows:
-        a, b, c = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["part", "counts", "docs"])
+        a, b, c, d = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["part", "counts", "docs", "size"])
+
+
+def _exact(shared, bits: int):
+    """(shingle, documents) of the shingles in hot buckets, summed within the task a few millions at a time."""
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = WordHashes(), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                h, _ = shingles(text, words)
+                held.append(h[shared.value[bucket(h, bits)]])
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield told(held)
+                    held, size = [], 0
+        if size:
+            yield told(held)
+
+    return apply
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln(1 + documents / documents in the bucket) for every bucket, over all rows of the one text column.
+def inverse_frequencies(texts: DataFrame, bits: int = BITS) -> Frequencies:
+    """Document frequencies over all rows of the one text column, in two passes.
 
-    Every task sums its own documents; the sums meet by part in streams of bounded memory.
+    The first counts documents by bucket of the hash; the second counts, exactly and by a grouped sum, the
+    shingles of the buckets that reach the threshold. A shingle below it counts as if it were at it.
     """
-    schema = "part int, counts binary, docs long"
-    counts, docs = np.zeros(BUCKETS, np.int64), 0
-    for r in texts.mapInArrow(_count, schema).repartition(PARTS, "part").mapInArrow(_add, schema).collect():
-        at = r["part"] * (BUCKETS // PARTS)
-        counts[at : at + BUCKETS // PARTS] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    schema = "part int, counts binary, docs long, size long"
+    counts, docs, size = np.zeros(1 << bits, np.int64), 0, 0
+    width = (1 << bits) // PARTS
+    for r in texts.mapInArrow(_count(bits), schema).repartition(PARTS, "part").mapInArrow(_add, schema).toLocalIterator():
+        at, some, _ = _unpacked(r["counts"])
+        counts[r["part"] * width + at] = some
         docs += r["docs"]
-    return np.log1p(max(1, docs) / np.maximum(counts, 1)).astype(np.float32)
+        size += r["size"]
+    least = max(1, int(docs * SHARE), -(-size // MOST))
+    hot = counts >= least
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    exact = texts.mapInArrow(_exact(shared, bits), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    h = exact.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    values = np.log1p(docs / exact.column("n").to_numpy()).astype(np.float32)
+    return Frequencies(bits, hot, h[order], values[order], math.log1p(docs / least))
