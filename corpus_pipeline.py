@@ -14,30 +14,41 @@ from quarry.llm.common import crc_fold, documents, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language: null texts and texts without a letter."""
+    """Drops texts in no language: null texts and texts without a letter, and all if no row has a language.
+
+    Other columns may be null; a null doc_id counts as fold 0; repeated rows and an empty table pass through.
+    """
     training = docs.where(crc_fold(F.col("doc_id")) != 0).select("doc_id", "text", "lang")
     found = language_id.predict(docs, language_id.train(training), lang_as="_lang_pred", score_as="_lang_score")
     return found.where(F.col("_lang_pred") != language_id.UND).drop("_lang_pred", "_lang_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the least id of equal texts (white space counts as one space).
+
+    A null text is empty; a null id comes last; rows that repeat id and text stay once; an empty table stays empty.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
-    classes = near_dedup.near_duplicate_classes(docs)
-    stay = classes.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"))
-    same = docs["doc_id"].eqNullSafe(stay["_stay_id"]) & (near_dedup.text_key(docs["text"]) == stay["_stay_key"])
-    return docs.join(stay, same, "left_semi")
+    """Keeps the row with the least id of each near-duplicate class (weighted similarity of 0.8 or more).
+
+    Blank and null texts are no copies of each other; a null id comes last; rows that repeat id and text stay once.
+    """
+    return near_dedup.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item (edit similarity of 0.8 or more).
+
+    Null and blank texts hold none; an empty benchmark keeps all; repeated rows are judged alike.
+    """
     return decontamination.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2,048 tokens; a null text has its end token alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
