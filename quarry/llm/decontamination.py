@@ -2,24 +2,27 @@
 
 The CGK embedding walks over a string: at each step it copies the current character and a random bit of
 (step, character) decides whether to go on to the next one. Strings within a small edit distance get
-embeddings within a small Hamming distance. Item-sized windows start at every word of every document, and
-at every word of every item; of their embeddings ``TABLES`` sets of ``SAMPLED`` positions among the first
-``STEPS`` are compared. An item of w words has about w windows, each a new chance to meet in every table,
-so one undamaged stretch of some 25 characters is enough. With independent errors in a tenth of all
-characters an item of 200 characters keeps one with a probability above 0.9; with whole words replaced, far
-above. A hit proposes a place for the item; there the edit distance of the item to its best place is
-verified exactly (bit-parallel), after a lossless count of shared 4-grams.
-
-Items are searched in blocks of at most ``BLOCK_BYTES``, so what is broadcast is bounded. Texts are
-compared in lower case with single spaces.
-
-Defined cases: null and blank texts match nothing; items under ``SHORTEST`` characters are not searched;
-items under 48 characters take a walk of their own of 10 steps; repeated documents or items give a row
-each; empty tables give an empty result; other columns are ignored.
+embeddings within a small Hamming distance. An item is covered by windows at every one of its characters;
+windows of documents start at every word and, in stretches without spaces, at every ``STRIDE`` characters.
+Of their embeddings, ``TABLES`` sets of sampled positions are compared. Each window is a new chance to meet
+in every table: at the least similarity of 0.8 a walk over all of an item hardly ever stays in step, but some
+of its windows of 16 characters do (``tests/llm`` measures a recall of 0.9 at least, for errors at random and
+at even distances). A hit proposes a place for the item; there the edit distance of the item to its best
+place is verified exactly (bit-parallel), after a lossless count of shared 4-grams.
+
+Items under 48 characters take a shorter walk, with windows at every character of the documents too; items
+under 10 characters, which may have one error at most, are searched by a pattern of all their neighbours.
+Items are searched in blocks of at most ``BLOCK_BYTES``, so what is broadcast is bounded; a worker prepares a
+block once. Texts are compared in lower case with single spaces.
+
+Defined cases: null and blank texts match nothing; documents that repeat give a row each, and so do items
+with the same text; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -32,13 +35,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import blocks, documents
 
 SIMILARITY = 0.8
-#: (steps, shortest item): long items and short ones.
-WALKS = ((48, 48), (10, 10))
-SHORTEST = WALKS[1][1]
-TABLES, SAMPLED = 3, 14
-GRAM = 4
+#: (steps, sampled of them, shortest item): long items and short ones; still shorter ones take a pattern.
+WALKS = ((32, 12, 48), (10, 7, 10))
+TABLES = 6
+#: Distance of window starts within a stretch without spaces.
+STRIDE = 8
 FILTER_BITS = 20
-SLICE, BLOCK_BYTES = 1 << 20, 8 << 20
+SLICE, BLOCK_BYTES = 1 << 22, 8 << 20
 
 
 @cache
@@ -48,10 +51,10 @@ def _randomness() -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     bits = rng.integers(0, 2, (WALKS[0][0], 256)).astype(np.int32)
     values = rng.integers(1, 1 << 62, 256).astype(np.int64) | 1
     sampled = {}
-    for steps, _ in WALKS:
+    for steps, samples, _ in WALKS:
         chosen = np.zeros((steps, TABLES), bool)
         for t in range(TABLES):
-            chosen[rng.choice(steps, min(SAMPLED, steps), replace=False), t] = True
+            chosen[rng.choice(steps, samples, replace=False), t] = True
         sampled[steps] = chosen
     return bits, values, sampled
 
@@ -84,9 +87,13 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.intp)
 
 
-def _word_starts(codes: np.ndarray) -> np.ndarray:
-    space = np.r_[True, codes[:-1] == 32] & (codes != 32) & (codes != 0)
-    return np.flatnonzero(space)
+def window_starts(codes: np.ndarray) -> np.ndarray:
+    """Starts of words, and every STRIDE characters within them."""
+    inside = (codes != 32) & (codes != 0)
+    first = inside & np.append(True, ~inside[:-1])
+    at = np.flatnonzero(inside)
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(codes)), 0))
+    return at[(at - begin[at]) % STRIDE == 0]
 
 
 @dataclass
@@ -99,12 +106,11 @@ class ItemIndex:
     filters: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def build(cls, texts: list[str], which: list[int], steps: int) -> "ItemIndex":
+    def build(cls, texts: list[str], which: list[int], steps: int) -> ItemIndex:
         keys, refs = [], []
         for i in which:
             codes = np.r_[_codes(texts[i]), np.zeros(steps, np.uint8)]
-            starts = _word_starts(codes)
-            starts = starts[(starts <= len(texts[i]) - 3 * steps // 4) | (starts == 0)]
+            starts = np.arange(max(1, len(texts[i]) - steps // 2 + 1))
             keys.append(window_keys(codes, starts, steps))
             refs.append(np.stack([np.full(len(starts), i), starts]))
         out = cls(steps)
@@ -130,79 +136,164 @@ class ItemIndex:
                     yield int(starts[w]), int(self.refs[t][0, k]), int(self.refs[t][1, k])
 
 
-def best_distance(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
-    """(least edit distance of ``item`` to a substring of ``text``, where that substring ends)."""
-    n = len(item)
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    plus, minus, score = full, 0, n
-    best, end = n, 0
-    for at, char in enumerate(text):
-        match = masks.get(char, 0)
-        zero = (((match & plus) + plus) ^ plus) | match | minus
-        up, down = minus | (full & ~(zero | plus)), plus & zero
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
-        up, down = (up << 1) & full, (down << 1) & full
-        plus, minus = down | (full & ~(zero | up)), up & zero
-        if score < best:
-            best, end = score, at + 1
+#: Candidates that are verified together, and bits of a row block.
+TOGETHER, BITS = 2048, 64
+
+
+def letters_table(item: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted characters, rows): the places of each character in ``item`` as bits, BITS to a block, and a last row
+    for all other characters. The item ends at the highest bit; what is free below it matches anything."""
+    codes = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, which = np.unique(codes, return_inverse=True)
+    blocks_of = -(-len(codes) // BITS)
+    at = np.arange(len(codes)) + blocks_of * BITS - len(codes)
+    bits = np.zeros((len(letters) + 1, blocks_of * BITS), bool)
+    bits[:, : at[0]] = True
+    bits[which, at] = True
+    rows = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    return letters, rows
+
+
+def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and the table of its item, the least edit distance of the item to a substring of the text, and
+    where the first such substring ends. Bit-parallel in blocks of BITS rows, and over all candidates at once."""
+    best, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    widths = np.array([tables[i][1].shape[1] for i in items.tolist()])
+    for width in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == width)
+        mine = mine[np.argsort([len(texts[k]) for k in mine], kind="stable")]
+        for first in range(0, len(mine), TOGETHER):
+            part = mine[first : first + TOGETHER]
+            best[part], end[part] = _distances(tables, items[part], [texts[k] for k in part.tolist()], width)
     return best, end
 
 
+def _distances(tables: list, items: np.ndarray, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    used, which = np.unique(items, return_inverse=True)
+    rows = np.concatenate([tables[i][1] for i in used.tolist()])
+    ends = np.cumsum([len(tables[i][1]) for i in used.tolist()])
+    begins = np.append(0, ends[:-1])
+    steps = max(map(len, texts))
+    letter = np.repeat((ends - 1)[which][None, :], steps, axis=0)
+    for k, (text, u) in enumerate(zip(texts, which.tolist(), strict=True)):
+        letters = tables[used[u]][0]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+        letter[: len(codes), k] = np.where(letters[at] == codes, begins[u] + at, ends[u] - 1)
+    n = len(texts)
+    # What is free costs nothing; from there on each row costs one more.
+    free = ~rows[ends - 1][which]
+    plus, minus = [free[:, w].copy() for w in range(width)], [np.zeros(n, np.uint64) for _ in range(width)]
+    score = np.bitwise_count(free).sum(axis=1).astype(np.int64)
+    best, end = score.copy(), np.zeros(n, np.int64)
+    one, top = np.uint64(1), np.uint64(BITS - 1)
+    none = np.zeros(n, np.uint64)
+    for step in range(steps):
+        match = rows[letter[step]].T
+        up = down = none  # what comes in from the block before
+        for w in range(width):
+            p, m, eq = plus[w], minus[w], match[w]
+            vertical = eq | m
+            eq = eq | down if w else eq.copy()
+            across = eq & p
+            across += p
+            across ^= p
+            across |= eq
+            fall = p & across
+            across |= p
+            grow = np.invert(across, out=across)
+            grow |= m
+            up_next, down_next = grow >> top, fall >> top
+            grow <<= one
+            fall <<= one
+            if w:
+                grow |= up
+                fall |= down
+            np.bitwise_and(grow, vertical, out=m)
+            vertical |= grow
+            np.bitwise_or(fall, np.invert(vertical, out=vertical), out=p)
+            up, down = up_next, down_next
+        score += up.view(np.int64)
+        score -= down.view(np.int64)
+        better = np.flatnonzero(score < best)
+        if len(better):
+            best[better], end[better] = score[better], step + 1
+    return best, end
+
+
+def neighbours(item: str, distance: int) -> re.Pattern:
+    """All strings within ``distance`` (0 or 1) of a short item."""
+    forms = [re.escape(item)]
+    if distance:
+        cut = [(re.escape(item[:k]), re.escape(item[k + 1 :]), re.escape(item[k:])) for k in range(len(item))]
+        forms += [x for a, b, c in cut for x in (f"{a}.{b}", f"{a}.{c}", a + b)]
+    return re.compile("|".join(forms), re.S)
+
+
+#: Blocks of items that this worker has prepared.
+_prepared: dict[str, Items] = {}
+
+
 @dataclass
 class Items:
+    key: str
     ids: list
     texts: list[str]
     similarity: float
 
-    def prepare(self) -> "Items":
-        self.masks, self.grams = [], []
-        for text in self.texts:
-            masks: dict[str, int] = {}
-            for k, c in enumerate(text):
-                masks[c] = masks.get(c, 0) | (1 << k)
-            self.masks.append(masks)
-            self.grams.append({text[k : k + GRAM] for k in range(len(text) - GRAM + 1)})
-        long = [i for i, t in enumerate(self.texts) if len(t) >= WALKS[0][1]]
-        short = [i for i, t in enumerate(self.texts) if SHORTEST <= len(t) < WALKS[0][1]]
-        self.indexes = [ItemIndex.build(self.texts, which, steps) for which, (steps, _) in zip((long, short), WALKS, strict=True) if which]
+    def slack(self, item: int) -> int:
+        """The greatest edit distance that still counts."""
+        return int((1 - self.similarity) * len(self.texts[item]) + 1e-9)
+
+    def prepare(self) -> Items:
+        """Builds what the search needs, once in a worker; the worker keeps the last block."""
+        if self.key not in _prepared:
+            _prepared.clear()
+            _prepared[self.key] = self._build()
+        return _prepared[self.key]
+
+    def _build(self) -> Items:
+        self.tables = [letters_table(t) for t in self.texts]
+        most = [w[2] for w in WALKS]
+        classes = [i for i, t in enumerate(self.texts) if len(t) >= most[0]], [i for i, t in enumerate(self.texts) if most[1] <= len(t) < most[0]]
+        self.indexes = [ItemIndex.build(self.texts, which, walk[0]) for which, walk in zip(classes, WALKS, strict=True) if which]
+        self.patterns = [(i, neighbours(t, self.slack(i))) for i, t in enumerate(self.texts) if 0 < len(t) < most[1]]
         return self
 
-    def verify(self, text: str, item: int, start: int) -> tuple[int, int] | None:
-        """(distance, end) of the item near ``start``, if it is similar enough."""
-        n = len(self.texts[item])
-        most = int((1 - self.similarity) * n + 1e-9)
-        low = max(0, start - most)
-        part = text[low : start + n + most]
-        shared = len(self.grams[item].intersection([part[k : k + GRAM] for k in range(len(part) - GRAM + 1)]))
-        if shared < len(self.grams[item]) - GRAM * most:
-            return None
-        distance, end = best_distance(self.texts[item], self.masks[item], part)
-        return (distance, low + end) if distance <= most else None
-
     def matches(self, texts: list[str]) -> list[dict[int, tuple[int, int]]]:
         """For each text: item -> (distance, end) of its best place."""
-        pad = max(steps for steps, _ in WALKS)
+        pad = max(steps for steps, _, _ in WALKS)
         codes = _codes("".join(t + "\0" * pad for t in texts))
         begin = np.cumsum([0] + [len(t) + pad for t in texts[:-1]])
-        starts = _word_starts(codes)
         proposed: set[tuple[int, int, int]] = set()
         for index in self.indexes:
+            starts = window_starts(codes) if index.steps == WALKS[0][0] else np.flatnonzero(codes)
             for at, item, offset in index.hits(codes, starts):
                 doc = int(np.searchsorted(begin, at, "right")) - 1
                 proposed.add((doc, item, at - int(begin[doc]) - offset))
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        last = None
+        # Neighbouring places are verified as one stretch of text.
+        places: list[list[int]] = []
         for doc, item, start in sorted(proposed):
-            # Places within half the slack of one that was verified are covered by it.
-            if last and last[:2] == (doc, item) and start - last[2] <= max(1, int((1 - self.similarity) * len(self.texts[item]) / 2)) and last[3]:
-                continue
-            found = self.verify(texts[doc], item, max(0, start))
-            last = (doc, item, start, found is not None)
-            if found and (item not in out[doc] or found < out[doc][item]):
-                out[doc][item] = found
+            slack = self.slack(item)
+            if places and places[-1][:2] == [doc, item] and start - places[-1][2] <= slack:
+                places[-1][3] = start
+            else:
+                places.append([doc, item, start, start])
+        if places:
+            low = [max(0, first - self.slack(item)) for _, item, first, _ in places]
+            parts = [texts[doc][a : max(0, last) + len(self.texts[item]) + self.slack(item)] for a, (doc, item, _, last) in zip(low, places, strict=True)]
+            distances, ends = best_distances(self.tables, np.array([p[1] for p in places]), parts)
+            for (doc, item, _, _), a, distance, end in zip(places, low, distances.tolist(), ends.tolist(), strict=True):
+                if distance <= self.slack(item) and (item not in out[doc] or (distance, a + end) < out[doc][item]):
+                    out[doc][item] = (distance, a + end)
+        for item, pattern in self.patterns:
+            exact = self.texts[item]
+            for doc, text in enumerate(texts):
+                if (at := text.find(exact)) >= 0:
+                    out[doc][item] = (0, at + len(exact))
+                elif near := pattern.search(text):
+                    out[doc][item] = (1, near.end())
         return out
 
 
@@ -215,16 +306,21 @@ def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
             first, total = k + 1, 0
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, similarity: float, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The items in blocks of about ``block_bytes``, one at a time."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def item_blocks(texts: DataFrame, similarity: float, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
+    """``texts``: (id, text), no text twice; in blocks of about ``block_bytes``, one at a time."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = blocks(size, block_bytes)
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
-        kept = [(r["id"], t) for r in part if len(t := plain(r["text"])) >= SHORTEST]
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
+        kept = [(r["id"], t) for r in part if (t := plain(r["text"]))]
         if kept:
-            yield Items([i for i, _ in kept], [t for _, t in kept], similarity)
+            yield Items(uuid.uuid4().hex, [i for i, _ in kept], [t for _, t in kept], similarity)
+
+
+def distinct_items(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text) with each text once, under its least id; and all (id, text)."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return rows.groupBy("text").agg(F.min("id").alias("id")).select("id", "text"), rows
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -234,7 +330,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     kind, item_kind = dict(rows.dtypes)["doc_id"], dict(items.dtypes)[item_col]
     schema = f"doc_id {kind}, item_id {item_kind}, distance int, similarity double, place int"
     out = None
-    for block in item_blocks(items, item_col, text_col, similarity):
+    texts, all_items = distinct_items(items, item_col, text_col)
+    for block in item_blocks(texts, similarity):
         shared = spark.sparkContext.broadcast(block)
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -254,13 +351,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
         one = rows.mapInArrow(found, schema)
         out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], schema) if out is None else out
+    if out is None:
+        return spark.createDataFrame([], schema)
+    if all_items.groupBy("text").count().where("count > 1").isEmpty():
+        return out
+    same = all_items.withColumnRenamed("id", "every_id").join(texts, "text").select(F.col("id").alias("item_id"), "every_id")
+    return out.join(same, "item_id").select("doc_id", F.col("every_id").alias("item_id"), "distance", "similarity", "place")
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without the rows that hold an item; nothing is shuffled."""
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_col, text_col, similarity):
+    for block in item_blocks(distinct_items(items, item_col, text_col)[0], similarity):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
