@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.sinks import is_complete
+
 
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key the sink does not have yet."""
@@ -25,14 +27,12 @@ def each_once(spark: SparkSession, source: str, schema: str, key: str, work: Cal
     after a failure adds nothing twice."""
 
     def batch(df: DataFrame, _: int) -> None:
-        try:
-            done = df.sparkSession.read.parquet(sink)
-        except Exception as e:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = None
-        fresh = df if done is None else pending(df, done, key)
-        work(fresh.dropDuplicates([key])).write.mode("append").parquet(sink)
+        # The first batch finds no sink; later ones read its key column alone.
+        fresh = pending(df, df.sparkSession.read.parquet(sink), key) if is_complete(df.sparkSession, sink) else df
+        # Of rows with one key the least stays, so a batch that runs again does the same work.
+        first = fresh.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_row")) if len(df.columns) > 1 else fresh.distinct()
+        rows = first.select(key, "_row.*").select(*df.columns) if len(df.columns) > 1 else first
+        work(rows).write.mode("append").parquet(sink)
 
     spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -173,3 +173,45 @@ def test_required_rows_must_exist(spark):
     assert required(spark.createDataFrame([(1,)], "k long"), known, "k").count() == 1
     with pytest.raises(Exception, match="no row for k 2"):
         required(spark.createDataFrame([(2,)], "k long"), known, "k").collect()
+
+
+def test_pagerank_converges_to_the_power_iteration(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(90)}
+    edges = spark.createDataFrame([(a, b, float(1 + (a + b) % 3)) for a, b in pairs if a != b], "src long, dst long, weight double")
+    nodes = spark.range(30)
+    m = np.zeros((30, 30))
+    for r in edges.collect():
+        m[r.dst, r.src] += r.weight
+    out = m.sum(0)
+    p = np.full(30, 1 / 30)
+    for _ in range(200):
+        flow = m @ np.divide(p, out, out=np.zeros(30), where=out > 0)
+        p = 0.85 * flow + (0.15 + 0.85 * p[out == 0].sum()) / 30
+    got = {r.id: r.score for r in G.pagerank(nodes, edges, tolerance=1e-10).collect()}
+    assert all(abs(got[k] - p[k]) < 1e-7 for k in range(30))
+
+
+def test_crc_sample_and_answers_of_ranked_files(spark, tmp_path):
+    import zlib
+
+    df = spark.range(500).select(F.col("id").alias("doc_id"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in content.crc_sample(spark, str(tmp_path)).collect()} == {i for i in range(500) if zlib.crc32(str(i).encode()) % 100 < 5}
+    rows = spark.createDataFrame([(2, "q1", "d1", 0.5, 1.25), (0, "q1", "d2", 0.0, -3.0)], "label int, qid string, doc_id string, a double, b double")
+    back = {r.doc_id: (r.label, r.qid, r.features) for r in L.parse_svmrank(L.format_svmrank(rows, ["a", "b"], 4)).collect()}
+    assert back == {"d1": (2, "q1", [0.5, 1.25]), "d2": (0, "q1", [0.0, -3.0])}
+
+
+def test_search_judges_on_other_queries(spark):
+    df = spark.createDataFrame([(q, d, float(d % 2), d % 2) for q in range(20) for d in range(4)], "qid long, doc_id long, f double, label int")
+    seen = []
+
+    def fit(train, weight):
+        seen.append({r.qid for r in train.select("qid").distinct().collect()})
+        return weight
+
+    found = L.search(df, {"weight": [-1.0, 1.0]}, fit, lambda w, rest: w * rest.count())
+    assert found[0][0] == {"weight": 1.0} and found[0][1] > 0 and 0 < len(seen[0]) < 20
