@@ -154,47 +154,119 @@ def letters_table(item: str) -> tuple[np.ndarray, np.ndarray]:
     return letters, rows
 
 
-def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str], limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each text and the table of its item, the least edit distance of the item to a substring of the text, and
-    where the first such substring ends. Bit-parallel in blocks of BITS rows, and over all candidates at once."""
-    best, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    widths = np.array([tables[i][1].shape[1] for i in items.tolist()])
-    for width in np.unique(widths).tolist():
-        mine = np.flatnonzero(widths == width)
-        mine = mine[np.argsort([len(texts[k]) for k in mine], kind="stable")]
-        for first in range(0, len(mine), TOGETHER):
-            part = mine[first : first + TOGETHER]
-            best[part], end[part] = _distances(tables, items[part], [texts[k] for k in part.tolist()], width)
+    where the first such substring ends. Bit-parallel in blocks of BITS rows, and over all candidates at once. A
+    distance above its limit is told as one above the limit."""
+    limits = np.full(len(texts), 1 << 40) if limits is None else limits
+    best, end = limits + 1, np.zeros(len(texts), np.int64)
+    order = np.argsort([len(t) for t in texts], kind="stable")
+    if (limits < 1 << 40).any():
+        chunks = (order[at : at + TOGETHER] for at in range(0, len(order), TOGETHER))
+        order = np.concatenate([chunk[_may_match(_letters(tables, items[chunk], [texts[k] for k in chunk.tolist()]), limits[chunk])] for chunk in chunks])
+    for at in range(0, len(order), TOGETHER):
+        part = order[at : at + TOGETHER]
+        found, end[part] = _whole_distances(_letters(tables, items[part], [texts[k] for k in part.tolist()]))
+        best[part] = np.minimum(found, limits[part] + 1)
     return best, end
 
 
-def _distances(tables: list, items: np.ndarray, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _least_of_block(column: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """The least edit distance of a full block of rows of each candidate to a substring."""
+    n = letter.shape[1]
+    p, m, score = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(n, np.uint64), np.full(n, BITS, np.int64)
+    best, one, top = score.copy(), np.uint64(1), np.uint64(BITS - 1)
+    for here in letter:
+        eq = column.take(here)
+        vertical = eq | m
+        across = eq & p
+        across += p
+        across ^= p
+        across |= eq
+        fall = p & across
+        across |= p
+        grow = np.invert(across, out=across)
+        grow |= m
+        score += (grow >> top).view(np.int64)
+        score -= (fall >> top).view(np.int64)
+        np.minimum(best, score, out=best)
+        grow <<= one
+        fall <<= one
+        np.bitwise_and(grow, vertical, out=m)
+        vertical |= grow
+        np.bitwise_or(fall, np.invert(vertical, out=vertical), out=p)
+    return best
+
+
+@cache
+def _numbers() -> np.ndarray:
+    """Code point -> number, all 0 between calls."""
+    return np.zeros(0x110000, np.int32)
+
+
+@dataclass
+class Letters:
+    """Candidates: the rows of their items' letters by block, the row of each character of their texts, and the row
+    that matches only what is free before the item."""
+
+    columns: list[np.ndarray]
+    letter: np.ndarray  # (characters, candidates)
+    other: np.ndarray
+    blocks: np.ndarray
+
+
+def _letters(tables: list, items: np.ndarray, texts: list[str]) -> Letters:
     used, which = np.unique(items, return_inverse=True)
-    rows = np.concatenate([tables[i][1] for i in used.tolist()])
-    ends = np.cumsum([len(tables[i][1]) for i in used.tolist()])
+    own = [tables[i] for i in used.tolist()]
+    width = np.array([rows.shape[1] for _, rows in own])
+    # All tables end at the same block; the free blocks before a shorter one match anything.
+    free = np.uint64(0xFFFFFFFFFFFFFFFF)
+    rows = np.concatenate([np.pad(r, ((0, 0), (width.max() - r.shape[1], 0)), constant_values=free) for _, r in own])
+    ends = np.cumsum([len(r) for _, r in own])
     begins = np.append(0, ends[:-1])
-    steps = max(map(len, texts))
-    letter = np.repeat((ends - 1)[which][None, :], steps, axis=0)
+    # Characters of all these items get numbers from 1 on; each item has the row of every number.
+    known = np.unique(np.concatenate([letters for letters, _ in own]))
+    number = _numbers()
+    number[known] = np.arange(1, len(known) + 1)
+    row_of = np.repeat((ends - 1)[:, None], len(known) + 1, axis=1).astype(np.int32)
+    for u, (letters, _) in enumerate(own):
+        row_of[u, number[letters]] = begins[u] + np.arange(len(letters))
+    letter = np.repeat((ends - 1)[which][None, :], max(map(len, texts)), axis=0).astype(np.int32)
     for k, (text, u) in enumerate(zip(texts, which.tolist(), strict=True)):
-        letters = tables[used[u]][0]
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
-        letter[: len(codes), k] = np.where(letters[at] == codes, begins[u] + at, ends[u] - 1)
-    n = len(texts)
+        letter[: len(codes), k] = row_of[u].take(number.take(codes))
+    number[known] = 0
+    columns = [rows[:, w].copy() for w in range(rows.shape[1])]
+    return Letters(columns, letter, (ends - 1)[which], width[which])
+
+
+def _may_match(c: Letters, limits: np.ndarray) -> np.ndarray:
+    """Candidates within their limits by the sum of the least distances of their full blocks: most fail by that."""
+    alive, bound, full = np.arange(len(limits)), np.zeros(len(limits), np.int64), c.blocks - 1
+    for turn in range(int(full.max())):
+        more = alive[full[alive] > turn]
+        bound[more] += _least_of_block(c.columns[-1 - turn], c.letter[:, more])
+        alive = alive[bound[alive] <= limits[alive]]
+    return alive
+
+
+def _whole_distances(c: Letters) -> tuple[np.ndarray, np.ndarray]:
+    columns, letter, width, (steps, n) = c.columns, c.letter, len(c.columns), c.letter.shape
     # What is free costs nothing; from there on each row costs one more.
-    free = ~rows[ends - 1][which]
+    free = np.stack([~column[c.other] for column in columns], axis=1)
     plus, minus = [free[:, w].copy() for w in range(width)], [np.zeros(n, np.uint64) for _ in range(width)]
     score = np.bitwise_count(free).sum(axis=1).astype(np.int64)
     best, end = score.copy(), np.zeros(n, np.int64)
     one, top = np.uint64(1), np.uint64(BITS - 1)
     none = np.zeros(n, np.uint64)
     for step in range(steps):
-        match = rows[letter[step]].T
+        here = letter[step]
         up = down = none  # what comes in from the block before
         for w in range(width):
-            p, m, eq = plus[w], minus[w], match[w]
+            p, m, eq = plus[w], minus[w], columns[w].take(here)
             vertical = eq | m
-            eq = eq | down if w else eq.copy()
+            if w:
+                eq |= down
             across = eq & p
             across += p
             across ^= p
@@ -283,7 +355,7 @@ class Items:
         if places:
             low = [max(0, first - self.slack(item)) for _, item, first, _ in places]
             parts = [texts[doc][a : max(0, last) + len(self.texts[item]) + self.slack(item)] for a, (doc, item, _, last) in zip(low, places, strict=True)]
-            distances, ends = best_distances(self.tables, np.array([p[1] for p in places]), parts)
+            distances, ends = best_distances(self.tables, np.array([p[1] for p in places]), parts, np.array([self.slack(p[1]) for p in places]))
             for (doc, item, _, _), a, distance, end in zip(places, low, distances.tolist(), ends.tolist(), strict=True):
                 if distance <= self.slack(item) and (item not in out[doc] or (distance, a + end) < out[doc][item]):
                     out[doc][item] = (distance, a + end)

@@ -273,6 +273,9 @@ def test_edit_distance_of_the_best_place():
             row = fresh
         (distance,), _ = decontamination.best_distances([decontamination.letters_table(item)], np.zeros(1, int), [text])
         assert distance == min(row)
+        for limit in (0, 5, 30, 200):
+            (other,), _ = decontamination.best_distances([decontamination.letters_table(item)], np.zeros(1, int), [text], np.array([limit]))
+            assert other == min(distance, limit + 1)
 
 
 @pytest.mark.parametrize("head", [1 << 17, 3])
