@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import collocations, decontamination, exact_dedup, filter_audit, language_id, lm_scoring, near_dedup, packing, pii, secrets, sharding, substring_dedup
+from quarry.llm import collocations, decontamination, exact_dedup, filter_audit, language_id, lm_scoring, near_dedup, packing, pii, quality_mil, secrets, sharding, substring_dedup
 
 _ENTRIES = {
     "op1_sharding": (sharding.op1_sharding, None),
@@ -15,6 +15,7 @@ _ENTRIES = {
     "op8_language_id": (language_id.op8_language_id, None),
     "op9_decontamination": (decontamination.op9_decontamination, None),
     "op10_lm_scoring": (lm_scoring.op10_lm_scoring, None),
+    "op11_quality": (quality_mil.op11_quality, None),
     "op12_collocations": (collocations.op12_collocations, collocations.OP12_SQL),
     "op13_filter_audit": (filter_audit.op13_filter_audit, filter_audit.OP13_SQL),
 }
