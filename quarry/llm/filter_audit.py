@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import documents
+from quarry.llm.common import blocks, documents
 
 LETTERS = "ABCDE"
 _DUPLICATE = 1 << LETTERS.index("E")
 ORDERS = ["".join(p) for p in permutations(LETTERS)]
 #: Bytes of text whose chains a map task holds before it sends them on.
 HELD = 64 << 20
+#: Bytes of text for each partition of fingerprints.
+PART = 32 << 20
 _NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
 _MARKS = b"#$%&*|"
 
@@ -114,7 +116,8 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"), F.col(part_col).cast("string"))
     kind = rows.schema["doc_id"].dataType
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks(size, PART))
     routed = rows.rdd.mapPartitions(_least_of_task).repartitionAndSortWithinPartitions(parts, lambda print_: print_ % parts)
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())])
     return spark.createDataFrame(routed.mapPartitions(_settled), schema, verifySchema=False)
