@@ -82,6 +82,76 @@ def listwise_requests(run: DataFrame, queries: DataFrame, docs: DataFrame, size:
     return told.groupBy("qid", "window", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "passage"))).alias("candidates"))
 
 
+def window_ends(n: int, size: int = 20, stride: int = 10) -> list[tuple[int, int]]:
+    """(start, end) of the windows over ``n`` places from the back to the front; the last one starts at 0."""
+    out, end = [], n
+    while end > 0:
+        out.append((max(0, end - size), end))
+        if end <= size:
+            break
+        end -= stride
+    return out
+
+
+def completed_order(order, n: int) -> list[int]:
+    """A permutation of n places from a model's answer: the first mention counts, what it leaves out follows as it was."""
+    said = list(dict.fromkeys(int(i) for i in order if 0 <= int(i) < n))
+    return said + [i for i in range(n) if i not in set(said)]
+
+
+def sequential_rerank(run: DataFrame, model, columns: list[str], size: int = 20, stride: int = 10, depth: int = 1000, together: int = 64, query: str = "qid", doc: str = "doc_id") -> DataFrame:
+    """(qid, doc_id, rank, error): the first ``depth`` ranks of each query reordered by listwise windows in sequence.
+
+    Windows go from the back to the front, and each gets what the one before it has left in its places. The list of
+    a query, ``depth`` rows at most, is one record, and all its windows are run in one task; ``model`` is called with
+    the windows that ``together`` queries have at that step, as lists of dicts of ``columns``, and answers with one
+    order (places, best first) for each. An incomplete answer is completed. Where a call fails, its windows are tried
+    alone; a query whose window fails alone gives one row with the error and no documents, and stops nobody else.
+
+    Ranks start at 1 and follow the order of ``rank``, then ``doc``; a null rank is left out.
+    """
+    import pyarrow as pa
+
+    item = F.struct(F.col("rank"), F.col(doc).alias("doc"), *[F.col(c).alias(f"in_{k}") for k, c in enumerate(columns)])
+    lists = run.where(F.col("rank") <= depth).groupBy(F.col(query).alias("qid")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    kinds = dict(run.dtypes)
+
+    def answers(windows: list[list[dict]]) -> list:
+        try:
+            found = list(model(windows))
+            if len(found) == len(windows):
+                return found
+            raise ValueError(f"{len(found)} answers to {len(windows)} windows")
+        except Exception as e:
+            return [e] if len(windows) == 1 else [answers([w])[0] for w in windows]
+
+    def apply(batches):
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1).to_pylist()
+            rows: list[list[tuple]] = [[] for _ in lists]
+            for first in range(0, len(lists), together):
+                part = range(first, min(first + together, len(lists)))
+                plans = {q: window_ends(len(lists[q]), size, stride) for q in part}
+                failed: dict[int, str] = {}
+                for step in range(max(map(len, plans.values()))):
+                    now = [q for q in part if step < len(plans[q]) and q not in failed]
+                    asked = [[{c: x[f"in_{k}"] for k, c in enumerate(columns)} for x in lists[q][slice(*plans[q][step])]] for q in now]
+                    for q, order in zip(now, answers(asked) if asked else [], strict=True):
+                        a, b = plans[q][step]
+                        if isinstance(order, Exception):
+                            failed[q] = f"{type(order).__name__}: {order}"
+                        else:
+                            lists[q][a:b] = [lists[q][a + i] for i in completed_order(order, b - a)]
+                for q in part:
+                    rows[q] = [(None, None, failed[q])] if q in failed else [(x["doc"], k + 1, None) for k, x in enumerate(lists[q])]
+            which = [q for q, own in enumerate(rows) for _ in own]
+            docs, ranks, errors = zip(*(r for own in rows for r in own), strict=True) if which else ((), (), ())
+            doc_type = batch.schema.field("items").type.value_type.field("doc").type
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(which, pa.int64())), pa.array(docs, doc_type), pa.array(ranks, pa.int32()), pa.array(errors, pa.string())], names=["qid", "doc_id", "rank", "error"])
+
+    return lists.mapInArrow(apply, f"qid {kinds[query]}, doc_id {kinds[doc]}, rank int, error string")
+
+
 def missing_batches(queries: DataFrame, done: DataFrame, size: int = 50) -> DataFrame:
     """First indexes of the batches of ``size`` that have a query which is not done."""
     return queries.join(done, "qid", "left_anti").select((F.floor(F.col("idx") / size) * size).alias("batch")).distinct()

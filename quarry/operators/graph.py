@@ -141,6 +141,54 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, teleport: DataFram
             return scores
 
 
+def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: float = 0.85, tolerance: float = 1e-8, most: int = 400, every: int = 4) -> DataFrame:
+    """(qid, id, score): personalised walks of many queries by pushing residuals; only what is reached has a row.
+
+    ``teleport`` is (qid, id, p) with p summing to 1 per query. A pair (query, node) keeps 1 - alpha of its residual as
+    score and passes the rest along its links (a node without links: back to the teleport vector), but only while its
+    residual exceeds ``tolerance`` times its number of links (at least 1). So a score falls short of the exact one, and
+    by all nodes of a query together it does by at most the residuals that are left, under tolerance x (links +
+    reached nodes). Work follows the mass that still moves: queries that are settled cost nothing any more.
+
+    Links are dealt to partitions once; each step joins the active pairs to them and adds up in one shuffle.
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("degree"))
+    degree = out.select(F.col("src").alias("id"), "degree")
+    shares = edges.join(out.select("src", "total"), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+    moves = cut(shares.join(degree.withColumnRenamed("id", "dst"), "dst", "left").select(F.col("src").alias("id"), "dst", "share", F.coalesce("degree", F.lit(0)).alias("to_degree")))
+    moves = moves.repartition(max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id").persist()
+    start = cut(teleport.join(degree, "id", "left").select("qid", "id", "p", F.coalesce("degree", F.lit(0)).alias("degree")))
+    state = start.select("qid", "id", F.lit(0.0).alias("score"), F.col("p").alias("residual"), "degree")
+    moving = F.col("residual") > tolerance * F.greatest("degree", F.lit(1))
+    for turn in range(1, most + 1):
+        active = state.where(moving)
+        kept = state.select("qid", "id", F.when(moving, F.col("score") + (1 - alpha) * F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(moving, 0.0).otherwise(F.col("residual")).alias("residual"), "degree")
+        passed = active.join(moves, "id").select("qid", F.col("dst").alias("id"), F.lit(0.0).alias("score"), (alpha * F.col("residual") * F.col("share")).alias("residual"), F.col("to_degree").alias("degree"))
+        loose = active.where("degree = 0").groupBy("qid").agg(F.sum("residual").alias("loose"))
+        back = start.join(loose, "qid").select("qid", "id", F.lit(0.0).alias("score"), (alpha * F.col("loose") * F.col("p")).alias("residual"), "degree")
+        state = kept.unionByName(passed).unionByName(back).groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.max("degree").alias("degree"))
+        if turn % every == 0 or turn == most:
+            state = cut(state)
+            if state.where(moving).isEmpty():
+                break
+    moves.unpersist()
+    return state.where("score > 0").select("qid", "id", "score")
+
+
+def rerank_by_walk(run: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-8, digits: int | None = None) -> DataFrame:
+    """A run (qid, doc_id, ...) with the score of a walk that starts from all documents that its query retrieved, each
+    with one share, and the rank by it. Documents without a link of their own are no nodes: they start nothing and go.
+    ``digits`` rounds scores before they are ranked; ties go by doc_id."""
+    nodes = edges.select(F.col("src").alias("doc_id")).union(edges.select("dst")).distinct()
+    known = run.join(nodes, "doc_id", "left_semi")
+    each = F.count(F.lit(1)).over(Window.partitionBy("qid"))
+    starts = known.select("qid", "doc_id").distinct().select("qid", F.col("doc_id").alias("id"), (1.0 / each).alias("p"))
+    walked = personalized_pagerank_push(edges, starts, alpha, tolerance).withColumnRenamed("id", "doc_id")
+    walked = walked if digits is None else walked.withColumn("score", F.round("score", digits))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return known.drop("score", "rank").join(walked, ["qid", "doc_id"]).withColumn("rank", F.row_number().over(order))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int | None = None, tolerance: float = 1e-10, most: int = 200) -> DataFrame:
     """(id, score): the personalised walk of one query whose teleport vector is uniform over all nodes."""
     n = nodes.agg(F.count(F.lit(1)).alias("n"))

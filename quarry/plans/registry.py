@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-from quarry.plans import content, files, graphs, ranking, relational
+from quarry.plans import content, files, graphs, ranking, relational, search
 
-_MODULES: tuple = (ranking, graphs, content, files, relational)
+_MODULES: tuple = (ranking, graphs, content, files, relational, search)
 
 
 def queries() -> dict[str, Query]:
