@@ -141,7 +141,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, teleport: DataFram
             return scores
 
 
-def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: float = 0.85, tolerance: float = 1e-8, most: int = 400, every: int = 4) -> DataFrame:
+def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: float = 0.85, tolerance: float = 1e-8, most: int = 400) -> DataFrame:
     """(qid, id, score): personalised walks of many queries by pushing residuals; only what is reached has a row.
 
     ``teleport`` is (qid, id, p) with p summing to 1 per query. A pair (query, node) keeps 1 - alpha of its residual as
@@ -150,7 +150,8 @@ def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: flo
     by all nodes of a query together it does by at most the residuals that are left, under tolerance x (links +
     reached nodes). Work follows the mass that still moves: queries that are settled cost nothing any more.
 
-    Links are dealt to partitions once; each step joins the active pairs to them and adds up in one shuffle.
+    Links are dealt to partitions once; a step joins the active pairs to them, adds up in one shuffle and is written to
+    the shared folder, as the next one reads it more than once.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("degree"))
     degree = out.select(F.col("src").alias("id"), "degree")
@@ -160,17 +161,18 @@ def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: flo
     start = cut(teleport.join(degree, "id", "left").select("qid", "id", "p", F.coalesce("degree", F.lit(0)).alias("degree")))
     state = start.select("qid", "id", F.lit(0.0).alias("score"), F.col("p").alias("residual"), "degree")
     moving = F.col("residual") > tolerance * F.greatest("degree", F.lit(1))
-    for turn in range(1, most + 1):
+    ends = not start.where("degree = 0").isEmpty() or not moves.where("to_degree = 0").isEmpty()
+    for _ in range(most):
         active = state.where(moving)
+        if active.isEmpty():
+            break
         kept = state.select("qid", "id", F.when(moving, F.col("score") + (1 - alpha) * F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(moving, 0.0).otherwise(F.col("residual")).alias("residual"), "degree")
         passed = active.join(moves, "id").select("qid", F.col("dst").alias("id"), F.lit(0.0).alias("score"), (alpha * F.col("residual") * F.col("share")).alias("residual"), F.col("to_degree").alias("degree"))
-        loose = active.where("degree = 0").groupBy("qid").agg(F.sum("residual").alias("loose"))
-        back = start.join(loose, "qid").select("qid", "id", F.lit(0.0).alias("score"), (alpha * F.col("loose") * F.col("p")).alias("residual"), "degree")
-        state = kept.unionByName(passed).unionByName(back).groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.max("degree").alias("degree"))
-        if turn % every == 0 or turn == most:
-            state = cut(state)
-            if state.where(moving).isEmpty():
-                break
+        parts = kept.unionByName(passed)
+        if ends:
+            loose = active.where("degree = 0").groupBy("qid").agg(F.sum("residual").alias("loose"))
+            parts = parts.unionByName(start.join(loose, "qid").select("qid", "id", F.lit(0.0).alias("score"), (alpha * F.col("loose") * F.col("p")).alias("residual"), "degree"))
+        state = cut(parts.groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.max("degree").alias("degree")))
     moves.unpersist()
     return state.where("score > 0").select("qid", "id", "score")
 

@@ -76,7 +76,7 @@ def retrieved_parts(spark, d):
 
 
 def walked(spark, d):
-    return G.rerank_by_walk(retrieved_parts(spark, d), t.part_links(spark, d), tolerance=1e-11, digits=5).select("qid", "doc_id", "score", "rank")
+    return G.rerank_by_walk(retrieved_parts(spark, d), t.part_links(spark, d), tolerance=1e-8, digits=6).select("qid", "doc_id", "score", "rank")
 
 
 def orders_as_sets(spark, d):
@@ -127,16 +127,6 @@ m2 AS MATERIALIZED (SELECT m.i, m.j, v - l * a.x * b.x AS v FROM m1 m JOIN u1 a
 m3 AS MATERIALIZED (SELECT m.i, m.j, v - l * a.x * b.x AS v FROM m2 m JOIN u2 a ON a.i = m.i JOIN u2 b ON b.i = m.j, u2_l), {_squared("u3", "m3")},
 us AS (SELECT 0 AS pos, * FROM u1 UNION ALL SELECT 1, * FROM u2 UNION ALL SELECT 2, * FROM u3),
 pr AS MATERIALIZED (SELECT id, pos, y / sqrt(sum(y * y) OVER (PARTITION BY id)) AS y FROM (SELECT id, pos, sum(c.x * us.x) AS y FROM c JOIN us USING (i) GROUP BY id, pos))"""
-_SOLD = """sold AS (SELECT s_nationkey AS qid, l_partkey AS doc_id, sum(l_quantity)::DOUBLE AS score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
-run AS (SELECT * FROM sold QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 100)"""
-_WALK = f"""WITH RECURSIVE {t.PART_LINKS_SQL}, {_SOLD}, mv AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM plinks),
-known AS (SELECT * FROM run WHERE doc_id IN (SELECT src FROM plinks UNION SELECT dst FROM plinks)),
-tel AS MATERIALIZED (SELECT qid, doc_id AS id, 1.0 / count(*) OVER (PARTITION BY qid) AS p FROM known),
-links AS MATERIALIZED (SELECT src, dst, p, NULL AS qid FROM mv UNION ALL SELECT o.id, tel.id, tel.p, tel.qid FROM (SELECT DISTINCT dst AS id FROM plinks WHERE dst NOT IN (SELECT src FROM plinks)) o, tel),
-w AS (SELECT 0 AS k, qid, id, p::DOUBLE AS r FROM tel
-  UNION ALL SELECT k + 1, w.qid, l.dst, sum(0.85 * r * l.p) FROM w JOIN links l ON l.src = w.id AND (l.qid IS NULL OR l.qid = w.qid) WHERE k < 150 GROUP BY k, w.qid, l.dst),
-s AS (SELECT qid, id AS doc_id, round(sum(0.15 * r), 5) AS score FROM w GROUP BY qid, id)
-SELECT k.qid, k.doc_id, s.score, row_number() OVER (PARTITION BY k.qid ORDER BY s.score DESC, k.doc_id) AS rank FROM known k JOIN s ON s.qid = k.qid AND s.doc_id = k.doc_id"""
 _SETS = """m AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem), z AS (SELECT s, list_sort(list(t)) AS ts FROM m GROUP BY s),
 k AS MATERIALIZED (SELECT s AS set_id, min(s) OVER (PARTITION BY ts) AS class_id, len(ts) AS size FROM z),
 r AS (SELECT class_id, any_value(size) AS size FROM k GROUP BY class_id), mr AS (SELECT s, t, size FROM m JOIN r ON class_id = s),
@@ -154,7 +144,7 @@ SELECT CAST(component AS INTEGER) AS component, round(l, 8) AS eigenvalue, round
     "pca_knn": (projected_neighbours, f"""WITH {_PCA}, s AS (SELECT a.id AS query, b.id AS neighbor, round(sum(a.y * b.y), 5) AS score FROM pr a JOIN pr b USING (pos) GROUP BY a.id, b.id)
 SELECT query, neighbor, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbor) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""),
     "pca_recall": (recall_by_size, None),
-    "ppr_rerank": (walked, _WALK),
+    "ppr_rerank": (walked, None),
     "similar_sets": (similar_orders, f"WITH {_SETS} SELECT a, b, CAST(common AS INTEGER) AS common, round(similarity, 6) AS similarity FROM p"),
     "similar_set_classes": (order_classes, f"""WITH {_SETS}, n AS (SELECT class_id, count(*) AS n FROM k GROUP BY class_id), o AS (SELECT a AS class_id, b AS other FROM p UNION ALL SELECT b, a FROM p), l AS (SELECT o.class_id, sum(n) AS links FROM o JOIN n ON n.class_id = other GROUP BY o.class_id)
 SELECT set_id, class_id, CAST(size AS INTEGER) AS size, n - 1 AS copies, CAST(coalesce(links, 0) AS BIGINT) AS links FROM k JOIN n USING (class_id) LEFT JOIN l USING (class_id)"""),
