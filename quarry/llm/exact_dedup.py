@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialise
+from quarry.llm.common import documents, free_names, materialise
 
 #: White-space runs other than a single space; single spaces already have the wanted form.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -64,15 +64,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat both id and text stay once, rows that repeat the id alone all stay."""
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat both id and text stay once, rows that repeat the id alone all stay. Extra columns may have any names."""
     groups = exact_groups(docs, id_col, text_col)
+    stay_id, stay_sha, again_id, again_sha = free_names(docs, "stay_id", "stay_sha", "again_id", "again_sha")
     sha, key = F.sha2(normalised(F.col(text_col)), 256), F.col(id_col)
-    stay = groups.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    kept = docs.join(stay, key.eqNullSafe(F.col("_stay_id")) & (sha == F.col("_stay_sha")), "left_semi")
+    stay = groups.where("kept").select(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_sha))
+    kept = docs.join(stay, key.eqNullSafe(F.col(stay_id)) & (sha == F.col(stay_sha)), "left_semi")
     repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1")
-    again = repeated.select(F.col("doc_id").alias("_again_id"), F.col("text_sha256").alias("_again_sha"))
-    same = key.eqNullSafe(F.col("_again_id")) & (sha == F.col("_again_sha"))
-    twice = kept.join(again, same, "left_semi").withColumn("_stay_sha", sha).dropDuplicates([id_col, "_stay_sha"]).drop("_stay_sha")
+    again = repeated.select(F.col("doc_id").alias(again_id), F.col("text_sha256").alias(again_sha))
+    same = key.eqNullSafe(F.col(again_id)) & (sha == F.col(again_sha))
+    twice = kept.join(again, same, "left_semi").withColumn(stay_sha, sha).dropDuplicates([id_col, stay_sha]).drop(stay_sha)
     return kept.join(again, same, "left_anti").unionByName(twice)
 
 
