@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, exact_dedup, language_id, near_dedup, packing
-from quarry.llm.common import crc_fold, documents, materialise
+from quarry.llm.common import crc_fold, documents, free_names, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language: null texts and texts without a letter, and all if no row has a language.
 
-    Other columns may be null; a null doc_id counts as fold 0; repeated rows and an empty table pass through.
+    Other columns may be null and have any names; a null doc_id counts as fold 0; repeated rows and an empty table pass through.
     """
     training = docs.where(crc_fold(F.col("doc_id")) != 0).select("doc_id", "text", "lang")
-    found = language_id.predict(docs, language_id.train(training), lang_as="_lang_pred", score_as="_lang_score")
-    return found.where(F.col("_lang_pred") != language_id.UND).drop("_lang_pred", "_lang_score")
+    lang, score = free_names(docs, "lang_pred", "lang_score")
+    found = language_id.predict(docs, language_id.train(training), lang_as=lang, score_as=score)
+    return found.where(F.col(lang) != language_id.UND).drop(lang, score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
