@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 #: (steps, sampled of them, shortest item): long items and short ones; still shorter ones take a pattern.
 WALKS = ((32, 12, 48), (10, 7, 10))
 TABLES = 6
+#: Hits that a place of a long item needs before its distance is computed.
+LEAST_HITS = 1
 #: Distance of window starts within a stretch without spaces.
 STRIDE = 8
 FILTER_BITS = 20
@@ -124,16 +126,16 @@ class ItemIndex:
             out.filters.append(present)
         return out
 
-    def hits(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window start, item, offset in the item)."""
-        keys = window_keys(codes, starts, self.steps)
+    def hits(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(window start, item, offset in the item) of all hits, as rows."""
+        keys, out = window_keys(codes, starts, self.steps), []
         for t in range(TABLES):
             near = np.flatnonzero(self.filters[t][_slots(keys[t])])
             low = np.searchsorted(self.keys[t], keys[t][near], "left")
-            high = np.searchsorted(self.keys[t], keys[t][near], "right")
-            for w, a, b in zip(near[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                for k in range(a, b):
-                    yield int(starts[w]), int(self.refs[t][0, k]), int(self.refs[t][1, k])
+            n = np.searchsorted(self.keys[t], keys[t][near], "right") - low
+            ref = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append(np.stack([np.repeat(starts[near], n), *self.refs[t][:, ref]], axis=1))
+        return np.concatenate(out)
 
 
 #: Candidates that are verified together, and bits of a row block.
@@ -326,39 +328,48 @@ class Items:
 
     def _build(self) -> Items:
         self.tables = [letters_table(t) for t in self.texts]
+        self.sizes = np.array([len(t) for t in self.texts])
+        self.slacks = np.array([self.slack(k) for k in range(len(self.texts))])
         most = [w[2] for w in WALKS]
         classes = [i for i, t in enumerate(self.texts) if len(t) >= most[0]], [i for i, t in enumerate(self.texts) if most[1] <= len(t) < most[0]]
         self.indexes = [ItemIndex.build(self.texts, which, walk[0]) for which, walk in zip(classes, WALKS, strict=True) if which]
         self.patterns = [(i, neighbours(t, self.slack(i))) for i, t in enumerate(self.texts) if 0 < len(t) < most[1]]
         return self
 
+    def _places(self, hits: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+        """(document, item, first start, last start): neighbouring places are one stretch of text; those with fewer
+        than ``least`` hits go."""
+        at, item, offset = hits.T
+        doc = np.searchsorted(begin, at, "right") - 1
+        start = at - begin[doc] - offset
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
+        apart = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.slacks[item[1:]])
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(doc)), bool), apart])
+        ends = np.append(first[1:], len(doc))
+        keep = ends - first >= least
+        first, last = first[keep], ends[keep] - 1
+        return doc[first], item[first], start[first], start[last]
+
     def matches(self, texts: list[str]) -> list[dict[int, tuple[int, int]]]:
         """For each text: item -> (distance, end) of its best place."""
         pad = max(steps for steps, _, _ in WALKS)
         codes = _codes("".join(t + "\0" * pad for t in texts))
         begin = np.cumsum([0] + [len(t) + pad for t in texts[:-1]])
-        proposed: set[tuple[int, int, int]] = set()
+        out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         for index in self.indexes:
             starts = window_starts(codes) if index.steps == WALKS[0][0] else np.flatnonzero(codes)
-            for at, item, offset in index.hits(codes, starts):
-                doc = int(np.searchsorted(begin, at, "right")) - 1
-                proposed.add((doc, item, at - int(begin[doc]) - offset))
-        out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        # Neighbouring places are verified as one stretch of text.
-        places: list[list[int]] = []
-        for doc, item, start in sorted(proposed):
-            slack = self.slack(item)
-            if places and places[-1][:2] == [doc, item] and start - places[-1][2] <= slack:
-                places[-1][3] = start
-            else:
-                places.append([doc, item, start, start])
-        if places:
-            low = [max(0, first - self.slack(item)) for _, item, first, _ in places]
-            parts = [texts[doc][a : max(0, last) + len(self.texts[item]) + self.slack(item)] for a, (doc, item, _, last) in zip(low, places, strict=True)]
-            distances, ends = best_distances(self.tables, np.array([p[1] for p in places]), parts, np.array([self.slack(p[1]) for p in places]))
-            for (doc, item, _, _), a, distance, end in zip(places, low, distances.tolist(), ends.tolist(), strict=True):
-                if distance <= self.slack(item) and (item not in out[doc] or (distance, a + end) < out[doc][item]):
-                    out[doc][item] = (distance, a + end)
+            doc, item, first, last = self._places(index.hits(codes, starts), begin, LEAST_HITS if index.steps == WALKS[0][0] else 1)
+            if not len(doc):
+                continue
+            slack, size = self.slacks[item], self.sizes[item]
+            low = np.maximum(0, first - slack)
+            parts = [texts[d][a : max(0, b)] for d, a, b in zip(doc.tolist(), low.tolist(), (last + size + slack).tolist(), strict=True)]
+            distances, ends = best_distances(self.tables, item, parts, slack)
+            for k in np.flatnonzero(distances <= slack).tolist():
+                found, i = (int(distances[k]), int(low[k] + ends[k])), int(item[k])
+                if i not in out[doc[k]] or found < out[doc[k]][i]:
+                    out[doc[k]][i] = found
         for item, pattern in self.patterns:
             exact = self.texts[item]
             for doc, text in enumerate(texts):
