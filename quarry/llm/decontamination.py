@@ -7,8 +7,9 @@ windows of documents start at every word and, in stretches without spaces, at ev
 Of their embeddings, ``TABLES`` sets of sampled positions are compared. Each window is a new chance to meet
 in every table: at the least similarity of 0.8 a walk over all of an item hardly ever stays in step, but some
 of its windows of 16 characters do (``tests/llm`` measures a recall of 0.9 at least, for errors at random and
-at even distances). A hit proposes a place for the item; there the edit distance of the item to its best
-place is verified exactly (bit-parallel), after a lossless count of shared 4-grams.
+at even distances, down to every fifth character). Hits on neighbouring diagonals propose a place for the item, from
+``LEAST_HITS`` on; there the edit distance of the item to its best place is verified exactly (bit-parallel), after a
+lossless bound: the sum of the least distances of the item's blocks of 64 characters on those diagonals.
 
 Items under 48 characters take a shorter walk, with windows at every character of the documents too; items
 under 10 characters, which may have one error at most, are searched by a pattern of all their neighbours.
@@ -36,10 +37,10 @@ from quarry.llm.common import blocks, documents
 
 SIMILARITY = 0.8
 #: (steps, sampled of them, shortest item): long items and short ones; still shorter ones take a pattern.
-WALKS = ((32, 12, 48), (10, 7, 10))
-TABLES = 6
+WALKS = ((32, 13, 48), (10, 7, 10))
+TABLES = 12
 #: Hits that a place of a long item needs before its distance is computed.
-LEAST_HITS = 1
+LEAST_HITS = 2
 #: Distance of window starts within a stretch without spaces.
 STRIDE = 8
 FILTER_BITS = 20
@@ -156,16 +157,17 @@ def letters_table(item: str) -> tuple[np.ndarray, np.ndarray]:
     return letters, rows
 
 
-def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str], limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str], limits: np.ndarray | None = None, band: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each text and the table of its item, the least edit distance of the item to a substring of the text, and
     where the first such substring ends. Bit-parallel in blocks of BITS rows, and over all candidates at once. A
-    distance above its limit is told as one above the limit."""
+    distance above its limit is told as one above the limit. ``band``: where the item's start lies in the text, first and
+    last, if it is known; then a match within its limit leaves that band by its limit at most."""
     limits = np.full(len(texts), 1 << 40) if limits is None else limits
     best, end = limits + 1, np.zeros(len(texts), np.int64)
     order = np.argsort([len(t) for t in texts], kind="stable")
     if (limits < 1 << 40).any():
         chunks = (order[at : at + TOGETHER] for at in range(0, len(order), TOGETHER))
-        order = np.concatenate([chunk[_may_match(_letters(tables, items[chunk], [texts[k] for k in chunk.tolist()]), limits[chunk])] for chunk in chunks])
+        order = np.concatenate([chunk[_may_match(_letters(tables, items[chunk], [texts[k] for k in chunk.tolist()]), limits[chunk], band and (band[0][chunk], band[1][chunk]))] for chunk in chunks])
     for at in range(0, len(order), TOGETHER):
         part = order[at : at + TOGETHER]
         found, end[part] = _whole_distances(_letters(tables, items[part], [texts[k] for k in part.tolist()]))
@@ -215,6 +217,7 @@ class Letters:
     letter: np.ndarray  # (characters, candidates)
     other: np.ndarray
     blocks: np.ndarray
+    sizes: np.ndarray
 
 
 def _letters(tables: list, items: np.ndarray, texts: list[str]) -> Letters:
@@ -234,20 +237,38 @@ def _letters(tables: list, items: np.ndarray, texts: list[str]) -> Letters:
     for u, (letters, _) in enumerate(own):
         row_of[u, number[letters]] = begins[u] + np.arange(len(letters))
     letter = np.repeat((ends - 1)[which][None, :], max(map(len, texts)), axis=0).astype(np.int32)
-    for k, (text, u) in enumerate(zip(texts, which.tolist(), strict=True)):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter[: len(codes), k] = row_of[u].take(number.take(codes))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    letter[place, owner] = row_of[which[owner], number.take(codes)]
     number[known] = 0
     columns = [rows[:, w].copy() for w in range(rows.shape[1])]
-    return Letters(columns, letter, (ends - 1)[which], width[which])
+    free_rows = np.array([int(np.bitwise_count(~r[-1]).sum()) for r in (x for _, x in own)])
+    return Letters(columns, letter, (ends - 1)[which], width[which], free_rows[which])
 
 
-def _may_match(c: Letters, limits: np.ndarray) -> np.ndarray:
-    """Candidates within their limits by the sum of the least distances of their full blocks: most fail by that."""
+def _may_match(c: Letters, limits: np.ndarray, band: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Candidates within their limits by the sum of the least distances of their full blocks: most fail by that.
+
+    With a band, a block of rows meets only the text that it can reach: what lies on the diagonals of the band, and
+    as many more on either side as there may be errors.
+    """
     alive, bound, full = np.arange(len(limits)), np.zeros(len(limits), np.int64), c.blocks - 1
+    steps = len(c.letter)
     for turn in range(int(full.max())):
         more = alive[full[alive] > turn]
-        bound[more] += _least_of_block(c.columns[-1 - turn], c.letter[:, more])
+        if not len(more):
+            break
+        if band is None:
+            letter = c.letter[:, more]
+        else:
+            offset = c.sizes[more] - BITS * (turn + 1)
+            low = band[0][more] + offset - limits[more]
+            high = band[1][more] + offset + BITS + limits[more]
+            at = low[None, :] + np.arange(max(0, int((high - low).max())))[:, None]
+            letter = np.where((at >= 0) & (at < steps), c.letter[np.clip(at, 0, steps - 1), more], c.other[more])
+        bound[more] += _least_of_block(c.columns[-1 - turn], letter)
         alive = alive[bound[alive] <= limits[alive]]
     return alive
 
@@ -365,7 +386,7 @@ class Items:
             slack, size = self.slacks[item], self.sizes[item]
             low = np.maximum(0, first - slack)
             parts = [texts[d][a : max(0, b)] for d, a, b in zip(doc.tolist(), low.tolist(), (last + size + slack).tolist(), strict=True)]
-            distances, ends = best_distances(self.tables, item, parts, slack)
+            distances, ends = best_distances(self.tables, item, parts, slack, (first - low, last - low))
             for k in np.flatnonzero(distances <= slack).tolist():
                 found, i = (int(distances[k]), int(low[k] + ends[k])), int(item[k])
                 if i not in out[doc[k]] or found < out[doc[k]][i]:

@@ -459,7 +459,7 @@ def damaged(rng, text, rate=0.0, every=0):
     return "".join(letters)
 
 
-@pytest.mark.parametrize("rate, every", [(0.1, 0), (0.18, 0), (0.0, 8), (0.0, 7)])
+@pytest.mark.parametrize("rate, every", [(0.1, 0), (0.18, 0), (0.2, 0), (0.0, 8), (0.0, 7), (0.0, 6), (0.0, 5)])
 def test_leaks_found_against_exhaustive_search(rate, every):
     """Recall, against the exact distance to the best place, of damaged items in documents of other text."""
     rng = random.Random(8)
