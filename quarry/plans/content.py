@@ -44,9 +44,17 @@ def density(spark, d):
     return docs(spark, d).select("doc_id", F.round(Q.line_share(c, r"\|.*\|"), 4).alias("table_share"), F.size(Q.sentences(c)).alias("sentences"), Q.hits(F.lower(c), (r"the\b", r"tion\b", "xyz")).alias("hits"), F.round(Q.explanatory_density(c, ("tion", "and")), 4).alias("density"))
 
 
+#: Rules in the made-up words of the fixture; a text's first sentence is its title.
+_VERDICT = Q.Rules(
+    list_titles=(r"^the\b", r"^lists?\b"), ambiguous=("idiot", "clown"), contests=("moron", "worthless", "pathetic"), explains=("tion", r"\band\b"), context=(r"\bthe\b", r"\bof\b", "ung", "que"),
+    structural=(r"\bthe\b", r"\bdas\b"), descriptive=("tion", "ment", "ver"), identifying=(r"[0-9]", "tion", "ich"),
+)
+_CHECKS = ("listing", "long", "unique", "explaining", "coherent", "contextual", "well_formed", "deep", "identifying", "good")
+
+
 def verdicts(spark, d):
-    out = Q.judge(docs(spark, d).select("doc_id", "source", "text"), "source", "text")
-    return out.select("doc_id", "good", "listing", "coherent", "well_formed")
+    titled = t.texts(spark, d).withColumn("title", X.first_sentence(F.col("text")))
+    return Q.judge(titled, "title", "text", _VERDICT).select("doc_id", *_CHECKS)
 
 
 _RULES = {"film": (["tion", "the"], "ing and", 3), "person": (["der", "und"], "von der", 2), "place": (["que", "los"], "de la", 2)}
@@ -271,6 +279,26 @@ _W = r"list_filter(string_split_regex(trim(coalesce(text, ''), E' \t\n\r\x0b\f')
 _BM = t.bm25_sql(0.8, 1.0, "x") + ", " + t.run_sql("x", "rx", 50) + ", " + t.bm25_sql(2.0, 0.3, "y") + ", " + t.run_sql("y", "ry", 50)
 _EMB = "e AS (SELECT vec_id AS id, embedding AS v, label AS topic FROM embeddings)"
 
+
+
+def _verdict_sql(r: Q.Rules) -> str:
+    any_of = lambda c, ps: "regexp_matches(" + c + ", '" + "|".join(f"(?:{p})" for p in ps) + "')"
+    hits = lambda c, ps: "(" + " + ".join(f"regexp_matches({c}, '{p}')::INT" for p in ps) + ")"
+    return rf"""WITH l AS (SELECT doc_id, text AS t, lower(text) AS low, lower(coalesce(regexp_extract(text, '^((?s:.*?)[.!?])(\s|$)', 1), '')) AS title, len({_W}) AS n,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 10) AS ls, list_filter(list_transform(string_split_regex(lower(text), '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 8) AS told,
+  list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM documents),
+w AS (SELECT *, list_transform(told, lambda x: len(list_filter(string_split_regex(trim(x, E' \t\n\r\x0b\f'), '\s+'), lambda y: y <> ''))) AS sizes, list_filter(told, lambda x: length(x) >= 15) AS deep_told, CASE WHEN len(ps) < 2 THEN [t] ELSE ps END AS parts FROM l),
+k AS (SELECT *, list_filter(list_transform(deep_told, lambda x: CASE WHEN {any_of("x", r.descriptive)} THEN 1 WHEN {any_of("x", r.structural)} THEN 0 END), lambda x: x IS NOT NULL) AS kinds FROM w),
+c AS (SELECT doc_id, n, {any_of("title", r.list_titles)} OR coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '^(?:[*#•-]|\d+[.)])'))) / nullif(len(ls), 0), 0) > 0.5 OR coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '\|.*\|'))) / nullif(len(ls), 0), 0) > 0.4 OR {any_of("low", r.ambiguous)} OR {hits("low", r.contests)} >= 2 AS listing,
+  length(trim(t, ' ')) >= 200 AS long, len(list_distinct(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+'))) >= 30 AS "unique",
+  n >= 30 AND ({" + ".join(f"len(regexp_extract_all(low, '{p}'))" for p in r.explains)}) * 100.0 / greatest(n, 1) >= CASE WHEN n < 100 THEN 1.5 ELSE 2.5 END AS explaining,
+  len(list_filter(parts, lambda p: len(list_filter(string_split_regex(trim(p, E' \t\n\r\x0b\f'), '\s+'), lambda y: y <> '')) >= 15 AND len(list_filter(list_transform(string_split_regex(p, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 8)) >= 1)) > 0 AS coherent,
+  {hits("low", r.context)} >= CASE WHEN n < 100 THEN 2 ELSE 3 END AS contextual,
+  coalesce(len(sizes) >= CASE WHEN n < 100 THEN 3 ELSE 4 END AND list_sum(sizes) / nullif(len(sizes), 0) BETWEEN 6 AND 35 AND (n < 100 OR len(list_filter(sizes, lambda x: x > 12)) / nullif(len(sizes), 0) >= 0.2), false) AS well_formed,
+  coalesce(list_sum(kinds) / nullif(len(kinds), 0) >= 0.4, false) AS deep, {hits("low", r.identifying)} >= 2 AS identifying FROM k)
+SELECT doc_id, listing, long, "unique", explaining, coherent, contextual, well_formed, deep, identifying, NOT listing AND long AND "unique" AND explaining::INT + coherent::INT + contextual::INT + well_formed::INT + deep::INT >= CASE WHEN n < 80 AND identifying THEN 1 WHEN n < 100 THEN 2 ELSE 3 END AS good FROM c"""
+
+
 QUERIES = {
     "word_counts": (word_counts, f"SELECT doc_id, CAST(len(w) AS INTEGER) AS words, round(len(w) * 1.3, 2) AS tokens, CAST(length(array_to_string(w[1:5], ' ')) AS INTEGER) AS five FROM (SELECT doc_id, {_W} AS w FROM documents)"),
     "text_shapes": (text_shapes, r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS paragraphs,
@@ -280,7 +308,7 @@ md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, CAST(len(list_dis
 SELECT doc_id, round(CASE WHEN len(ls) = 0 THEN 0 ELSE len(list_filter(ls, lambda x: regexp_matches(x, '\|.*\|'))) / len(ls) END, 4) AS table_share, CAST(len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 8)) AS INTEGER) AS sentences,
 CAST(regexp_matches(lower(text), 'the\b') AS INTEGER) + CAST(regexp_matches(lower(text), 'tion\b') AS INTEGER) + CAST(contains(text, 'xyz') AS INTEGER) AS hits,
 round(CASE WHEN len(w) = 0 THEN 0 ELSE (len(regexp_extract_all(lower(text), 'tion')) + len(regexp_extract_all(lower(text), 'and'))) * 100.0 / len(w) END, 4) AS density FROM l"""),
-    "quality_verdict": (verdicts, None),
+    "quality_verdict": (verdicts, _verdict_sql(_VERDICT)),
     "keyword_class": (classified, """WITH s AS (SELECT doc_id, contains(lower(text), 'tion')::INT + contains(lower(text), 'the')::INT + 3 * contains(lower(text), 'ing and')::INT AS f, contains(lower(text), 'der')::INT + contains(lower(text), 'und')::INT + 2 * contains(lower(text), 'von der')::INT AS p,
 contains(lower(text), 'que')::INT + contains(lower(text), 'los')::INT + 2 * contains(lower(text), 'de la')::INT AS l FROM documents)
 SELECT doc_id, CASE WHEN greatest(f, p, l) = 0 THEN 'other' WHEN f = greatest(f, p, l) THEN 'film' WHEN p = greatest(f, p, l) THEN 'person' ELSE 'place' END AS kind FROM s"""),

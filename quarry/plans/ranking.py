@@ -16,7 +16,7 @@ from quarry.plans import tables as t
 
 def bm25_runs(spark, d, settings, k=100):
     """(variant, qid, doc_id, score, rank): the runs of several settings of (k1, b), from one pass over the texts; written once."""
-    scores = R.bm25_settings(t.table(spark, d, "documents").select("doc_id", "text"), t.queries(spark, d), settings)
+    scores = R.bm25_settings(t.texts(spark, d), t.queries(spark, d), settings)
     each = scores.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.round(v, 6).alias("score")) for v in settings])).alias("x")).select("qid", "doc_id", "x.*")
     order = Window.partitionBy("variant", "qid").orderBy(F.desc("score"), "doc_id")
     return cut(each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
@@ -46,7 +46,7 @@ def bm25_top(spark, d):
 def bm25_pairs(spark, d):
     q = t.queries(spark, d)
     pairs = t.containment_qrels(spark, d).select("qid", "doc_id")
-    return R.bm25(t.table(spark, d, "documents").select("doc_id", "text"), q, 1.2, 0.75, pairs=pairs).select("qid", "doc_id", F.round("score", 4).alias("score"))
+    return R.bm25(t.texts(spark, d), q, 1.2, 0.75, pairs=pairs).select("qid", "doc_id", F.round("score", 4).alias("score"))
 
 
 def bm25_eval(spark, d):

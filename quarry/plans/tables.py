@@ -13,13 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, text, ...) of documents, dealt out where the files make fewer scan tasks than there are cores."""
+    df, cores = table(spark, sf_dir, "documents").select("doc_id", "text", *more), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "doc_id")
+
+
 def queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def containment_qrels(spark, sf_dir):
     """(qid, doc_id, rel): the document holds the item as it stands; written once."""
-    found = containing(table(spark, sf_dir, "documents").select("doc_id", "text"), queries(spark, sf_dir))
+    found = containing(texts(spark, sf_dir), queries(spark, sf_dir))
     return cut(found.distinct().select("qid", "doc_id", F.lit(1).alias("rel")))
 
 

@@ -134,16 +134,44 @@ def test_kendall_query_reads_all_suppliers(spark, tmp_path):
     assert content.tau(spark, str(tmp_path)).first()["tau"] == pytest.approx(tau_by_pairs([r[1:] for r in vector]), abs=1e-6)
 
 
-def test_judge_equals_the_expressions(spark):
+def plain_verdict(title, text, rules):
+    import re
+
+    text, title = text or "", (title or "").lower()
+    low, n, short = text.lower(), len(text.split()), len(text.split()) < 100
+    lines = [x.strip() for x in text.split("\n") if len(x.strip()) > 10]
+    hits = lambda ps: sum(bool(re.search(p, low)) for p in ps)
+    share = lambda p: sum(bool(re.search(p, x)) for x in lines) / len(lines) if lines else 0
+    listing = any(re.search(p, title) for p in rules.list_titles) or share(r"^(?:[*#•-]|\d+[.)])") > 0.5 or share(r"\|.*\|") > 0.4 or hits(rules.ambiguous) > 0 or hits(rules.contests) >= 2
+    told = [x.strip() for x in re.split("[.!?]+", low) if len(x.strip()) > 8]
+    sizes = [len(x.split()) for x in told]
+    kinds = [1 if any(re.search(p, x) for p in rules.descriptive) else 0 for x in told if len(x) >= 15 and any(re.search(p, x) for p in rules.descriptive + rules.structural)]
+    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
+    paragraphs = paragraphs if len(paragraphs) > 1 else [text]
+    checks = [
+        n >= 30 and sum(len(re.findall(p, low)) for p in rules.explains) * 100 / n >= (1.5 if short else 2.5),
+        any(len(p.split()) >= 15 and any(len(x.strip()) > 8 for x in re.split("[.!?]+", p)) for p in paragraphs),
+        hits(rules.context) >= (2 if short else 3),
+        len(sizes) >= (3 if short else 4) and 6 <= sum(sizes) / len(sizes) <= 35 and (short or sum(x > 12 for x in sizes) >= 0.2 * len(sizes)),
+        bool(kinds) and sum(kinds) / len(kinds) >= 0.4,
+    ]
+    essential = not listing and len(text.strip()) >= 200 and len(set(re.findall(r"\w+", low))) >= 30
+    return essential and sum(checks) >= (1 if n < 80 and hits(rules.identifying) >= 2 else 2 if short else 3)
+
+
+def test_verdict_equals_a_plain_one(spark):
+    import random
+
     from quarry.operators import quality as Q
 
-    words = "Water is known as a liquid because it flows. For example, rivers such as this one carry it far away from its source. "
-    texts = [None, "", "short", words * 3, words * 9, "* item\n* item two is long enough\n* item three is long enough\n" * 9, "a | b | c d e f g h |\n" * 20, "It may refer to: " + words * 4, words + "\n\n" + words * 5]
-    df = spark.createDataFrame([(i, t, "List of x" if i == 4 else "x") for i, t in enumerate(texts)], "id long, text string, title string")
-    t, title = F.col("text"), F.col("title")
-    got = Q.judge(df, "title", "text").select("id", "good", "listing", "coherent", "well_formed")
-    want = df.select("id", Q.verdict(title, t).alias("good"), Q.is_listing(title, t).alias("listing"), Q.coherent_paragraph(t).alias("coherent"), Q.sentence_quality(t).alias("well_formed"))
-    assert sorted(got.collect()) == sorted(want.collect(), key=lambda r: r.id)
+    rules = Q.Rules((r"^lists? of",), ("may refer to",), ("round", "heat [12]"), (r"\bbecause\b", r"known as"), ("history", "later", "origin", "role"), ("located", "born"), ("looks like", "known as"), ("[0-9]{4}", "named", "capital"))
+    rng = random.Random(3)
+    parts = ["Water is known as a liquid because it flows far. ", "It looks like rain over the old town and later it stops there again. ", "The origin and the role of the river are told in its history of 1848. ", "Born in the capital he was named after a king. ", "* item number one of these\n", "a | b | c | d e f\n", "\n\n", "It may refer to this. ", "The first round and heat 2 are over. ", "Located in the north of all lands! ", "Few words here. "]
+    texts = [None, "", " "] + ["".join(rng.choice(parts) + (f"extra{rng.randrange(200)} " if rng.random() < 0.7 else "") for _ in range(rng.randint(1, 14))) for _ in range(150)] + ["".join(rng.choice(parts[:4]) + f"w{rng.randrange(900)} more{k} " for k in range(rng.randint(3, 12))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, ["List of x", "x", None][i % 3 if i % 5 == 0 else 1]) for i, t in enumerate(texts)], "id long, text string, title string")
+    got = {r.id: r.good for r in Q.judge(df, "title", "text", rules).collect()}
+    want = {i: plain_verdict(["List of x", "x", None][i % 3 if i % 5 == 0 else 1], t, rules) for i, t in enumerate(texts)}
+    assert got == want and 20 < sum(want.values()) < len(want) - 20
 
 
 def test_hot_keys_are_spread_and_lose_nothing(spark):
