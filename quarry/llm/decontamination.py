@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 #: (steps, sampled of them, shortest item): long items and short ones; still shorter ones take a pattern.
 WALKS = ((32, 13, 48), (10, 7, 10))
 TABLES = 12
+#: Windows whose keys are computed together.
+WINDOWS = 1 << 14
 #: Hits that a place of a long item needs before its distance is computed.
 LEAST_HITS = 2
 #: Distance of window starts within a stretch without spaces.
@@ -129,14 +131,17 @@ class ItemIndex:
 
     def hits(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(window start, item, offset in the item) of all hits, as rows."""
-        keys, out = window_keys(codes, starts, self.steps), []
-        for t in range(TABLES):
-            near = np.flatnonzero(self.filters[t][_slots(keys[t])])
-            low = np.searchsorted(self.keys[t], keys[t][near], "left")
-            n = np.searchsorted(self.keys[t], keys[t][near], "right") - low
-            ref = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.stack([np.repeat(starts[near], n), *self.refs[t][:, ref]], axis=1))
-        return np.concatenate(out)
+        out = []
+        for first in range(0, len(starts), WINDOWS):
+            some = starts[first : first + WINDOWS]
+            keys = window_keys(codes, some, self.steps)
+            for t in range(TABLES):
+                near = np.flatnonzero(self.filters[t][_slots(keys[t])])
+                low = np.searchsorted(self.keys[t], keys[t][near], "left")
+                n = np.searchsorted(self.keys[t], keys[t][near], "right") - low
+                ref = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                out.append(np.stack([np.repeat(some[near], n), *self.refs[t][:, ref]], axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
 #: Candidates that are verified together, and bits of a row block.
@@ -157,17 +162,16 @@ def letters_table(item: str) -> tuple[np.ndarray, np.ndarray]:
     return letters, rows
 
 
-def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str], limits: np.ndarray | None = None, band: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarray, texts: list[str], limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each text and the table of its item, the least edit distance of the item to a substring of the text, and
     where the first such substring ends. Bit-parallel in blocks of BITS rows, and over all candidates at once. A
-    distance above its limit is told as one above the limit. ``band``: where the item's start lies in the text, first and
-    last, if it is known; then a match within its limit leaves that band by its limit at most."""
+    distance above its limit is told as one above the limit."""
     limits = np.full(len(texts), 1 << 40) if limits is None else limits
     best, end = limits + 1, np.zeros(len(texts), np.int64)
     order = np.argsort([len(t) for t in texts], kind="stable")
     if (limits < 1 << 40).any():
         chunks = (order[at : at + TOGETHER] for at in range(0, len(order), TOGETHER))
-        order = np.concatenate([chunk[_may_match(_letters(tables, items[chunk], [texts[k] for k in chunk.tolist()]), limits[chunk], band and (band[0][chunk], band[1][chunk]))] for chunk in chunks])
+        order = np.concatenate([chunk[_may_match(_letters(tables, items[chunk], [texts[k] for k in chunk.tolist()]), limits[chunk])] for chunk in chunks])
     for at in range(0, len(order), TOGETHER):
         part = order[at : at + TOGETHER]
         found, end[part] = _whole_distances(_letters(tables, items[part], [texts[k] for k in part.tolist()]))
@@ -175,13 +179,12 @@ def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarra
     return best, end
 
 
-def _least_of_block(column: np.ndarray, letter: np.ndarray) -> np.ndarray:
-    """The least edit distance of a full block of rows of each candidate to a substring."""
-    n = letter.shape[1]
+def _least_of_block(matches: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """The least edit distance of a full block of rows of each of n candidates to a substring; ``matches``: for each
+    character of the texts, the rows that it matches, as bits."""
     p, m, score = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(n, np.uint64), np.full(n, BITS, np.int64)
     best, one, top = score.copy(), np.uint64(1), np.uint64(BITS - 1)
-    for here in letter:
-        eq = column.take(here)
+    for eq in matches:
         vertical = eq | m
         across = eq & p
         across += p
@@ -217,7 +220,6 @@ class Letters:
     letter: np.ndarray  # (characters, candidates)
     other: np.ndarray
     blocks: np.ndarray
-    sizes: np.ndarray
 
 
 def _letters(tables: list, items: np.ndarray, texts: list[str]) -> Letters:
@@ -244,31 +246,19 @@ def _letters(tables: list, items: np.ndarray, texts: list[str]) -> Letters:
     letter[place, owner] = row_of[which[owner], number.take(codes)]
     number[known] = 0
     columns = [rows[:, w].copy() for w in range(rows.shape[1])]
-    free_rows = np.array([int(np.bitwise_count(~r[-1]).sum()) for r in (x for _, x in own)])
-    return Letters(columns, letter, (ends - 1)[which], width[which], free_rows[which])
-
+    return Letters(columns, letter, (ends - 1)[which], width[which])
 
-def _may_match(c: Letters, limits: np.ndarray, band: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Candidates within their limits by the sum of the least distances of their full blocks: most fail by that.
 
-    With a band, a block of rows meets only the text that it can reach: what lies on the diagonals of the band, and
-    as many more on either side as there may be errors.
-    """
+def _may_match(c: Letters, limits: np.ndarray) -> np.ndarray:
+    """Candidates within their limits by the sum of the least distances of their full blocks."""
     alive, bound, full = np.arange(len(limits)), np.zeros(len(limits), np.int64), c.blocks - 1
-    steps = len(c.letter)
     for turn in range(int(full.max())):
         more = alive[full[alive] > turn]
         if not len(more):
             break
-        if band is None:
-            letter = c.letter[:, more]
-        else:
-            offset = c.sizes[more] - BITS * (turn + 1)
-            low = band[0][more] + offset - limits[more]
-            high = band[1][more] + offset + BITS + limits[more]
-            at = low[None, :] + np.arange(max(0, int((high - low).max())))[:, None]
-            letter = np.where((at >= 0) & (at < steps), c.letter[np.clip(at, 0, steps - 1), more], c.other[more])
-        bound[more] += _least_of_block(c.columns[-1 - turn], letter)
+        letter = c.letter[:, more]
+        column = c.columns[-1 - turn]
+        bound[more] += _least_of_block((column.take(here) for here in letter), len(more))
         alive = alive[bound[alive] <= limits[alive]]
     return alive
 
@@ -351,6 +341,15 @@ class Items:
         self.tables = [letters_table(t) for t in self.texts]
         self.sizes = np.array([len(t) for t in self.texts])
         self.slacks = np.array([self.slack(k) for k in range(len(self.texts))])
+        # Full blocks of BITS characters from the end of each item: the places of each character code, as bits.
+        self.full = self.sizes // BITS
+        self.first_block = np.cumsum(self.full) - self.full
+        self.rows = np.zeros((int(self.full.sum()), 256), np.uint64)
+        for k, text in enumerate(self.texts):
+            codes = _codes(text)
+            for turn in range(int(self.full[k])):
+                end = len(codes) - BITS * turn
+                np.bitwise_or.at(self.rows[self.first_block[k] + turn], codes[end - BITS : end], np.uint64(1) << np.arange(BITS, dtype=np.uint64))
         most = [w[2] for w in WALKS]
         classes = [i for i, t in enumerate(self.texts) if len(t) >= most[0]], [i for i, t in enumerate(self.texts) if most[1] <= len(t) < most[0]]
         self.indexes = [ItemIndex.build(self.texts, which, walk[0]) for which, walk in zip(classes, WALKS, strict=True) if which]
@@ -372,6 +371,29 @@ class Items:
         first, last = first[keep], ends[keep] - 1
         return doc[first], item[first], start[first], start[last]
 
+    def _within(self, codes: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which candidates the blocks do not rule out; ``first`` and ``last``: where the item starts in ``codes``.
+
+        A match within the slack leaves these diagonals by the slack at most, so a block of the item meets what lies
+        there; the least distances of all blocks add up to no more than that of the item. Codes of characters match
+        at least where the characters do.
+        """
+        slack, bound = self.slacks[item], np.zeros(len(item), np.int64)
+        alive = np.argsort(last - first + 2 * slack, kind="stable")
+        table = self.rows.ravel()
+        for turn in range(int(self.full.max(initial=0))):
+            more = alive[self.full[item[alive]] > turn]
+            for a in range(0, len(more), TOGETHER):
+                part = more[a : a + TOGETHER]
+                low = first[part] + self.sizes[item[part]] - BITS * (turn + 1) - slack[part]
+                steps = int((last[part] - first[part] + BITS + 2 * slack[part]).max())
+                base = (self.first_block[item[part]] + turn) * 256
+                at = np.clip(low, 0, len(codes) - 1)[None, :] + np.arange(steps)[:, None]
+                letter = codes.take(at, mode="clip") + base
+                bound[part] += _least_of_block((table.take(here) for here in letter), len(part))
+            alive = alive[bound[alive] <= slack[alive]]
+        return np.sort(alive)
+
     def matches(self, texts: list[str]) -> list[dict[int, tuple[int, int]]]:
         """For each text: item -> (distance, end) of its best place."""
         pad = max(steps for steps, _, _ in WALKS)
@@ -381,12 +403,14 @@ class Items:
         for index in self.indexes:
             starts = window_starts(codes) if index.steps == WALKS[0][0] else np.flatnonzero(codes)
             doc, item, first, last = self._places(index.hits(codes, starts), begin, LEAST_HITS if index.steps == WALKS[0][0] else 1)
+            keep = self._within(codes, item, begin[doc] + first, begin[doc] + last)
+            doc, item, first, last = doc[keep], item[keep], first[keep], last[keep]
             if not len(doc):
                 continue
             slack, size = self.slacks[item], self.sizes[item]
             low = np.maximum(0, first - slack)
             parts = [texts[d][a : max(0, b)] for d, a, b in zip(doc.tolist(), low.tolist(), (last + size + slack).tolist(), strict=True)]
-            distances, ends = best_distances(self.tables, item, parts, slack, (first - low, last - low))
+            distances, ends = best_distances(self.tables, item, parts, slack)
             for k in np.flatnonzero(distances <= slack).tolist():
                 found, i = (int(distances[k]), int(low[k] + ends[k])), int(item[k])
                 if i not in out[doc[k]] or found < out[doc[k]][i]:
