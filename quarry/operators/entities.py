@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.functions.text import letters_only, without_braces
+from quarry.functions.text import letters_only, space_words, without_braces
 from quarry.operators.retrieval import bm25, top_k
 
 
@@ -21,6 +26,81 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 101.0).otherwise(100 * (1 - F.levenshtein(a, b) / F.greatest(longer, F.lit(1))))
 
 
+#: Pairs that are compared together.
+PAIRS = 2048
+_WORD = 64
+
+
+def common_subsequence(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs, bit-parallel in the first string and over all pairs."""
+    n = len(a)
+    out = np.zeros(n, np.int64)
+    order = np.argsort([len(x) + len(y) for x, y in zip(a, b, strict=True)], kind="stable")
+    for at in range(0, n, PAIRS):
+        part = order[at : at + PAIRS]
+        one, two = [a[k] for k in part], [b[k] for k in part]
+        height, width = max(_WORD, -(-max(map(len, one)) // _WORD) * _WORD), max(map(len, two))
+        table = lambda texts, size, fill: np.frombuffer("".join(t.ljust(size, fill) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), size)
+        # The strings are filled up with two characters that differ, and what is filled up is not counted.
+        rows, columns = table(one, height, "\ufdd0"), table(two, max(1, width), "\ufdd1")
+        words = height // _WORD
+        state = np.full((words, len(part)), np.iinfo(np.uint64).max, np.uint64)
+        for j in range(width):
+            same = np.packbits(rows == columns[:, j, None], axis=1, bitorder="little").view("<u8").T
+            carry = np.zeros(len(part), np.uint64)
+            for w in range(words):
+                v = state[w]
+                u = v & same[w]
+                total = v + u
+                over = total < v
+                with_carry = total + carry
+                over |= with_carry < total
+                state[w] = with_carry | (v - u)
+                carry = over.astype(np.uint64)
+        out[part] = np.bitwise_count(~state).sum(axis=0)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """100 x 2 common / (length + length), rounded to a whole number; NULL where a side is NULL, 100 for two empty strings."""
+    known = a.notna() & b.notna()
+    one, two = a[known].tolist(), b[known].tolist()
+    length = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)])
+    ratio = np.where(length == 0, 100.0, 200.0 * (common_subsequence(one, two) if one else 0) / np.maximum(length, 1))
+    out = pd.Series(np.nan, index=a.index)
+    out[known] = np.rint(ratio)
+    return out.astype("object").where(known, None)
+
+
+def promoted(score: Column) -> Column:
+    """A perfect score of 100 counts 101."""
+    return F.when(score >= 100, 101.0).otherwise(score)
+
+
+def ratio_score(a: Column, b: Column) -> Column:
+    return promoted(indel_ratio(a, b))
+
+
+def token_sort_score(a: Column, b: Column) -> Column:
+    """The ratio of the words in order."""
+    ordered = lambda c: F.array_join(F.array_sort(space_words(c)), " ")
+    return promoted(indel_ratio(ordered(a), ordered(b)))
+
+
+def token_set_score(a: Column, b: Column) -> Column:
+    """The best ratio among the common words, and these with the words of either side; 100 where one side has no others."""
+    one, two = F.array_distinct(space_words(a)), F.array_distinct(space_words(b))
+    both = F.array_sort(F.array_intersect(one, two))
+    joined = lambda more: F.array_join(F.concat(both, F.array_sort(more)), " ")
+    left, right = F.array_except(one, two), F.array_except(two, one)
+    common, first, second = F.array_join(both, " "), joined(left), joined(right)
+    best = F.greatest(indel_ratio(common, first), indel_ratio(common, second), indel_ratio(first, second))
+    contained = (F.size(both) > 0) & ((F.size(left) == 0) | (F.size(right) == 0))
+    empty = (F.size(one) == 0) | (F.size(two) == 0)
+    return promoted(F.when(empty, 0.0).when(contained, 100.0).otherwise(best))
+
+
 def plain_letters(c: Column) -> Column:
     return letters_only(without_braces(c))
 
@@ -37,15 +117,15 @@ def bm25_candidates(titles: DataFrame, aliases: DataFrame, k: int = 10) -> DataF
     return top_k(scores.withColumn("score", F.round("score", 6)), k).select(F.col("qid").alias("title_id"), "doc_id")
 
 
-def resolve(titles: DataFrame, aliases: DataFrame, candidates: DataFrame, least: float = 70.0, normal: DataFrame | None = None) -> DataFrame:
+def resolve(titles: DataFrame, aliases: DataFrame, candidates: DataFrame, least: float = 70.0, normal: DataFrame | None = None, scorer: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """(title_id, doc_id, strategy, score): exact alias, else the best fuzzy alias of the title's candidate
     documents, else the same on letters alone, else that over ``normal``: the candidates of the title's letters.
-    Each stage takes the titles that earlier ones left."""
+    Each stage takes the titles that earlier ones left. ``scorer`` gives the score of two columns, 101 for equal strings."""
     exact = titles.join(aliases, titles["title"] == aliases["alias"]).select("title_id", "doc_id", F.lit(1).alias("strategy"), F.lit(101.0).alias("score")).distinct()
 
     def fuzzy(left: DataFrame, strategy: int, clean, candidates: DataFrame = candidates) -> DataFrame:
         pairs = left.join(candidates, "title_id").join(aliases, "doc_id")
-        scored = pairs.select("title_id", "doc_id", similarity(clean(F.col("title")), clean(F.col("alias"))).alias("score"))
+        scored = pairs.select("title_id", "doc_id", scorer(clean(F.col("title")), clean(F.col("alias"))).alias("score"))
         best = Window.partitionBy("title_id").orderBy(F.desc("score"), "doc_id")
         return scored.withColumn("r", F.row_number().over(best)).where((F.col("r") == 1) & (F.col("score") >= least)).select("title_id", "doc_id", F.lit(strategy).alias("strategy"), "score")
 

@@ -136,7 +136,7 @@ def tau(spark, d):
 
 def correlation(spark, d):
     r = docs(spark, d).groupBy("lang").agg(F.corr("n_chars", F.length(F.regexp_replace("text", "[^e]", ""))).alias("r"), F.count(F.lit(1)).alias("n"))
-    return r.select("lang", F.round("r", 6).alias("r"), A.stars_of(F.col("r"), F.col("n")).alias("stars"), "n")
+    return r.select("lang", F.round("r", 6).alias("r"), A.stars(A.pearson_p(F.col("r"), F.col("n"))).alias("stars"), "n")
 
 
 def tfidf(spark, d):
@@ -200,14 +200,14 @@ def aliases(spark, d):
     return N.expand_aliases(a)
 
 
-def resolved(spark, d):
+def resolved(spark, d, scorer=N.similarity):
     """Every name of a part in four spellings, against the names of all parts; candidates are BM25's ten best."""
     al = t.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("alias"))
     names = al.groupBy("alias").agg(F.min("doc_id").alias("k"))
     n = F.col("alias")
     forms = [n, F.concat(n, F.lit("x")), F.concat(F.upper(F.substring(n, 1, 1)), F.regexp_replace(F.expr("substring(alias, 2)"), " ", "-"), F.lit("!")), F.concat(F.regexp_replace(n, " ", "_ "), F.lit("_"))]
     titles = names.select("k", F.posexplode(F.array(*forms)).alias("form", "title")).select((F.col("k") * 10 + F.col("form")).alias("title_id"), "title")
-    out = N.resolve(titles, al, N.bm25_candidates(titles, al), normal=N.bm25_candidates(N.normal_titles(titles), al))
+    out = N.resolve(titles, al, N.bm25_candidates(titles, al), normal=N.bm25_candidates(N.normal_titles(titles), al), scorer=scorer)
     return out.select("title_id", "doc_id", "strategy", F.round("score", 4).alias("score"))
 
 
@@ -330,7 +330,8 @@ x AS (SELECT doc_id, i, w[i * 192 + 1 : i * 192 + 256] AS s FROM c) SELECT doc_i
     "range_histogram": (word_histogram, f"WITH w AS (SELECT len({_W}) AS n FROM documents) SELECT CASE WHEN n < 500 THEN 0 WHEN n < 1000 THEN 1 WHEN n < 2500 THEN 2 WHEN n < 5000 THEN 3 ELSE 4 END AS bucket, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM w), 4) AS pct FROM w GROUP BY 1"),
     "regression": (regressions, "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem GROUP BY 1"),
     "kendall_tau": (tau, "WITH s AS (SELECT * FROM supplier) SELECT round(sum(sign(a.s_nationkey - b.s_nationkey) * sign(a.s_acctbal - b.s_acctbal)) / sqrt(sum(abs(sign(a.s_nationkey - b.s_nationkey))) * sum(abs(sign(a.s_acctbal - b.s_acctbal)))), 6) AS tau FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey"),
-    "correlation": (correlation, "WITH c AS (SELECT lang, corr(n_chars, length(regexp_replace(text, '[^e]', '', 'g'))) AS r, count(*) AS n FROM documents GROUP BY 1) SELECT lang, round(r, 6) AS r, CASE WHEN abs(r) >= 1 OR abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) > 3.2905267 THEN '***' WHEN abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) > 2.5758293 THEN '**' WHEN abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) > 1.9599640 THEN '*' ELSE '' END AS stars, n FROM c"),
+    "correlation": (correlation, f"""WITH c AS (SELECT lang, corr(n_chars, length(regexp_replace(text, '[^e]', '', 'g'))) AS r, count(*) AS n FROM documents GROUP BY 1), k AS ({t.t_test_sql("c", "lang, r, n")})
+SELECT lang, round(r, 6) AS r, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars, n FROM k"""),
     "tf_idf": (tfidf, r"""WITH c AS (SELECT qid, term, count(*) AS tf FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL), i AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term)
 SELECT qid, term, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid)), 5) AS weight FROM c JOIN i USING (term)"""),
     "stratified_sample": (category_sample, "WITH c AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM documents) SELECT doc_id, source FROM c WHERE r <= CASE WHEN n < 10 THEN 0 WHEN n < 100 THEN 1 WHEN n < 500 THEN 3 WHEN n < 1000 THEN 4 ELSE 5 END"),

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import boosting as B
+from quarry.operators import entities as N
 from quarry.operators import fusion as U
 from quarry.operators import graph as G
+from quarry.operators import ltr as L
 from quarry.operators import setjoin as J
+from quarry.operators import stats as A
 from quarry.operators import vector as K
-from quarry.operators.lineage import cut
+from quarry.operators.lineage import cut, scratch
 from quarry.operators.retrieval import top_k
 from quarry.plans import content
 from quarry.plans import tables as t
+from quarry.sources import ranged
 
 
 def ranked_by_trees(spark, d):
@@ -108,6 +112,47 @@ def first_sentences(spark, d):
     return t.table(spark, d, "documents").select("doc_id", F.md5(X.passage(c, F.col("source"), "first_sentence")).alias("digest"))
 
 
+def matrix(spark, d):
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    out = A.correlation_matrix(t.table(spark, d, "lineitem").select(*columns), columns)
+    return out.select("x", "y", F.round("r", 6).alias("r"), "n", F.round("p", 5).alias("p"), "stars")
+
+
+def tau_with_p(spark, d):
+    out = A.kendall_p(t.table(spark, d, "supplier"), "s_nationkey", "s_acctbal")
+    return out.select(F.round("tau", 6).alias("tau"), "n", F.round("z", 5).alias("z"), F.round("p", 5).alias("p"))
+
+
+def looked_up(spark, d):
+    """Labelled documents by point reads of JSON lines, through an index of offsets."""
+    path = scratch(spark)
+    t.texts(spark, d).write.json(path)
+    found = ranged.lookup(t.table(spark, d, "labels"), ranged.offset_index(spark, path, "doc_id"), path, "doc_id")
+    return found.select(F.col("key").cast("long").alias("doc_id"), F.md5(F.get_json_object("value", "$.text")).alias("digest"))
+
+
+def first_appearances(spark, d):
+    """Orders by the line of a run of many files that names them first; the files hold customers in falling order."""
+    path = scratch(spark)
+    o = t.table(spark, d, "orders").select(F.format_string("%d %d", "o_custkey", "o_orderkey").alias("value"), "o_custkey", "o_orderkey")
+    o.repartitionByRange(6, F.desc("o_custkey"), "o_orderkey").sortWithinPartitions(F.desc("o_custkey"), "o_orderkey").select("value").write.text(path)
+    seen = ranged.first_seen(ranged.numbered_lines(spark, path, 64 << 10), F.split("value", " ")[0].cast("long"))
+    return G.dense_ids(seen, "first", "place").select(F.col("key").alias("custkey"), "first", "place")
+
+
+def resolved_by_ratio(spark, d):
+    return content.resolved(spark, d, N.ratio_score)
+
+
+def linear_weights(spark, d):
+    """A linear ranker by coordinate ascent with restarts, over all queries."""
+    names = [f"f{k}" for k in range(1, 8)]
+    judged = t.containment_qrels(spark, d).withColumnRenamed("rel", "label")
+    pairs = content.features(spark, d).join(judged, ["qid", "doc_id"], "left").fillna(0, ["label"])
+    weights, value = L.coordinate_ascent(pairs, names, rounds=12, restarts=5)
+    return spark.createDataFrame([(f, w, value) for f, w in weights.items()], "feature string, weight double, ndcg double")
+
+
 def _squared(name: str, matrix: str, squarings: int = 12) -> str:
     """CTE ``name``(i, x): the first eigenvector of ``matrix``(i, j, v) by repeated squaring, its greatest entry positive."""
     out = f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})"
@@ -132,7 +177,20 @@ k AS MATERIALIZED (SELECT s AS set_id, min(s) OVER (PARTITION BY ts) AS class_id
 r AS (SELECT class_id, any_value(size) AS size FROM k GROUP BY class_id), mr AS (SELECT s, t, size FROM m JOIN r ON class_id = s),
 p AS MATERIALIZED (SELECT a.s AS a, b.s AS b, count(*) AS common, count(*) / (a.size + b.size - count(*)) AS similarity FROM mr a JOIN mr b USING (t) WHERE a.s < b.s GROUP BY a.s, b.s, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.5)"""
 
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r, count(*) AS n FROM lineitem" for a in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber") for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"))
+_TIES = "SELECT sum(k * (k - 1)) AS t1, sum(k * (k - 1) * (k - 2)) AS t2, sum(k * (k - 1) * (2 * k + 5)) AS t3 FROM (SELECT count(*)::DOUBLE AS k FROM supplier GROUP BY {})"
+
 QUERIES = {
+    "correlation_matrix": (matrix, f"""WITH c AS (SELECT x, y, CASE WHEN x = y THEN 1.0 ELSE r END AS r, n FROM ({_PAIRS})), k AS ({t.t_test_sql("c", "x, y, r, n")})
+SELECT x, y, round(r, 6) AS r, n, round(p, 5) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM k"""),
+    "kendall_tau_p": (tau_with_p, f"""WITH s AS (SELECT sum(sign(a.s_nationkey - b.s_nationkey) * sign(a.s_acctbal - b.s_acctbal)) AS s FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), x AS ({_TIES.format("s_nationkey")}), y AS ({_TIES.format("s_acctbal")}), m AS (SELECT count(*)::DOUBLE AS n, count(*)::DOUBLE * (count(*) - 1) AS p FROM supplier),
+z AS (SELECT s / sqrt((p - x.t1) / 2 * (p - y.t1) / 2) AS tau, n, s / sqrt((p * (2 * n + 5) - x.t3 - y.t3) / 18 + x.t1 * y.t1 / (2 * p) + x.t2 * y.t2 / (9 * p * (n - 2))) AS z FROM s, x, y, m)
+SELECT round(tau, 6) AS tau, n::BIGINT AS n, round(z, 5) AS z, round(1 - 2 * abs(z) / 4000 / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * z / 4000, 2) / 2) / sqrt(2 * pi())), 5) AS p FROM z CROSS JOIN (SELECT unnest(range(4001)) AS i) GROUP BY tau, n, z"""),
+    "offset_lookup": (looked_up, "SELECT DISTINCT d.doc_id, md5(text) AS digest FROM documents d JOIN labels l ON l.doc_id = d.doc_id"),
+    "first_appearances": (first_appearances, """WITH l AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) - 1 AS o FROM orders)
+SELECT o_custkey AS custkey, min(o) AS first, row_number() OVER (ORDER BY min(o)) - 1 AS place FROM l GROUP BY o_custkey"""),
+    "title_resolution_ratio": (resolved_by_ratio, None),
+    "linear_weights": (linear_weights, None),
     "lambdamart_run": (ranked_by_trees, None),
     "knn_all_pairs": (all_neighbours, """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.id AS query, b.id AS neighbor, round(list_dot_product(a.v, b.v), 6) AS score FROM e a CROSS JOIN e b)
 SELECT query, neighbor, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbor) AS INTEGER) AS rank FROM s QUALIFY rank <= 50"""),

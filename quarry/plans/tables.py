@@ -83,3 +83,9 @@ def run_sql(scores: str, name: str, k: int) -> str:
     """CTE ``name``(qid, doc_id, score, rank): the k best by the score rounded to 6 places."""
     return f"""{name} AS (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank
   FROM {scores} QUALIFY rank <= {k})"""
+
+
+def t_test_sql(source: str, keep: str) -> str:
+    """``keep`` columns and p of the correlations (r, n) in ``source``: the t density by Simpson's rule."""
+    return f"""SELECT {keep}, CASE WHEN abs(r) >= 1 THEN 0 ELSE greatest(0, 1 - 2 * h / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + pow(i * h, 2) / v)) / sqrt(pi() * v))) END AS p
+FROM (SELECT *, n - 2.0 AS v, least(abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)), 60) / 4000 AS h FROM {source}) CROSS JOIN (SELECT unnest(range(4001)) AS i) GROUP BY {keep}, r, n, v, h"""
