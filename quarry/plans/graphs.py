@@ -14,7 +14,7 @@ def articles(spark, d):
 
 
 def node_table(spark, d):
-    id_map = t.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Q"), "p_partkey").alias("entity"))
+    id_map = t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Q"), "p_partkey").alias("entity"))
     return G.dense_ids(G.article_nodes(t.pages(spark, d), id_map), "id", "node_id")
 
 
@@ -86,7 +86,9 @@ def pagerank_converged(spark, d):
 
 
 def ppr(spark, d):
-    seeds = articles(spark, d).where("id <= 12").select((F.col("id") % 3).alias("qid"), "id", F.lit(0.25).alias("p"))
+    """Every part starts the walks of its size, 50 queries in all; three rounds, as SQL must unroll them."""
+    p = t.table(spark, d, "part").select(F.col("p_size").cast("long").alias("qid"), F.col("p_partkey").alias("id"))
+    seeds = p.withColumn("p", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
     return G.personalized_pagerank(articles(spark, d), t.part_links(spark, d), seeds, iterations=3).select("qid", "id", F.round("score", 9).alias("score"))
 
 
@@ -123,7 +125,7 @@ h{k + 1} AS (SELECT id, v / sum(v) OVER () AS v FROM (SELECT src AS id, sum(weig
     return out + f" SELECT id, round(coalesce(h.v, 0), 9) AS hub, round(coalesce(a.v, 0), 9) AS authority FROM nodes LEFT JOIN h{rounds} h USING (id) LEFT JOIN a{rounds - 1} a USING (id)"
 
 
-_NODES = "nt AS (SELECT p_partkey AS id, 'Q' || p_partkey AS entity, row_number() OVER (ORDER BY p_partkey) - 1 AS node_id FROM part WHERE p_size > 10)"
+_NODES = "nt AS (SELECT p_partkey AS id, 'Q' || p_partkey AS entity, row_number() OVER (ORDER BY p_partkey) - 1 AS node_id FROM part)"
 
 QUERIES = {
     "node_table": (node_table, f"WITH {_NODES} SELECT id, entity, node_id FROM nt"),
@@ -145,7 +147,7 @@ SELECT a.src, b.src AS dst, 1 AS kind, count(*) AS weight FROM s a JOIN s b USIN
 round(avg(in_degree), 6) AS avg_in, round(stddev(in_degree), 6) AS std_in, count(*) FILTER (in_degree = 0) AS no_in FROM deg"""),
     "pagerank": (pagerank, _walk(4, "SELECT 0 AS qid, id, 1.0 / count(*) OVER () AS p FROM nodes") + " SELECT id, round(score, 9) AS score FROM s4"),
     "pagerank_converged": (pagerank_converged, None),
-    "personalized_pagerank": (ppr, _walk(3, "SELECT id % 3 AS qid, id, 0.25 AS p FROM nodes WHERE id <= 12") + " SELECT qid, id, round(score, 9) AS score FROM s3"),
+    "personalized_pagerank": (ppr, _walk(3, "SELECT p_size::BIGINT AS qid, p_partkey AS id, 1.0 / count(*) OVER (PARTITION BY p_size) AS p FROM part") + " SELECT qid, id, round(score, 9) AS score FROM s3"),
     "hits": (hits, _hits_sql(3)),
     "components": (component_sizes, "SELECT min(c_custkey) AS component, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment"),
 }

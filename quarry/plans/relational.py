@@ -230,7 +230,7 @@ def scaled_features(spark, d):
 
 def viewed(spark, d):
     p = t.table(spark, d, "part")
-    return p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").cast("long").alias("views"), (F.col("p_retailprice") / 1000).alias("pagerank"))
+    return p.select(F.col("p_partkey").alias("doc_id"), F.col("p_size").cast("long").alias("views"), (F.col("p_retailprice") / 1000).alias("pagerank"))
 
 
 def page_features(spark, d):
@@ -274,7 +274,7 @@ def random_texts(spark, d):
 
 
 def numbered_queries(spark, d):
-    picked = docs(spark, d).where(F.col("n_chars") > 2000).select("doc_id")
+    picked = docs(spark, d).select("doc_id")
     return G.dense_ids(picked, "doc_id", "place").select("doc_id", (F.col("place") + 60000).cast("long").alias("query_id"))
 
 
@@ -286,7 +286,10 @@ def wide_vectors(spark, d):
 
 def joined_vectors(spark, d):
     e = t.table(spark, d, "embeddings").select("vec_id", F.col("label").alias("topic"))
-    return e.where("topic = 1").unionByName(e.where("topic = 2"))
+    out = e.where("topic = 0")
+    for k in range(1, 10):
+        out = out.unionByName(e.where(F.col("topic") == k))
+    return out
 
 
 def mean_of_set(spark, d):
@@ -415,7 +418,7 @@ SELECT qid, round(coalesce(dcg, 0) / best, 5) AS ndcg FROM b LEFT JOIN h USING (
     "relative_scores": (relative_scores, "SELECT s_suppkey, round(s_acctbal * 100.0 / (SELECT arg_min(s_acctbal, s_suppkey) FROM supplier), 4) AS relative FROM supplier"),
     "scaled_features": (scaled_features, f"""WITH {_BOTH} SELECT qid, doc_id, round((s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w + 1e-8), 4) AS f1, round((d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w + 1e-8), 4) AS f2, round(ln(1 + s) / ln(2 + max(s) OVER w), 4) AS f3, round(ln(1 + d) / ln(2 + max(d) OVER w), 4) AS f4,
 round(1 / (sr + 1), 4) AS f5, round(1 / (dr + 1), 4) AS f6, round((1000 - least(sr, dr)) / 1000, 4)::DOUBLE AS f7 FROM bo WINDOW w AS (PARTITION BY qid)"""),
-    "page_features": (page_features, f"WITH {_BOTH} SELECT qid, doc_id, round(s, 4) AS f1, round(d, 4) AS f2, CAST(sr AS INTEGER) AS f3, CAST(dr AS INTEGER) AS f4, round(ln(1 + coalesce(p_size, 0)), 4) AS f5, round(coalesce(p_retailprice / 1000, 0), 4) AS f6 FROM bo LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON p_partkey = doc_id"),
+    "page_features": (page_features, f"WITH {_BOTH} SELECT qid, doc_id, round(s, 4) AS f1, round(d, 4) AS f2, CAST(sr AS INTEGER) AS f3, CAST(dr AS INTEGER) AS f4, round(ln(1 + coalesce(p_size, 0)), 4) AS f5, round(coalesce(p_retailprice / 1000, 0), 4) AS f6 FROM bo LEFT JOIN part ON p_partkey = doc_id"),
     "tree_features": (tree_features, f"""WITH {_BOTH} SELECT qid, doc_id, round(d, 4) AS f1, round(least(greatest(s / 100, 0), 1), 4) AS f2, round(least(greatest((p_size - 10) / 990, 0), 1), 4) AS f3, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 4) AS f4,
 round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 4) AS f5 FROM bo JOIN part ON p_partkey = doc_id"""),
     "all_negatives": (all_negatives, f"WITH {_A}, {_B}, {_R}, u AS (SELECT qid, doc_id FROM ra UNION SELECT qid, doc_id FROM rb) SELECT qid, doc_id, 1 AS label FROM rel UNION ALL SELECT qid, doc_id, 0 FROM u ANTI JOIN rel USING (qid, doc_id)"),
@@ -427,9 +430,9 @@ SELECT doc_id, round(CASE WHEN a + b = 0 THEN 0 ELSE a / (a + b) END, 4)::DOUBLE
     "passage_modes": (passage_modes, r"""WITH p AS (SELECT *, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, CAST(least(length(text), 1500) AS INTEGER) AS "full", CAST(CASE WHEN len(l) > 1 THEN length(l[1]) ELSE least(length(text), 200) END AS INTEGER) AS first_paragraph, CAST(length(source) AS INTEGER) AS title_only FROM p"""),
     "random_texts": (random_texts, "SELECT item_id AS qid, array_to_string(list_transform(range(1, 13), lambda i: ['red', 'green', 'blue', 'small', 'large', 'old', 'new'][('0x' || md5(item_id || '|' || i || '|42')[1:8])::BIGINT % 7 + 1]), ' ') AS text FROM benchmark"),
-    "numbered_queries": (numbered_queries, "SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 59999 AS query_id FROM documents WHERE n_chars > 2000"),
+    "numbered_queries": (numbered_queries, "SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 59999 AS query_id FROM documents"),
     "wide_vectors": (wide_vectors, "SELECT vec_id, CAST(k AS INTEGER) AS pos, round(embedding[k + 1]::DOUBLE, 4) AS x FROM embeddings CROSS JOIN (SELECT unnest(range(8)) AS k)"),
-    "joined_vectors": (joined_vectors, "SELECT vec_id, label AS topic FROM embeddings WHERE label IN (1, 2)"),
+    "joined_vectors": (joined_vectors, "SELECT vec_id, label AS topic FROM embeddings WHERE label BETWEEN 0 AND 9"),
     "mean_of_set": (mean_of_set, "SELECT CAST(k AS INTEGER) AS pos, round(avg(embedding[k + 1]::DOUBLE), 4) + 0.0 AS x FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY k"),
     "activations": (activations, "WITH p AS (SELECT vec_id % 30 AS doc, CAST(k AS INTEGER) AS term, round(ln(1 + greatest(embedding[k + 1]::DOUBLE, 0)), 6) AS w FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS k)) SELECT doc, term, max(w) AS weight FROM p GROUP BY ALL HAVING max(w) > 0.01"),
     "topics_searched": (topics_searched, f"WITH {_EMB}, h AS (SELECT q.id AS query, b.id AS neighbor, round(list_dot_product(q.v, b.v)::DOUBLE, 5) AS score FROM e q JOIN e b ON b.topic IN (q.topic, (q.topic + 1) % 10) WHERE q.id % 100 = 0) SELECT query, neighbor, round(score, 3) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY h.score DESC, neighbor) <= 10"),
