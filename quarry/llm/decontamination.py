@@ -54,7 +54,7 @@ def _randomness() -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Walk bits, character values, and for each walk the step -> tables that sample it."""
     rng = np.random.default_rng(19790314)
     bits = rng.integers(0, 2, (WALKS[0][0], 256)).astype(np.int32)
-    values = rng.integers(1, 1 << 62, 256).astype(np.int64) | 1
+    values = rng.integers(1, 1 << 62, 256).astype(np.uint32) | np.uint32(1)
     sampled = {}
     for steps, samples, _ in WALKS:
         chosen = np.zeros((steps, TABLES), bool)
@@ -77,19 +77,21 @@ def window_keys(codes: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray
     """(TABLES, windows): hashes of the sampled positions; ``codes`` has at least ``steps`` more at its end."""
     bits, values, sampled = _randomness()
     at = starts.astype(np.int32)
-    keys = np.zeros((TABLES, len(at)), np.int64)
+    keys = np.zeros((TABLES, len(at)), np.uint32)
     for step in range(steps):
         char = codes[at]
         if sampled[steps][step].any():
             value = values[char]
             for t in np.flatnonzero(sampled[steps][step]):
-                keys[t] = (keys[t] ^ value) * 0x2545F4914F6CDD1D
+                key = keys[t]
+                key ^= value
+                key *= np.uint32(0x9E3779B1)
         at += bits[step][char]
     return keys
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.intp)
+    return (keys >> np.uint32(32 - FILTER_BITS)).astype(np.intp)
 
 
 def window_starts(codes: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ class ItemIndex:
 
 
 #: Candidates that are verified together, and bits of a row block.
-TOGETHER, BITS = 2048, 64
+TOGETHER, BITS = 4096, 64
 
 
 def letters_table(item: str) -> tuple[np.ndarray, np.ndarray]:
