@@ -16,9 +16,16 @@ def per_category(df: DataFrame, category: str, key: str, n: Column | int, seed:
     return df.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= n).drop("_turn")
 
 
+#: The sample size of a category below each count; ``None`` stands for the caller's ``low``, and 5 for all others.
+STRATA = ((10, 0), (100, None), (500, 3), (1000, 4))
+
+
 def stratum_size(count: Column, low: Column | int = 1) -> Column:
     """Sample size by category count: none, 1 or 2, 3, 4, 5."""
-    return F.when(count < 10, 0).when(count < 100, low).when(count < 500, 3).when(count < 1000, 4).otherwise(5)
+    out = F
+    for below, size in STRATA:
+        out = out.when(count < below, low if size is None else size)
+    return out.otherwise(5)
 
 
 def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
