@@ -296,16 +296,64 @@ def test_language_model(docs, head):
         assert r.score < 0
 
 
-def test_suffix_tree_distributions_sum_to_one(docs):
-    data = b"".join(lm_scoring.framed(lm_scoring.words_of(r[1])) for r in corpus())
-    keys, counts = lm_scoring.grams(data)
-    spark = docs.sparkSession
-    tree = lm_scoring.grow_tree(spark.createDataFrame(list(zip(keys.tolist(), counts.tolist())), "gram long, n long"), max_states=200)
-    p = 10.0 ** tree.log_p.astype(np.float64)
-    own = int((tree.codes < lm_scoring.OWN).sum())
-    total = p[:, :own].sum(1) + p[:, lm_scoring.END_CODE] + p[:, lm_scoring.OTHER] * (254 - own)
-    unused = p[:, own : lm_scoring.OWN].sum(1)
-    assert np.allclose(total + unused, 1, atol=1e-4)
+def plain_tree(training, depth, least, divergence, pull):
+    """Retained contexts (tuples of symbols, the start among them) and a function that gives P(symbol | words before)."""
+    counts = [Counter() for _ in range(depth + 1)]
+    for t in training:
+        own = ["<start>", *t]
+        for i in range(1, len(own)):
+            for k in range(min(i, depth) + 1):
+                counts[k][(tuple(own[i - k:i]), own[i])] += 1
+    follow = {}
+    for level in counts:
+        for (c, s), n in level.items():
+            follow.setdefault(c, {})[s] = n
+    root = follow.get((), {})
+    total = sum(root.values()) + 0.5 * (len(root) + 1)
+    kept = {()}
+
+    def p(symbol, c):
+        while c not in kept:
+            c = c[1:]
+        if not c:
+            return (root.get(symbol, 0) + 0.5) / total
+        own = follow[c]
+        return (own.get(symbol, 0) + pull * p(symbol, c[1:])) / (sum(own.values()) + pull)
+
+    for k in range(1, depth + 1):
+        for c in [c for c in follow if len(c) == k]:
+            own, n = follow[c], sum(follow[c].values())
+            if n >= least and c[1:] in kept and (k == 1 or c[:-1] in kept):
+                if sum(m * math.log((m - 1 + pull * p(s, c[1:])) / (n - 1 + pull) / p(s, c[1:])) for s, m in own.items()) >= divergence:
+                    kept.add(c)
+    return kept, p
+
+
+@pytest.mark.parametrize("head", [1 << 20, 60, 0])
+def test_suffix_tree_against_a_plain_one(spark, head):
+    rng = random.Random(11)
+    phrases = [" ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(4)) for _ in range(12)]
+    texts = [None, "", "Unseen words ALONE", *[" ".join(rng.choice([*phrases, "zz", "q r", f"rare{rng.randint(0, 90)}"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]]
+    texts += [texts[9], texts[9]]
+    rows = list(enumerate(texts))
+    own = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "<end>"] for i, t in rows}
+    kept, p = plain_tree([own[i] for i, _ in rows if i % 4 != 2], 3, 4, 6.0, 2.0)
+    assert max(map(len, kept)) == 3 and len(kept) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.score_documents(docs, docs.where("doc_id % 4 <> 2"), head=head, depth=3, least=4, divergence=6.0, pull=2.0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = ["<start>", *own[r.doc_id]]
+        assert r.score == pytest.approx(sum(math.log10(p(t[i], tuple(t[max(0, i - 3):i]))) for i in range(1, len(t)))), r.doc_id
+    symbols = {s for t in own.values() for s in t if s != "<start>"} & {s for i, t in own.items() if i % 4 != 2 for s in t}
+    for c in kept:
+        assert sum(p(s, c) for s in symbols) + p("<unknown>", c) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_suffix_tree_beats_the_base_on_held_out_documents(spark, size):
+    out = lm_scoring.op10_lm_scoring(spark, f"/root/testdata/{size}").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert out.s > out.b
 
 
 def test_pipeline_on_a_small_table(spark, docs, tmp_path):
