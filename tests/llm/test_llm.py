@@ -318,13 +318,17 @@ def plain_tree(training, depth, least, divergence, pull):
         if not c:
             return (root.get(symbol, 0) + 0.5) / total
         own = follow[c]
-        return (own.get(symbol, 0) + pull * p(symbol, c[1:])) / (sum(own.values()) + pull)
+        return (max(0, own.get(symbol, 0) - 1) + (pull + len(own)) * p(symbol, c[1:])) / (sum(own.values()) + pull)
+
+    def without_one(own, m, up):
+        """The same with one occurrence of a symbol that is there m times left out."""
+        return (max(0, m - 2) + (pull + len(own) - (m == 1)) * up) / (sum(own.values()) - 1 + pull)
 
     for k in range(1, depth + 1):
         for c in [c for c in follow if len(c) == k]:
             own, n = follow[c], sum(follow[c].values())
             if n >= least and c[1:] in kept and (k == 1 or c[:-1] in kept):
-                if sum(m * math.log((m - 1 + pull * p(s, c[1:])) / (n - 1 + pull) / p(s, c[1:])) for s, m in own.items()) >= divergence:
+                if sum(m * math.log(without_one(own, m, p(s, c[1:])) / p(s, c[1:])) for s, m in own.items()) >= divergence:
                     kept.add(c)
     return kept, p
 
