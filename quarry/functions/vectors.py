@@ -18,7 +18,8 @@ def normalise(v: Column, guard: str = "replace", epsilon: float = 1e-12) -> Colu
     """L2 normalisation. Zero vectors: ``none`` gives NULLs, ``epsilon`` adds to the norm, ``replace`` divides by 1."""
     length = norm(v)
     by = {"none": length, "epsilon": length + epsilon, "replace": F.when(length == 0, 1.0).otherwise(length)}[guard]
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), by))
+    # The length is an element of an array, so that it is worked out once for a vector and not for each entry.
+    return F.flatten(F.transform(F.array(by), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n))))
 
 
 def mean_pool(df, key: str, vector: str):

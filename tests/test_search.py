@@ -1,6 +1,7 @@
 """Principal components, all-pairs search, walks, set joins and listwise windows against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +63,28 @@ def test_components_equal_a_plain_decomposition(spark):
     assert vector.fit_pca(frame(spark, x).limit(0), "vector").values.size == 0
 
 
+def test_projections_of_many_rows_and_of_odd_ones(spark):
+    """20,000 rows of 64 entries: lengths and products that are worked out anew for each entry take many minutes."""
+    x = vectors(20_000, 64)
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    odd = spark.createDataFrame([(-1, None), (-2, [1.0]), (-3, [None] + [1.0] * 63), (-4, [])], "id long, vector array<float>")
+    start = time.perf_counter()
+    pca = vector.fit_pca(df, "vector")
+    got = {r.id: r.projected for r in vector.project(df.union(odd), "vector", pca, 3).select("id", "projected").collect()}
+    assert time.perf_counter() - start < 60
+    x = x.astype(np.float32).astype(float)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x / np.where(length == 0, 1, length) - pca.mean) @ pca.components[:, :3]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-9) and [got[-k] for k in (1, 2, 3, 4)] == [None] * 4
+    from quarry.functions import vectors as V
+
+    unit = df.where("id < 8").select(V.normalise(F.col("vector")).alias("u")).collect()
+    assert np.allclose([r.u for r in unit], x[:8] / np.where(length[:8] == 0, 1, length[:8]))
+    assert odd.where("id = -1").select(V.normalise(F.col("vector")).alias("u")).first().u is None
+
+
 def dense_walk(n, edges, p, alpha=0.85):
     w = np.zeros((n, n))
     for a, b, v in edges:
