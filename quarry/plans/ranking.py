@@ -16,10 +16,7 @@ from quarry.plans import tables as t
 
 def bm25_runs(spark, d, settings, k=100):
     """(variant, qid, doc_id, score, rank): the runs of several settings of (k1, b), from one pass over the texts; written once."""
-    scores = R.bm25_settings(t.texts(spark, d), t.queries(spark, d), settings)
-    each = scores.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.round(v, 6).alias("score")) for v in settings])).alias("x")).select("qid", "doc_id", "x.*")
-    order = Window.partitionBy("variant", "qid").orderBy(F.desc("score"), "doc_id")
-    return cut(each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return cut(R.bm25_runs(t.texts(spark, d), t.queries(spark, d), settings, k).select("qid", "doc_id", "variant", "score", "rank"))
 
 
 def bm25_run(spark, d, k=100, k1=0.8, b=1.0):

@@ -251,3 +251,35 @@ def test_word_boundaries_know_ascii_letters_alone(spark):
     df = spark.createDataFrame([("the\u0308 x",), ("the\u00e9",), ("the end",), ("them",), ("a\u00e9the",), (None,)], "text string")
     got = [tuple(r) for r in df.select(Q.hits(F.col("text"), (r"the\b",)), Q.explanatory_density(F.col("text"), (r"\bthe\b",)) > 0, F.col("text").rlike(Q.ascii_bounds(r"\\b"))).collect()]
     assert got == [(1, True, False), (1, True, False), (1, True, False), (0, False, False), (1, True, False), (None, False, None)]
+
+
+def test_runs_of_bm25_send_on_the_best_pairs_alone(spark):
+    """Equal to ranking every pair, over copies, null texts and ids, several blocks of queries; few rows are shuffled."""
+    from quarry.operators import retrieval as R
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(6000)]
+    texts = [(i, " ".join(words[(i % 230) * 20 : (i % 230) * 20 + rng.choice((20, 5))])) for i in range(700)] + [(900, None), (901, ""), (902, "zz?zz"), (None, "w1 w2")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=8))) for q in range(9)] + [(50, "nowhere"), (51, None), (52, "ZZ zz")], "qid long, text string")
+    settings = {"a": (0.8, 1.0), "b": (2.0, 0.3)}
+    got = {(r.variant, r.qid, r["rank"]): (r.doc_id, r.score) for r in R.bm25_runs(docs, asked, settings, 12, query_rows=4).collect()}
+    every = R.bm25_settings(docs, asked, settings).where("doc_id is not null").collect()
+    for v in settings:
+        for q in range(60):
+            best = sorted(((-round(r[v], 6), r.doc_id) for r in every if r.qid == q))[:12]
+            assert [got.pop((v, q, k + 1)) for k in range(len(best))] == [(d, pytest.approx(-s, abs=1e-9)) for s, d in best]
+    assert not got
+    named = R.bm25_runs(docs.withColumn("doc_id", F.col("doc_id").cast("string")), asked.withColumn("qid", F.col("qid").cast("string")), {"a": (0.8, 1.0)}, 1).where("qid = '52'").collect()
+    assert [(r.qid, r.doc_id, r["rank"]) for r in named] == [("52", "902", 1)]
+    assert R.bm25_runs(docs.limit(0), asked, settings, 3).count() == 0 == R.bm25_runs(docs, asked.limit(0), settings, 3).count()
+
+
+def test_a_run_of_bm25_does_not_shuffle_pairs(spark, monkeypatch):
+    """The plan that ranks groups nothing by query and document."""
+    from quarry.plans import ranking
+
+    plans = []
+    monkeypatch.setattr(ranking, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    ranking.variants(spark, "/root/testdata/sf0.001")
+    assert "HashAggregate" not in plans[-1] and "WindowGroupLimit" in plans[-1]
