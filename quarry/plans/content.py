@@ -95,7 +95,7 @@ def sparse_scores(spark, d):
     sparse = vecs(spark, d).select(F.col("id").alias("doc_id"), F.map_from_entries(F.transform("vector", lambda x, i: F.struct(i.cast("string"), F.round(x.cast("double"), 4)))).alias("weights"))
     postings = R.inverted_index(sparse)
     asked = postings.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid")
-    return R.top_k(R.index_scores(asked, postings).withColumn("score", F.round("score", 6)), 20).select("qid", "doc_id", F.round("score", 4).alias("score"))
+    return R.index_top(asked, postings, 20).select("qid", "doc_id", F.round("score", 4).alias("score"))
 
 
 def passage_max(spark, d):
