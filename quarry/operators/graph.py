@@ -145,10 +145,13 @@ def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: flo
     """(qid, id, score): personalised walks of many queries by pushing residuals; only what is reached has a row.
 
     ``teleport`` is (qid, id, p) with p summing to 1 per query. A pair (query, node) keeps 1 - alpha of its residual as
-    score and passes the rest along its links (a node without links: back to the teleport vector), but only while its
-    residual exceeds ``tolerance`` times its number of links (at least 1). So a score falls short of the exact one, and
-    by all nodes of a query together it does by at most the residuals that are left, under tolerance x (links +
-    reached nodes). Work follows the mass that still moves: queries that are settled cost nothing any more.
+    score and passes the rest along its links (a node without links: back to the teleport vector), but only while the
+    size of its residual exceeds ``tolerance`` times its number of links (at least 1). The walk begins with the teleport
+    vector itself as score, and with the residual that is owed to it: alpha / (1 - alpha) times what one move changes.
+    Residuals then have both signs and sum to 0, and cancel as fast as the graph mixes; from no score at all, a graph
+    that is reached as a whole takes steps until alpha alone has made them small. A query's scores differ from the exact
+    ones by at most the sizes of the residuals that are left, all together, under tolerance x (links + reached nodes).
+    Work follows the mass that still moves: queries that are settled cost nothing any more.
 
     Links are dealt to partitions once; a step joins the active pairs to them, adds up in one shuffle and is written to
     the shared folder, as the next one reads it more than once.
@@ -159,20 +162,27 @@ def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: flo
     moves = cut(shares.join(degree.withColumnRenamed("id", "dst"), "dst", "left").select(F.col("src").alias("id"), "dst", "share", F.coalesce("degree", F.lit(0)).alias("to_degree")))
     moves = moves.repartition(max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id").persist()
     start = cut(teleport.join(degree, "id", "left").select("qid", "id", "p", F.coalesce("degree", F.lit(0)).alias("degree")))
-    state = start.select("qid", "id", F.lit(0.0).alias("score"), F.col("p").alias("residual"), "degree")
-    moving = F.col("residual") > tolerance * F.greatest("degree", F.lit(1))
+    moving = F.abs("residual") > tolerance * F.greatest("degree", F.lit(1))
     ends = not start.where("degree = 0").isEmpty() or not moves.where("to_degree = 0").isEmpty()
+
+    def moved(kept: DataFrame, active: DataFrame, by: float) -> DataFrame:
+        """``kept`` plus ``by`` times the residuals of ``active``, one move on."""
+        passed = active.join(moves, "id").select("qid", F.col("dst").alias("id"), F.lit(0.0).alias("score"), (by * F.col("residual") * F.col("share")).alias("residual"), F.col("to_degree").alias("degree"))
+        parts = kept.unionByName(passed)
+        if ends:
+            loose = active.where("degree = 0").groupBy("qid").agg(F.sum("residual").alias("loose"))
+            parts = parts.unionByName(start.join(loose, "qid").select("qid", "id", F.lit(0.0).alias("score"), (by * F.col("loose") * F.col("p")).alias("residual"), "degree"))
+        return cut(parts.groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.max("degree").alias("degree")))
+
+    owed = alpha / (1 - alpha)
+    first = start.select("qid", "id", F.col("p").alias("score"), (-owed * F.col("p")).alias("residual"), "degree")
+    state = moved(first, start.select("qid", "id", F.col("p").alias("residual"), "degree"), owed)
     for _ in range(most):
         active = state.where(moving)
         if active.isEmpty():
             break
         kept = state.select("qid", "id", F.when(moving, F.col("score") + (1 - alpha) * F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(moving, 0.0).otherwise(F.col("residual")).alias("residual"), "degree")
-        passed = active.join(moves, "id").select("qid", F.col("dst").alias("id"), F.lit(0.0).alias("score"), (alpha * F.col("residual") * F.col("share")).alias("residual"), F.col("to_degree").alias("degree"))
-        parts = kept.unionByName(passed)
-        if ends:
-            loose = active.where("degree = 0").groupBy("qid").agg(F.sum("residual").alias("loose"))
-            parts = parts.unionByName(start.join(loose, "qid").select("qid", "id", F.lit(0.0).alias("score"), (alpha * F.col("loose") * F.col("p")).alias("residual"), "degree"))
-        state = cut(parts.groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.max("degree").alias("degree")))
+        state = moved(kept, active, alpha)
     moves.unpersist()
     return state.where("score > 0").select("qid", "id", "score")
 
