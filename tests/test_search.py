@@ -85,6 +85,41 @@ def test_projections_of_many_rows_and_of_odd_ones(spark):
     assert odd.where("id = -1").select(V.normalise(F.col("vector")).alias("u")).first().u is None
 
 
+def test_postings_and_passages_meet_in_products(spark):
+    """Equal to brute force over copies, ties and odd rows; the plans hold no join of queries with all rows."""
+    from quarry.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    w = np.round(rng.random((90, 12)) * (rng.random((90, 12)) < 0.4), 2)
+    w[40:50] = w[39]
+    rows = [(i, f"t{j}", float(w[i, j])) for i in range(90) for j in range(12) if w[i, j]]
+    postings = spark.createDataFrame([*rows, (500, "elsewhere", 1.0)], "doc_id long, term string, weight double").repartition(6)
+    asked = postings.where("doc_id % 10 = 0 or doc_id = 39").withColumnRenamed("doc_id", "qid")
+    got = {(r.qid, r["rank"]): (r.doc_id, round(r.score, 6)) for r in retrieval.index_top(asked, postings, 6, query_rows=3).collect()}
+    for q in [*range(0, 90, 10), 39]:
+        best = sorted((-round(s, 6), i) for i, s in enumerate(w @ w[q]) if s > 0)[:6]
+        assert [got[q, k + 1] for k in range(len(best))] == [(i, -s) for s, i in best]
+    assert got[500, 1] == (500, 1.0) and retrieval.index_top(asked.limit(0), postings, 6).count() == 0
+
+    x = vectors(60, 5)
+    passages = spark.createDataFrame([*((i % 4, v.tolist()) for i, v in enumerate(x)), (0, None), (1, [1.0]), (2, [None] * 5)], "doc_id long, vector array<double>")
+    queries = spark.createDataFrame([*((i, x[i].tolist()) for i in range(9)), (9, None)], "qid long, q_vector array<double>")
+    pairs = spark.createDataFrame([(d, q) for d in range(6) for q in range(11) if (d + q) % 3] + [(0, 1)], "doc_id long, qid long")
+    scored = vector.max_passage_scores(pairs, passages, queries, cell_rows=4)
+    want = {(d, q): max((float(x[i] @ x[q]) for i in range(d, 60, 4)), default=-100) if d < 4 and q < 9 else -100 for d in range(6) for q in range(11) if (d + q) % 3}
+    found = {(r.doc_id, r.qid): r.score for r in scored.collect()}
+    assert scored.count() == len(want) and found == pytest.approx(want)
+    assert "aggregate(" not in scored._jdf.queryExecution().analyzed().toString()
+
+
+def test_blocks_of_the_grid_have_a_bounded_number_of_rows(spark):
+    x = np.round(vectors(900, 3), 1)
+    x[100:300] = x[99]
+    got = vector.knn_grid(frame(spark, x), 3, block_rows=250)
+    assert {(r["query"], r.neighbor, r["rank"], round(r.score, 6)) for r in got.collect()} == plain_knn(x, 3)
+    assert "RepartitionByExpression [i" in got._jdf.queryExecution().analyzed().toString()
+
+
 def dense_walk(n, edges, p, alpha=0.85):
     w = np.zeros((n, n))
     for a, b, v in edges:
@@ -174,3 +209,17 @@ def test_a_failing_query_stops_nobody_else(spark):
     got = fusion.sequential_rerank(run, fails_on_two, ["v"]).collect()
     assert [(r.qid, r.doc_id, r.error) for r in got if r.error] == [(2, None, "RuntimeError: no answer")]
     assert sorted((r.qid, r["rank"], r.doc_id) for r in got if not r.error) == [(q, k, 4 - k) for q in (0, 1, 3) for k in (1, 2, 3)]
+
+
+def test_walks_of_a_graph_reached_as_a_whole_settle_in_few_steps(spark, monkeypatch):
+    """From no score at all it would take about 100 steps until alpha alone has made the residuals small."""
+    rng = random.Random(8)
+    links = {(a, rng.randrange(60)): 1 for a in range(60) for _ in range(12)}
+    edges = spark.createDataFrame([(a, b, v) for (a, b), v in links.items()], "src long, dst long, weight long")
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    got = {r.id: r.score for r in graph.personalized_pagerank_push(edges, spark.createDataFrame([(1, 3, 0.5), (1, 4, 0.5)], "qid long, id long, p double")).collect()}
+    starts = np.zeros(60)
+    starts[[3, 4]] = 0.5
+    want = dense_walk(60, [(a, b, v) for (a, b), v in links.items()], starts)
+    assert max(abs(want[i] - got[i]) for i in range(60)) < 1e-6 and len(written) < 40
