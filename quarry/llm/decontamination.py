@@ -46,7 +46,7 @@ LEAST_HITS = 2
 #: Distance of window starts within a stretch without spaces.
 STRIDE = 8
 FILTER_BITS = 20
-SLICE, BLOCK_BYTES = 1 << 22, 8 << 20
+SLICE, BLOCK_BYTES = 1 << 21, 8 << 20
 
 
 @cache
@@ -99,7 +99,8 @@ def window_starts(codes: np.ndarray) -> np.ndarray:
     inside = (codes != 32) & (codes != 0)
     first = inside & np.append(True, ~inside[:-1])
     at = np.flatnonzero(inside)
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(codes)), 0))
+    begin = np.where(first, np.arange(len(codes), dtype=np.int32), np.int32(0))
+    np.maximum.accumulate(begin, out=begin)
     return at[(at - begin[at]) % STRIDE == 0]
 
 
@@ -148,6 +149,18 @@ class ItemIndex:
 
 #: Candidates that are verified together, and bits of a row block.
 TOGETHER, BITS = 4096, 64
+#: Characters of all candidates that are verified together, each taken as long as the longest.
+CELLS = 1 << 21
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of ``sizes``, which ascend: at most TOGETHER, and CELLS if each were as long as the last."""
+    at = 0
+    while at < len(sizes):
+        some = sizes[at : at + TOGETHER]
+        end = at + max(1, int(np.searchsorted(some * np.arange(1, len(some) + 1), CELLS, "right")))
+        yield at, end
+        at = end
 
 
 def letters_table(item: str) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +183,13 @@ def best_distances(tables: list[tuple[np.ndarray, np.ndarray]], items: np.ndarra
     distance above its limit is told as one above the limit."""
     limits = np.full(len(texts), 1 << 40) if limits is None else limits
     best, end = limits + 1, np.zeros(len(texts), np.int64)
-    order = np.argsort([len(t) for t in texts], kind="stable")
+    size = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(size, kind="stable")
     if (limits < 1 << 40).any():
-        chunks = (order[at : at + TOGETHER] for at in range(0, len(order), TOGETHER))
+        chunks = (order[a:b] for a, b in _chunks(size[order]))
         order = np.concatenate([chunk[_may_match(_letters(tables, items[chunk], [texts[k] for k in chunk.tolist()]), limits[chunk])] for chunk in chunks])
-    for at in range(0, len(order), TOGETHER):
-        part = order[at : at + TOGETHER]
+    for a, b in _chunks(size[order]):
+        part = order[a:b]
         found, end[part] = _whole_distances(_letters(tables, items[part], [texts[k] for k in part.tolist()]))
         best[part] = np.minimum(found, limits[part] + 1)
     return best, end
@@ -381,14 +395,15 @@ class Items:
         at least where the characters do.
         """
         slack, bound = self.slacks[item], np.zeros(len(item), np.int64)
-        alive = np.argsort(last - first + 2 * slack, kind="stable")
+        width = last - first + BITS + 2 * slack
+        alive = np.argsort(width, kind="stable")
         table = self.rows.ravel()
         for turn in range(int(self.full.max(initial=0))):
             more = alive[self.full[item[alive]] > turn]
-            for a in range(0, len(more), TOGETHER):
-                part = more[a : a + TOGETHER]
+            for a, b in _chunks(width[more]):
+                part = more[a:b]
                 low = first[part] + self.sizes[item[part]] - BITS * (turn + 1) - slack[part]
-                steps = int((last[part] - first[part] + BITS + 2 * slack[part]).max())
+                steps = int(width[part[-1]])
                 base = (self.first_block[item[part]] + turn) * 256
                 at = np.clip(low, 0, len(codes) - 1)[None, :] + np.arange(steps)[:, None]
                 letter = codes.take(at, mode="clip") + base

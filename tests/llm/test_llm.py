@@ -534,3 +534,20 @@ def test_leaks_without_spaces_and_short_items(spark):
     rows = [(1, "前文" * 30 + chinese + "后文" * 30), (2, "xx abcd yy"), (3, "xx abce yy"), (4, "it is sevn77 here"), (5, "then a longer itxm of some twenty."), (6, "nothing"), (6, "nothing")]
     got = sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect())
     assert got == [(1, 1, 0), (2, 2, 0), (4, 3, 1), (4, 4, 1), (5, 5, 1)]
+
+
+def test_candidates_on_long_stretches_are_verified_in_bounded_memory():
+    """4,000 short candidates beside one of 60,000 characters: matrices are cut by their cells, not by rows alone."""
+    sizes = np.array([200] * 4000 + [60_000])
+    chunks = list(decontamination._chunks(sizes))
+    assert [a for a, _ in chunks] == [0, *(b for _, b in chunks[:-1])] and chunks[-1][1] == len(sizes)
+    assert max((b - a) * int(sizes[b - 1]) for a, b in chunks) <= decontamination.CELLS
+    draw = random.Random(2)
+    item = "".join(draw.choice("abcdefgh ") for _ in range(150))
+    long = "".join(draw.choice("abcdefgh ") for _ in range(60_000))
+    texts = [item[:70] + "X" + item[71:]] + [long[k : k + 200] for k in range(1500)] + [long[:30_000] + item + long[30_000:]]
+    tracemalloc.start()
+    distances, _ = decontamination.best_distances([decontamination.letters_table(item)], np.zeros(len(texts), int), texts, np.full(len(texts), 30))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert distances[[0, -1]].tolist() == [1, 0] and (distances[1:-1] == 31).all() and peak < 60e6
