@@ -36,16 +36,21 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, materialise
 from quarry.llm.suffix_array import MEMORY, descending_suffixes
+from quarry.operators.lineage import spread_join
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES = 1 << 20
 #: Different contexts of one anchor hash that a task may hold; those of a hash with more are counted by Spark.
 MOST_CONTEXTS = 2048
+#: Places of one anchor hash from which they are dealt to many tasks.
+HOT_PLACES = 100_000
 #: Parts that the contexts of such a hash are dealt to.
 SALTS = 64
 #: Bytes of texts or contexts that a task turns into one batch.
 SLICE_BYTES = 1 << 22
+#: Bytes of texts whose anchors are found in one pass.
+SURVEY_BYTES = 1 << 15
 #: Contexts are compared by windows that start at every multiple of so many bytes before the anchor.
 STEP = 24
 #: The same for an anchor hash with many contexts, round by round; the windows of the last are the strings.
@@ -67,32 +72,45 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def _sliding(h: np.ndarray, window: int, least: bool) -> np.ndarray:
-    """Least or greatest of every ``window`` neighbours, by prefixes and suffixes of blocks."""
-    op = np.minimum if least else np.maximum
-    n = len(h) - window + 1
-    pad = (-len(h)) % window
-    fill = np.uint64(0xFFFFFFFFFFFFFFFF if least else 0)
-    blocks = np.r_[h, np.full(pad, fill)].reshape(-1, window)
-    before = op.accumulate(blocks, axis=1).ravel()
-    after = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(after[:n], before[window - 1 : window - 1 + n])
+    """Least or greatest of every ``window`` neighbours, by windows of doubled size."""
+    op, size = np.minimum if least else np.maximum, 1
+    while size * 2 <= window:
+        h, size = op(h[:-size], h[size:]), size * 2
+    rest = window - size
+    return op(h[:-rest], h[rest:]) if rest else h
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first and last start of the LENGTH-byte strings whose least gram it is); ties count each."""
-    if len(data) < LENGTH:
-        return (np.zeros(0, np.int64),) * 4
-    h = gram_hashes(np.frombuffer(data, np.uint8))
+    return anchors_of([data])[1:]
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of its anchors) of each text, and (hash, position, first and last start) of all anchors as in ``anchors``.
+
+    The texts are laid end to end, so that one pass of vector steps serves many short ones. Strings that do not lie in
+    one text have no least gram: theirs is 0, which is under every hash, so no gram is opened by them.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    if sizes.max(initial=0) < LENGTH:
+        return np.zeros(len(texts), np.int64), *(np.zeros(0, np.int64),) * 4
+    h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
     least = _sliding(h, WINDOW, True)
+    for a, b in zip(np.maximum(begin, ends - LENGTH + 1).tolist(), ends.tolist(), strict=True):
+        least[a:b] = 0
     opened = _sliding(np.r_[np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)], WINDOW, False)
-    at = np.flatnonzero(opened == h)
+    at = np.flatnonzero((opened == h) & (opened != 0))
     begins = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    ends, value = np.r_[begins[1:], len(least)], least[begins]
+    run_ends, value = np.r_[begins[1:], len(least)], least[begins]
     # The strings of an anchor are a part of one run of equal least hashes.
     run = np.searchsorted(begins, np.maximum(0, at - WINDOW + 1), "right") - 1
     while (other := value[run] != h[at]).any():
         run[other] += 1
-    return h[at].view(np.int64), at, np.maximum(begins[run], at - WINDOW + 1), np.minimum(ends[run] - 1, at)
+    owner = np.searchsorted(ends, at, "right")
+    low, high = np.maximum(begins[run], at - WINDOW + 1), np.minimum(run_ends[run] - 1, at)
+    return np.bincount(owner, minlength=len(texts)), h[at].view(np.int64), *(x - begin[owner] for x in (at, low, high))
 
 
 #: A place is one number: position of the anchor, bytes of the context before it, bytes beyond LENGTH.
@@ -119,35 +137,29 @@ def _pick(key: bytes, doc_id: object) -> bytes:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row_tag", "doc_id", "key", "pick", "n_bytes", "sha", "anchors"]
     for batch in batches:
-        first = size = 0
-        keys, picks, sizes, shas, own, h, c, p = [], [], [], [], [], [], [], []
+        first, size, raw = 0, 0, []
         for k, text in enumerate(batch.column(2)):
-            data = (text.as_py() or "").encode("utf-8", "replace")
-            keys.append(xxhash.xxh3_128_digest(data))
-            picks.append(_pick(keys[-1], batch.column(1)[k].as_py()))
-            sizes.append(len(data))
-            shas.append(hashlib.sha256(data).hexdigest())
-            hashes, at, low, high = anchors(data)
-            own.append(len(at))
-            h.extend(hashes.tolist())
-            p.extend((at * _OFF + (at - low) * _SIZE + high - low).tolist())
-            for off, a, b in zip((at - low).tolist(), low.tolist(), (high + LENGTH).tolist(), strict=True):
-                c.append(xxhash.xxh3_64_intdigest(data[a:b], seed=off) - (1 << 63))
-            size += len(data)
-            if size >= SLICE_BYTES or k + 1 == batch.num_rows:
-                found = _list_of(own, {"h": (h, pa.int64()), "c": (c, pa.int64()), "p": (p, pa.int64())})
-                rows = batch.slice(first, k + 1 - first)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys, pa.binary()), pa.array(picks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas), found], names=names)
-                first, size = k + 1, 0
-                keys, picks, sizes, shas, own, h, c, p = [], [], [], [], [], [], [], []
+            raw.append((text.as_py() or "").encode("utf-8", "replace"))
+            size += len(raw[-1])
+            if size >= SURVEY_BYTES or k + 1 == batch.num_rows:
+                rows = batch.slice(first, len(raw))
+                keys = [xxhash.xxh3_128_digest(data) for data in raw]
+                picks = [_pick(key, doc_id) for key, doc_id in zip(keys, rows.column(1).to_pylist(), strict=True)]
+                own, h, at, low, high = anchors_of(raw)
+                spans = zip(np.repeat(np.arange(len(raw)), own).tolist(), (at - low).tolist(), low.tolist(), (high + LENGTH).tolist(), strict=True)
+                c = [xxhash.xxh3_64_intdigest(raw[i][a:b], seed=off) - (1 << 63) for i, off, a, b in spans]
+                found = _list_of(own.tolist(), {"h": (h, pa.int64()), "c": (c, pa.int64()), "p": (at * _OFF + (at - low) * _SIZE + high - low, pa.int64())})
+                shas = [hashlib.sha256(data).hexdigest() for data in raw]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys, pa.binary()), pa.array(picks, pa.binary()), pa.array([len(data) for data in raw], pa.int64()), pa.array(shas), found], names=names)
+                first, size, raw = k + 1, 0, []
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(h: list, c: list, off: list, data: list, hot: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, pa.bool_())], names=["h", "c", "off", "data", "hot"])
+    def made(h: list, c: list, off: list, data: list, hot: list, once: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, pa.bool_()), pa.array(once, pa.bool_())], names=["h", "c", "off", "data", "hot", "once"])
 
     for batch in batches:
-        h, c, off, data, hot, size = [], [], [], [], [], 0
+        h, c, off, data, hot, once, size = [], [], [], [], [], [], 0
         for text, wanted in zip(*batch.columns, strict=True):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             for w in wanted.as_py():
@@ -157,11 +169,12 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 off.append(before)
                 data.append(near)
                 hot.append(w["hot"])
+                once.append(w["once"])
                 size += len(near)
                 if size >= SLICE_BYTES:
-                    yield made(h, c, off, data, hot)
-                    h, c, off, data, hot, size = [], [], [], [], [], 0
-        yield made(h, c, off, data, hot)
+                    yield made(h, c, off, data, hot, once)
+                    h, c, off, data, hot, once, size = [], [], [], [], [], [], 0
+        yield made(h, c, off, data, hot, once)
 
 
 def may_repeat(offsets: list[int], contexts: list[bytes]) -> list[tuple[int, int] | None]:
@@ -265,10 +278,10 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = [(h, c, [{"a": s["a"] - off, "b": s["b"] - off} for s in own]) for h, c, off, own in zip(shard.h, shard.c, shard.off, shard.spans(), strict=True) if own]
         shard.file.close()
         h, c, s = zip(*told, strict=True) if told else ((), (), ())
-        return told_of(pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, kind), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()))
+        return told_of(pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s, kind), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.bool_()))
 
     def told_of(*columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(columns), names=["h", "c", "spans", "off", "data"])
+        return pa.RecordBatch.from_arrays(list(columns), names=["h", "c", "spans", "off", "data", "once"])
 
     shard, group = Shard(), []
 
@@ -283,7 +296,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hot = batch.filter(batch.column(4))
         if hot.num_rows:
-            yield told_of(hot.column(0), hot.column(1), pa.nulls(hot.num_rows, kind), hot.column(2), hot.column(3))
+            once = hot.column(5) if hot.num_columns > 5 else pa.nulls(hot.num_rows, pa.bool_())
+            yield told_of(hot.column(0), hot.column(1), pa.nulls(hot.num_rows, kind), hot.column(2), hot.column(3), once)
         cold = batch.filter(pc.invert(batch.column(4)))
         for row in zip(*(x.to_pylist() for x in cold.columns[:4]), strict=True):
             if group and row[0] != group[-1][0]:
@@ -299,45 +313,47 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(width: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h, c, back, w) of the windows at every ``step`` bytes within ``width`` of the given distances: each
+    """(h, c, once, back, w) of the windows, w a hash of h, back and the bytes, at every ``step`` bytes within ``width`` of the given distances: each
     string with back <= l < back + step bytes before the anchor holds the LENGTH - step + 1 bytes from there."""
     size = LENGTH - step + 1
 
-    def made(h: list, c: list, back: list, w: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(back, pa.int32()), pa.array(w, pa.binary())], names=["h", "c", "back", "w"])
+    def made(h: list, c: list, once: list, back: list, w: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(once, pa.bool_()), pa.array(back, pa.int32()), pa.array(w, pa.binary())], names=["h", "c", "once", "back", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, back, w = [], [], [], []
-            for own_h, own_c, off, data, backs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            h, c, once, back, w = [], [], [], [], []
+            for own_h, own_c, own_once, off, data, backs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 for first in backs:
                     for b in range(first, min(first + width, off + 1, LENGTH - GRAM + 1), step):
                         if off - b + size <= len(data):
                             h.append(own_h)
                             c.append(own_c)
+                            once.append(own_once)
                             back.append(b)
-                            w.append(xxhash.xxh3_128_digest(data[off - b : off - b + size]))
+                            w.append(xxhash.xxh3_128_digest(own_h.to_bytes(8, "little", signed=True) + bytes((b,)) + data[off - b : off - b + size]))
                 if len(h) >= SLICE_BYTES // 64:
-                    yield made(h, c, back, w)
-                    h, c, back, w = [], [], [], []
-            yield made(h, c, back, w)
+                    yield made(h, c, once, back, w)
+                    h, c, once, back, w = [], [], [], [], []
+            yield made(h, c, once, back, w)
 
     return run
 
 
 def hot_spans(hot: DataFrame) -> DataFrame:
-    """(h, c, spans) of contexts (h, c, off, data) of anchor hashes with any number of contexts.
+    """(h, c, spans) of those contexts (h, c, once, off, data) that occur ``once``, of anchor hashes with any number of
+    contexts. A context that occurs more than once repeats whole, and is here as a partner alone.
 
-    Each round keeps the windows that two contexts of the hash share and looks at longer ones within them.
-    Windows are counted by a pre-aggregated groupBy, so neither a hash nor a window is held in one task.
+    Each round keeps the windows that two contexts of the hash share, one of which occurs once, and looks at longer ones
+    within them. Windows are counted by a pre-aggregated groupBy, so neither a hash nor a window is held in one task.
     """
-    live, width, found = hot.select("h", "c", "off", "data", F.array(F.lit(0)).alias("backs")), LENGTH - GRAM + 1, None
+    live, width, found = hot.select("h", "c", "once", "off", "data", F.array(F.lit(0)).alias("backs")), LENGTH - GRAM + 1, None
     for step in STEPS:
         if found is not None:
-            live = hot.join(found.groupBy("h", "c").agg(F.collect_list("back").alias("backs")), ["h", "c"]).select("h", "c", "off", "data", "backs")
-        rows = materialise(live.mapInArrow(_windows(width, step), "h long, c long, back int, w binary"))
-        keys = materialise(rows.groupBy("h", "back", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        found, width = rows.join(keys, ["h", "back", "w"], "left_semi"), step
+            live = hot.join(found.groupBy("h", "c").agg(F.collect_list("back").alias("backs")), ["h", "c"]).select("h", "c", "once", "off", "data", "backs")
+        rows = materialise(live.mapInArrow(_windows(width, step), "h long, c long, once boolean, back int, w binary"))
+        keys = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.max("once").alias("wanted")).where("n > 1 and wanted").select("w")
+        found, width = (rows.where("once") if step == STEPS[-1] else rows).join(keys, "w", "left_semi"), step
     # All strings of a context hold its anchor, so together they are one span.
     least, most = F.min("back"), F.max("back")
     return found.groupBy("h", "c").agg(F.array(F.struct((-most).alias("a"), (F.lit(LENGTH) - least).alias("b"))).alias("spans"))
@@ -383,22 +399,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = materialise(rows.mapInArrow(_survey, f"row_tag long, doc_id {kind}, key binary, pick binary, n_bytes long, sha string, anchors array<struct<h: long, c: long, p: long>>"))
     copies = base.groupBy("key").agg(F.min(F.struct("row_tag", "pick")).alias("first"), F.count(F.lit(1)).alias("copies")).select("key", "first.*", "copies")
     placed = base.select("row_tag", F.explode("anchors").alias("x")).select("row_tag", "x.*")
-    counted = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
-    per_h = counted.groupBy("h").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("all"))
-    shared = counted.join(per_h.where("all > 1"), "h").select("h", "c", "n", "forms")
     # Every place of a hash that occurs more than once; the other places play no part from here on.
-    placed = materialise(placed.join(shared, ["h", "c"]))
-    shared = materialise(placed.groupBy("h", "c", "n", "forms").agg(F.min(F.struct("row_tag", "p")).alias("first")))
+    repeated = materialise(placed.groupBy("h").agg(F.count(F.lit(1)).alias("all")).where("all > 1"))
+    placed = materialise(spread_join(placed, repeated.select("h"), "h", heavy=repeated.where(F.col("all") > HOT_PLACES).select("h")))
+    counted = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_tag", "p")).alias("first"))
+    shared = materialise(counted.join(counted.groupBy("h").agg(F.count(F.lit(1)).alias("forms")), "h"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_keyed, "pick binary, text string")
     # The text of one copy only: a text with many copies is spread by their ids.
     key_of = base.select("row_tag", "key", "pick")
-    wanted = shared.where("forms > 1").select("first.row_tag", F.struct("h", "c", "first.p", (F.col("forms") > most_contexts).alias("hot")).alias("w")).groupBy("row_tag").agg(F.collect_list("w").alias("wanted"))
-    cut = texts.join(wanted.join(key_of, "row_tag").select("pick", "wanted"), "pick").dropDuplicates(["pick"]).select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, off int, data binary, hot boolean")
+    wanted = shared.where("forms > 1").select("first.row_tag", F.struct("h", "c", "first.p", (F.col("forms") > most_contexts).alias("hot"), (F.col("n") == 1).alias("once")).alias("w")).groupBy("row_tag").agg(F.collect_list("w").alias("wanted"))
+    cut = texts.join(wanted.join(key_of, "row_tag").select("pick", "wanted"), "pick").dropDuplicates(["pick"]).select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, off int, data binary, hot boolean, once boolean")
     salt = F.when(F.col("hot"), F.pmod("c", F.lit(SALTS))).otherwise(0)
-    sorted_spans = cut.repartition(F.col("h"), salt).sortWithinPartitions("hot", "h").mapInArrow(_sort_shards, f"h long, c long, spans {_SPANS}, off int, data binary")
+    sorted_spans = cut.repartition(F.col("h"), salt).sortWithinPartitions("hot", "h").mapInArrow(_sort_shards, f"h long, c long, spans {_SPANS}, off int, data binary, once boolean")
     if not shared.where(F.col("forms") > most_contexts).isEmpty():
         settled = materialise(sorted_spans)
-        hot = hot_spans(settled.where("data is not null").select("h", "c", "off", "data"))
+        hot = hot_spans(settled.where("data is not null").select("h", "c", "once", "off", "data"))
         sorted_spans = settled.where("data is null").select("h", "c", "spans").unionByName(hot)
     sorted_spans = sorted_spans.select("h", "c", "spans")
     before = F.pmod(F.floor(F.col("first.p") / _SIZE), F.lit(_SIZE)).cast("int")

@@ -42,10 +42,13 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot: int = 100_000, parts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: int = 100_000, parts: int = 64, heavy: DataFrame | None = None) -> DataFrame:
     """Inner join on ``key`` where rows of a key with over ``hot`` rows on the left are dealt to ``parts`` tasks, each
-    with its own copy of the key's right rows. There are at most rows / ``hot`` such keys."""
-    heavy = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(key, F.lit(True).alias("_hot"))
+    with its own copy of the key's right rows. There are at most rows / ``hot`` such keys; ``heavy`` names
+    them where they are known."""
+    if heavy is None:
+        heavy = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
+    heavy = heavy.select(key, F.lit(True).alias("_hot"))
     if heavy.isEmpty():
         return left.join(right, key)
     heavy = broadcast_if_small(heavy)

@@ -536,6 +536,22 @@ def test_leaks_without_spaces_and_short_items(spark):
     assert got == [(1, 1, 0), (2, 2, 0), (4, 3, 1), (4, 4, 1), (5, 5, 1)]
 
 
+def test_anchors_of_joined_texts_are_those_of_each():
+    draw = random.Random(3)
+    texts = [bytes(draw.choice(b"abc ") for _ in range(n)) for n in (0, 5, 199, 200, 201, 700, 40, 3000, 200)] + [b"a" * 500, b"ab" * 200, b"x" * 199]
+    count, *joined = substring_dedup.anchors_of(texts)
+    ends = np.cumsum(count)
+    for t, a, b in zip(texts, ends - count, ends, strict=True):
+        for whole, alone in zip(joined, substring_dedup.anchors(t), strict=True):
+            assert whole[a:b].tolist() == alone.tolist()
+        # Each string has its least gram among the anchors, and no other string is told of.
+        hashes, at, low, high = (x[a:b] for x in joined)
+        grams = substring_dedup.gram_hashes(np.frombuffer(t, np.uint8)).view(np.int64) if len(t) >= 200 else []
+        told = {(s, int(h)) for h, p, x, y in zip(hashes, at, low, high, strict=True) for s in range(x, y + 1)}
+        least = lambda s: min(int(g) & (1 << 64) - 1 for g in grams[s : s + 137])
+        assert {(s, h & (1 << 64) - 1) for s, h in told} == {(s, least(s)) for s in range(len(t) - 199)}
+
+
 def test_candidates_on_long_stretches_are_verified_in_bounded_memory():
     """4,000 short candidates beside one of 60,000 characters: matrices are cut by their cells, not by rows alone."""
     sizes = np.array([200] * 4000 + [60_000])
