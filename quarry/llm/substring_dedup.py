@@ -129,6 +129,12 @@ def _list_of(sizes: list[int], fields: dict[str, tuple[list, pa.DataType]]) -> p
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v, t) for v, t in fields.values()], names=list(fields)))
 
 
+def _of_lists(lists: pa.Array, *fields: str) -> Iterator[tuple]:
+    """(row, fields) of all structs in an array of lists."""
+    flat = pc.list_flatten(lists)
+    return zip(pc.list_parent_indices(lists).to_pylist(), *(flat.field(f).to_pylist() for f in fields), strict=True)
+
+
 def _pick(key: bytes, doc_id: object) -> bytes:
     """One key for a text and its row's id, so that the copies of a text are spread."""
     return xxhash.xxh3_128_digest(key + repr(doc_id).encode("utf-8", "replace"))
@@ -159,21 +165,21 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(off, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, pa.bool_()), pa.array(once, pa.bool_())], names=["h", "c", "off", "data", "hot", "once"])
 
     for batch in batches:
-        h, c, off, data, hot, once, size = [], [], [], [], [], [], 0
-        for text, wanted in zip(*batch.columns, strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "replace")
-            for w in wanted.as_py():
-                before, near = context(raw, w["p"])
-                h.append(w["h"])
-                c.append(w["c"])
-                off.append(before)
-                data.append(near)
-                hot.append(w["hot"])
-                once.append(w["once"])
-                size += len(near)
-                if size >= SLICE_BYTES:
-                    yield made(h, c, off, data, hot, once)
-                    h, c, off, data, hot, once, size = [], [], [], [], [], [], 0
+        h, c, off, data, hot, once, size, last, raw = [], [], [], [], [], [], 0, -1, b""
+        for k, own_h, own_c, p, own_hot, own_once in _of_lists(batch.column(1), "h", "c", "p", "hot", "once"):
+            if k != last:
+                last, raw = k, (batch.column(0)[k].as_py() or "").encode("utf-8", "replace")
+            before, near = context(raw, p)
+            h.append(own_h)
+            c.append(own_c)
+            off.append(before)
+            data.append(near)
+            hot.append(own_hot)
+            once.append(own_once)
+            size += len(near)
+            if size >= SLICE_BYTES:
+                yield made(h, c, off, data, hot, once)
+                h, c, off, data, hot, once, size = [], [], [], [], [], [], 0
         yield made(h, c, off, data, hot, once)
 
 
@@ -372,9 +378,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, shas = [], [], []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        found: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+        for k, a, b in _of_lists(batch.column(2), "a", "b"):
+            found[k].append((a, b))
+        for text, own in zip(batch.column(1).to_pylist(), found, strict=True):
             data = (text or "").encode("utf-8", "replace")
-            runs = merged([(max(0, s["a"]), min(len(data), s["b"])) for s in found])
+            runs = merged([(max(0, a), min(len(data), b)) for a, b in own])
             kept, at = hashlib.sha256(), 0
             for a, b in runs:
                 kept.update(data[at:a])

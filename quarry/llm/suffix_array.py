@@ -176,13 +176,13 @@ class Minima:
         self.at, self.value, self.now = np.zeros(0, np.int64), np.zeros(0, np.int64), -1
 
     def since(self, times: np.ndarray) -> np.ndarray:
-        return np.r_[self.value, 1 << 30][np.searchsorted(self.at, times + 1)]
+        return np.append(self.value, 1 << 30)[np.searchsorted(self.at, times + 1)]
 
     def add(self, lcp: np.ndarray) -> None:
         low = np.minimum.accumulate(lcp[::-1])[::-1].astype(np.int64)
-        steps = np.flatnonzero(np.r_[low[1:] > low[:-1], True])
+        steps = np.flatnonzero(np.append(low[1:] > low[:-1], True))
         stay = self.value < low[0]
-        self.at, self.value = np.r_[self.at[stay], self.now + 1 + steps], np.r_[self.value[stay], low[steps]]
+        self.at, self.value = np.concatenate((self.at[stay], self.now + 1 + steps)), np.concatenate((self.value[stay], low[steps]))
         self.now += len(lcp)
 
 
@@ -194,7 +194,7 @@ def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
     for k in range(int(level.max())):
         step = 1 << k
         before = rows[-1]
-        rows.append(np.r_[np.minimum(before[:-step], before[step:]), before[-step:]])
+        rows.append(np.concatenate((np.minimum(before[:-step], before[step:]), before[-step:])))
     table = np.stack(rows)
     return np.minimum(table[level, first], table[level, last - (1 << level) + 1])
 
@@ -229,7 +229,7 @@ class Induction:
         times = np.asarray(self.last[symbols[heads]])
         low = np.minimum(self.minima.since(np.maximum(times, -1)), np.minimum.accumulate(lcp)[at[heads]])
         out[heads] = np.where(times == _NEVER, 0, low + 1)
-        ends = np.r_[heads[1:] - 1, len(at) - 1]
+        ends = np.append(heads[1:] - 1, len(at) - 1)
         self.last[symbols[ends]] = self.minima.now + 1 + at[ends]
         return np.minimum(out, self.depth)
 
