@@ -49,8 +49,10 @@ HOT_PLACES = 100_000
 SLICE_BYTES = 1 << 22
 #: Bytes of texts whose anchors are found in one pass.
 SURVEY_BYTES = 1 << 15
-#: Contexts are compared by windows that start at every multiple of so many bytes before the anchor.
+#: Contexts are compared by windows that start at every multiple of so many bytes before the anchor; those around hot hashes
+#: by ever finer ones, down to whole strings.
 STEP = 24
+FINER = (STEP, 8, 2, 1)
 _VALUES, _OTHERS = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (7, 8))
 _SPANS = "array<struct<a: int, b: int>>"
 
@@ -369,30 +371,27 @@ def _compared(h: pa.Array, off: pa.Array, data: pa.Array, once: pa.Array) -> tup
     )
 
 
-def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, back, a, b, wanted): the LENGTH - STEP + 1 bytes that all strings with back <= l < back + STEP bytes before the
-    anchor hold, where the context is the first in its batch to hold one of them; wanted: where one is open."""
-    for batch in batches:
-        if batch.num_rows:
-            h, c, off, data, lead, open_ = batch.columns
-            lead, open_ = (np.logical_or.reduceat(_unpacked(x), np.arange(0, WINDOW, STEP), axis=1) for x in (lead, open_))
-            owner, block = np.nonzero(lead)
-            a, b = _keys(h, off.to_numpy(), data, owner, block * STEP, LENGTH - STEP + 1)
-            own = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([h.take(own), c.take(own), pa.array((block * STEP).astype(np.int32)), pa.array(a), pa.array(b), pa.array(open_[owner, block])], names=["h", "c", "back", "a", "b", "wanted"])
+def _windows(step: int, above: int | None):
+    """(h, c, back, a, b, wanted): the LENGTH - step + 1 bytes that all strings with back <= l < back + step bytes before the
+    anchor hold, where the context is the first in its batch to hold one of them; wanted: where one is open. Of the windows of
+    a coarser step ``above``, only those at ``backs`` are opened."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, c, off, data, lead, open_, *backs = batch.columns
+                lead, open_ = _unpacked(lead), _unpacked(open_)
+                if above:
+                    live = np.zeros((batch.num_rows, -(-WINDOW // above)), bool)
+                    live[pc.list_parent_indices(backs[0]).to_numpy(), pc.list_flatten(backs[0]).to_numpy() // above] = True
+                    lead = lead & np.repeat(live, above, axis=1)[:, :WINDOW]
+                lead, open_ = (np.logical_or.reduceat(x, np.arange(0, WINDOW, step), axis=1) for x in (lead, open_))
+                owner, block = np.nonzero(lead)
+                a, b = _keys(h, off.to_numpy(), data, owner, block * step, LENGTH - step + 1)
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([h.take(own), c.take(own), pa.array((block * step).astype(np.int32)), pa.array(a), pa.array(b), pa.array(open_[owner, block])], names=["h", "c", "back", "a", "b", "wanted"])
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, back, a, b, wanted): the strings behind the windows at ``backs``, each once a batch."""
-    for batch in batches:
-        if batch.num_rows:
-            h, c, off, data, lead, open_, backs = batch.columns
-            live = np.zeros((batch.num_rows, -(-WINDOW // STEP)), bool)
-            live[pc.list_parent_indices(backs).to_numpy(), pc.list_flatten(backs).to_numpy() // STEP] = True
-            owner, back = np.nonzero(_unpacked(lead) & np.repeat(live, STEP, axis=1)[:, :WINDOW])
-            a, b = _keys(h, off.to_numpy(), data, owner, back, LENGTH)
-            own = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([h.take(own), c.take(own), pa.array(back.astype(np.int32)), pa.array(a), pa.array(b), pa.array(_unpacked(open_)[owner, back])], names=["h", "c", "back", "a", "b", "wanted"])
+    return apply
 
 
 def hot_spans(hot: DataFrame) -> DataFrame:
@@ -400,14 +399,17 @@ def hot_spans(hot: DataFrame) -> DataFrame:
     parts tell (h, c, off, data, least, most, lead, open). A context that occurs more than once is a partner alone.
 
     What is open in a batch of a part meets the strings of the others, each once a batch: first by windows that hold several
-    strings, then, where those are shared, string by string. Keys are counted by a pre-aggregated groupBy, so neither a
+    strings, then, where those are shared, by ever smaller ones, down to the strings. Keys are counted by a pre-aggregated groupBy, so neither a
     hash nor a string is held in one task, and the joins hand on no more than the windows and what was open and repeats.
     """
     kind = "h long, c long, back int, a long, b long, wanted boolean"
     shared = lambda rows: rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("wanted").alias("any")).where("n > 1 and any").select("a", "b")
-    rows = materialise(hot.select("h", "c", "off", "data", "lead", "open").mapInArrow(_coarse, kind))
-    live = rows.join(shared(rows), ["a", "b"], "left_semi").groupBy("h", "c").agg(F.collect_list("back").alias("backs"))
-    rows = materialise(hot.join(live, ["h", "c"]).select("h", "c", "off", "data", "lead", "open", "backs").mapInArrow(_strings, kind))
+    columns, live, above = ["h", "c", "off", "data", "lead", "open"], None, None
+    for step in FINER:
+        own = hot.select(columns) if live is None else hot.join(live, ["h", "c"]).select(*columns, "backs")
+        rows = materialise(own.mapInArrow(_windows(step, above), kind))
+        live = rows.join(shared(rows), ["a", "b"], "left_semi").groupBy("h", "c").agg(F.collect_list("back").alias("backs"))
+        above = step
     found = rows.where("wanted").join(shared(rows), ["a", "b"], "left_semi").select("h", "c", F.col("back").alias("least"), F.col("back").alias("most"))
     told = hot.where("least is not null").select("h", "c", "least", "most").unionByName(found)
     # All strings of a context hold its anchor, so together they are one span.
