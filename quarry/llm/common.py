@@ -5,31 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.lineage import scratch
+from quarry.operators.lineage import discard, materialise
+
+__all__ = ["blocks", "crc_fold", "discard", "documents", "free_names", "largest", "materialise"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    A lost executor costs no recomputation of what lies before this point; the files go when the session ends.
-    """
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table that ``materialise`` has made and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores before it until no column of ``df`` (whatever its case) has it."""
     taken, out = {c.lower() for c in df.columns}, []
