@@ -448,15 +448,34 @@ def personalized_pagerank_push(edges: DataFrame, teleport: DataFrame, alpha: flo
     return state.where("score > 0").select("qid", "id", "score")
 
 
-def rerank_by_walk(run: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-8, digits: int | None = None) -> DataFrame:
+def rerank_by_walk(run: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-8, digits: int | None = None, width: int = 64, most: int = 400) -> DataFrame:
     """A run (qid, doc_id, ...) with the score of a walk that starts from all documents that its query retrieved, each
     with one share, and the rank by it. Documents without a link of their own are no nodes: they start nothing and go.
-    ``digits`` rounds scores before they are ranked; ties go by doc_id."""
-    nodes = edges.select(F.col("src").alias("doc_id")).union(edges.select("dst")).distinct()
-    known = run.join(nodes, "doc_id", "left_semi")
+    ``digits`` rounds scores before they are ranked; ties go by doc_id.
+
+    The walk (``BlockWalk``) begins with the shares as scores and moves on what a step changes, which sums to 0 and
+    fades as fast as the graph mixes. It ends when all changes still to come add up to ``tolerance`` at most for each
+    query. Only the documents of the run keep their changes, which are their scores in the end.
+    """
+    known = materialise(run.join(edges.select(F.col("src").alias("doc_id")).union(edges.select("dst")).distinct(), "doc_id", "left_semi"))
     each = F.count(F.lit(1)).over(Window.partitionBy("qid"))
     starts = known.select("qid", "doc_id").distinct().select("qid", F.col("doc_id").alias("id"), (1.0 / each).alias("p"))
-    walked = personalized_pagerank_push(edges, starts, alpha, tolerance).withColumnRenamed("id", "doc_id")
+    walk = BlockWalk(edges, starts, alpha, width)
+    found, sent = [walk.start.select("blk", "id", "v")], walk.first()
+    for turn in range(most):
+        # First the scores themselves move: alpha of them along the links, less alpha of the start.
+        base = walk.base(-alpha, sent) if not turn else walk.base(0.0, sent) if walk.ends else None
+        old, sent = sent, materialise(walk.step(sent, base, watch=True))
+        if turn:
+            discard(old)
+        found.append(materialise(sent.where(F.col("to") == _WATCHED).select(F.col("kind").alias("blk"), F.col("src").alias("id"), "v")))
+        left = max((float(np.frombuffer(r.v).max()) for r in walk.added(sent, _SIZES).toLocalIterator()), default=0.0)
+        if left * alpha / (1 - alpha) <= tolerance:
+            break
+    changes = found[0]
+    for one in found[1:]:
+        changes = changes.unionByName(one)
+    walked = walk.spelled(changes).groupBy("qid", F.col("id").alias("doc_id")).agg(F.sum("score").alias("score"))
     walked = walked if digits is None else walked.withColumn("score", F.round("score", digits))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return known.drop("score", "rank").join(walked, ["qid", "doc_id"]).withColumn("rank", F.row_number().over(order))
